@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, sharding, simhash_anchor
+from . import chat, exact_dedup, mixing, packing, sharding, simhash_anchor, toxicity_crf
 
 QUERIES, ORACLES = {}, {}
 
@@ -24,6 +24,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_toxicity_crf")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity_crf.learn(docs, labels.filter(~toxicity_crf.held_out()))
+    return toxicity_crf.score(docs, model).select("doc_id", toxicity_crf.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
 @query("op3_karmarkar_karp_shards")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
