@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, sharding, simhash_anchor, toxicity_crf
+from . import chat, exact_dedup, mixing, packing, ppm, sharding, simhash_anchor, toxicity_crf
 
 QUERIES, ORACLES = {}, {}
 
@@ -47,6 +47,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@query("op6_ppm_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(documents(spark, sf_dir), "crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0")
+
+
 @query("op7_simhash_anchors")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchor.near_groups(documents(spark, sf_dir))
