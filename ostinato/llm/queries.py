@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, ppm, sharding, simhash_anchor, toxicity_crf
+from . import chat, debruijn, exact_dedup, mixing, packing, ppm, sharding, simhash_anchor, toxicity_crf
 
 QUERIES, ORACLES = {}, {}
 
@@ -93,6 +93,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_debruijn_repeats")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(documents(spark, sf_dir))
+
+
 @query(
     "op10_exact_tree_merge",
     r"""with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
