@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, debruijn, exact_dedup, mixing, packing, ppm, sharding, simhash_anchor, toxicity_crf
+from . import chat, debruijn, exact_dedup, iblt, mixing, packing, ppm, sharding, simhash_anchor, toxicity_crf
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,6 +32,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_crf.score(docs, model).select("doc_id", toxicity_crf.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 
+@query("op2_iblt_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.near_next_and_edited(documents(spark, sf_dir))
+
+
 @query("op3_karmarkar_karp_shards")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
