@@ -25,17 +25,17 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 STRIPPED = re.compile(r"^\W+|\W+$")
 
 
-def word_features(token: str) -> list[str]:
-    """The token without outer punctuation in lower case, and its beginnings of 4 to 6 letters."""
+def word_features(token: str) -> list[int]:
+    """Hashes of the token without outer punctuation in lower case, and of its beginnings of 4 to 6 letters."""
     w = STRIPPED.sub("", token.lower())
-    return [f"w:{w}", *(f"{n}:{w[:n]}" for n in (4, 5, 6) if len(w) > n)] if w else []
+    return [zlib.crc32(x.encode()) for x in (f"w:{w}", *(f"{n}:{w[:n]}" for n in (4, 5, 6) if len(w) > n))] if w else []
 
 
 @dataclass
 class Field:
     """Weights of the toxic state against the other one; link[i, j]: from state i to j."""
 
-    weights: dict[str, float]
+    weights: dict[int, float]
     bias: float
     link: np.ndarray
     document: np.ndarray = field(default_factory=lambda: np.zeros(4))
@@ -130,20 +130,25 @@ def fit(texts: list[str], toxic: list[int], span: int = 64, steps: int = 80, cle
         return empty
     width = 4
     words: dict[str, int] = {}
-    docs = [np.array([words.setdefault(t, len(words)) for t in TOKEN.findall(x)], np.int64) for x in texts]
-    names: dict[str, int] = {"": 0}
-    of_word = np.array([([names.setdefault(f, len(names)) for f in word_features(t)] + [0] * width)[:width] for t in words] or [[0] * width], np.int64)
+    docs = [np.array([words.setdefault(t, len(words)) for t in TOKEN.findall(x)], np.int32) for x in texts]
+    del texts
+    of_word = np.zeros((max(1, len(words)), width), np.uint32)
+    for t, i in words.items():
+        own = word_features(t)
+        of_word[i, : len(own)] = own
+    del words
+    names, of_word = np.unique(np.append(of_word, np.uint32(0)), return_inverse=True)
+    of_word = of_word[:-1].reshape(-1, width)
     seen = np.zeros((len(names), 2), np.int64)
     for doc, y in zip(docs, toxic, strict=True):
         seen[np.unique(of_word[np.unique(doc)]), int(bool(y))] += 1
-    seen[0] = 0
+    seen[0] = 0  # no feature
     marks = np.nonzero(marking_features(seen, n1, n0))[0]
     if not len(marks):
         return empty
     place = np.zeros(len(names), np.int32)
     place[marks] = np.arange(1, len(marks) + 1)
-    by_place = list(names)
-    index = {by_place[f]: i + 1 for i, f in enumerate(marks.tolist())}
+    index = {int(names[f]): i + 1 for i, f in enumerate(marks)}
     of_word = place[of_word]
     labels = [int(bool(y)) for y, doc in zip(toxic, docs, strict=True) if len(doc)]
     ids = [of_word[doc] for doc in docs if len(doc)]
@@ -246,7 +251,7 @@ class Scorer:
 SPANS = "array<struct<start:int,end:int,marginal:double>>"
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
     """The field of labelled documents: of each label at most most_rows, those of least hashed id.
 
     The bound holds what the driver takes in; it is the only sample, and no
