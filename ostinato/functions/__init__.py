@@ -1 +1 @@
-"""Part of ostinato."""
+"""Pure functions of columns."""

@@ -1 +1 @@
-"""Part of ostinato."""
+"""Operators: functions of DataFrames."""

@@ -1 +1 @@
-"""Part of ostinato."""
+"""Registered queries over the given tables, with their SQL."""

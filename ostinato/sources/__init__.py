@@ -1 +1 @@
-"""Part of ostinato."""
+"""Readers and writers of files: listings, tags, audio, cue sheets, caches."""

@@ -1 +1 @@
-"""Part of ostinato."""
+"""Stateful operators over streams of frames and events."""
