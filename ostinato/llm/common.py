@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +45,19 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with swept(spark):
+        df.write.option("compression", "zstd").parquet(path)
     forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.cut_path = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a cut that nothing will read again."""
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def forget_at_exit(spark: SparkSession, path: str) -> None:
@@ -54,10 +65,16 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are over: it does so when the driver's JVM finds them unreachable."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files: Spark deletes those of each write when it is over."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def salt(key: Column, salts: int) -> Column:

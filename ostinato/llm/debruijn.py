@@ -70,7 +70,7 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def remove_repeats(docs: DataFrame, k: int = 13, short: int = 5, filter_bits: int = 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 13, short: int = 6, filter_bits: int = 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_words, n_removed, kept_sha256, and removed, the spans (start, length) in words.
 
     A word goes if a window of k words over it also stands in a document with a
@@ -92,9 +92,9 @@ def remove_repeats(docs: DataFrame, k: int = 13, short: int = 5, filter_bits: in
     joined = own.join(kept, "id").withColumn("first", F.array_position("shas", F.sha2(exact_dedup.normal_text(F.col("text")), 256)))
     table = f"repeats_{uuid.uuid4().hex}"
     place = f"{common.shared_dir(spark)}/{table}"
-    joined.select("own", "id", F.col("text").cast("binary").alias("text"), "first").write.format("parquet").option("compression", "zstd").option("path", place).bucketBy(parts, "id").sortBy("id").saveAsTable(table)
+    with common.swept(spark):
+        joined.select("own", "id", F.col("text").cast("binary").alias("text"), "first").write.format("parquet").option("compression", "zstd").option("path", place).bucketBy(parts, "id").sortBy("id").saveAsTable(table)
     common.forget_at_exit(spark, place)
-    common.release(spark)
     source = spark.table(table)
     firsts = source.filter("first > 0").select("id", "text", "first")
 
@@ -108,12 +108,12 @@ def remove_repeats(docs: DataFrame, k: int = 13, short: int = 5, filter_bits: in
                 yield pa.record_batch([_longs(least[new]), pa.array(ids[which[new]])], ["m", "id"])
 
     counted = firsts.mapInArrow(minimizers, "m long, id long").groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
+    counted = common.cut(counted.select("m"))
     bit = F.pmod(F.col("m"), F.lit(2**filter_bits))
     rows = counted.groupBy(F.expr(f"pmod(m, {2**filter_bits}L) div 32768").alias("row")).agg(F.bitmap_construct_agg(bit % 32768).alias("bits")).collect()
     bits = np.zeros((2 ** max(0, filter_bits - 15), 4096), np.uint8)
     for r in rows:
         bits[r["row"]] = np.frombuffer(r["bits"], np.uint8)
-    common.release(spark)
     field = spark.sparkContext.broadcast(bits.reshape(-1))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +128,19 @@ def remove_repeats(docs: DataFrame, k: int = 13, short: int = 5, filter_bits: in
                 yield pa.record_batch([_longs(h[hit]), pa.array((c[hit] >> U(32)).astype(np.uint32).view(np.int32)), pa.array(ids[which]), pa.array((ordinal[which].astype(np.int64) - 1 << 32) + at)], ["h", "c", "id", "at"])
 
     occurs = common.cut(firsts.mapInArrow(edges, "h long, c int, id long, at long"))
-    repeated = occurs.groupBy("h", "c").agg(F.min(F.struct("id", "at")).alias("at"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter(F.col("at.id") < F.col("last"))
-    repeated = repeated.select("h", "c", F.col("at.id").alias("source"), F.col("at.at").alias("source_at"), "n")
+    # id and place in one number: a fixed width keeps the aggregation in hash tables
+    joint = (F.col("id").cast("decimal(20,0)") * F.lit(2**40).cast("decimal(14,0)") + F.col("at")).cast("decimal(38,0)")
+    repeated = occurs.groupBy("h", "c").agg(F.min(joint).alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    repeated = repeated.withColumn("source", F.expr(f"cast(first div {2**40} as bigint)"))
+    repeated = repeated.withColumn("source_at", F.expr(f"cast(first % {2**40} as bigint)")).filter(F.col("source") < F.col("last")).select("h", "c", "source", "source_at", "n")
     # paths: edges that follow each other at the source, as often the one as the other, so that nothing branches off between
     along = Window.partitionBy("source").orderBy("source_at")
     begins = (F.col("source_at") - F.lag("source_at").over(along) == 1) & (F.col("n") == F.lag("n").over(along))
     paths = repeated.withColumn("path", F.when(F.coalesce(begins, F.lit(False)), F.lit(None)).otherwise(F.col("source_at"))).withColumn("path", F.last("path", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    paths = common.cut(paths.select("h", "c", "source", "source_at", "path"))
     met = occurs.join(paths, ["h", "c"]).filter("source < id").select("id", "at", "source", "source_at", "path")
+    met = common.cut(met)
+    common.discard(occurs)
     # spans: where a document goes along a path
     within = Window.partitionBy("id").orderBy("at")
     goes_on = (
@@ -146,7 +152,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, short: int = 5, filter_bits: in
     runs = met.withColumn("run", F.when(F.coalesce(goes_on, F.lit(False)), F.lit(None)).otherwise(F.col("at"))).withColumn("run", F.last("run", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy("id", "run").agg(F.first("source").alias("source"), F.min("source_at").alias("source_at"), (F.max("at") - F.min("at") + k).alias("length"))
     spans = common.cut(spans.select("id", F.col("run").alias("at"), "source", "source_at", "length"))
-    common.release(spark)
+    common.discard(met)
     wanted = spans.select("source", "source_at", "length").distinct().groupBy("source").agg(F.collect_list(F.struct("source_at", "length")).alias("wanted"))
 
     def recite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
