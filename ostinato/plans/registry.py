@@ -20,3 +20,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Import the modules whose queries are registered."""
+    from . import catalog, features, matching, texts  # noqa: F401
