@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Codes that label no style and are left out when labels are learnt. Fixed values.
 NOT_LABELS = ("A", "C", "F", "L", "R", "U")
@@ -49,13 +50,13 @@ def display_label(artist: Column, title: Column, filename: Column, filepath: Col
     return F.when(filled(filepath), F.concat(head, F.lit("\n"), filepath)).otherwise(head)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, which isn't symmetric: a is what is asked for, b what is known."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(a: pd.Series) -> pd.Series:
     """Canonical composition."""
     return a.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
