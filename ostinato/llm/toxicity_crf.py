@@ -44,18 +44,23 @@ class Field:
         return self.bias + sum(self.weights.get(f, 0.0) for f in word_features(token))
 
 
-def messages(e: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of the toxic state from the left, own emission included, and from the right; e: sequences x steps."""
+def messages(e: np.ndarray, link: np.ndarray, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of the toxic state from the left, own emission included, and from the right; e: sequences x steps.
+
+    joined: whether a step belongs to the same text as the one before it; else
+    nothing passes between them.
+    """
 
     def through(odds: np.ndarray, m: np.ndarray) -> np.ndarray:
         return np.logaddexp(m[0, 1], odds + m[1, 1]) - np.logaddexp(m[0, 0], odds + m[1, 0])
 
+    held = np.ones_like(e) if joined is None else joined.astype(float)
     left, right = np.empty_like(e), np.zeros_like(e)
     left[:, 0] = e[:, 0]
     for t in range(1, e.shape[1]):
-        left[:, t] = e[:, t] + through(left[:, t - 1], link)
+        left[:, t] = e[:, t] + through(left[:, t - 1], link) * held[:, t]
     for t in range(e.shape[1] - 2, -1, -1):
-        right[:, t] = through(e[:, t + 1] + right[:, t + 1], link.T)
+        right[:, t] = through(e[:, t + 1] + right[:, t + 1], link.T) * held[:, t + 1]
     return left, right
 
 
@@ -63,22 +68,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def marginals(e: np.ndarray, link: np.ndarray, span: int = 256, halo: int = 48) -> np.ndarray:
-    """Each token's probability of the toxic state, for the emissions of one text or of many.
+def marginals(e: np.ndarray, link: np.ndarray, first: np.ndarray | None = None, span: int = 256, halo: int = 48) -> np.ndarray:
+    """Each token's probability of the toxic state, for the emissions of texts one behind the other; first marks where one begins.
 
     All of e is cut into spans that are run side by side, with `halo` tokens
     before and after each: what lies farther off doesn't reach a token, as each
-    step shrinks its influence (at most tanh of a quarter of the link's odds
-    ratio, 0.9**48 for the strongest link fitted).
+    step shrinks its influence (the strongest link that is fitted leaves less
+    than 0.61**48 of it).
     """
     n = len(e)
     if not n:
         return np.zeros(0)
     spans = -(-n // span)
     at = np.arange(-halo, span + halo)[None, :] + span * np.arange(spans)[:, None]
-    padded = np.where((at >= 0) & (at < n), e[np.clip(at, 0, n - 1)], 0.0)
-    # outside the text both states are alike, so that nothing comes from there
-    left, right = messages(padded, link)
+    inside = (at > 0) & (at < n)
+    place = np.clip(at, 0, n - 1)
+    joined = inside if first is None else inside & ~first[place]
+    left, right = messages(np.where((at >= 0) & (at < n), e[place], 0.0), link, joined)
     return _sigmoid(left + right)[:, halo : halo + span].reshape(-1)[:n]
 
 
@@ -230,14 +236,14 @@ class Scorer:
     def many(self, texts: list[str | None]) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
         """Score and offending spans (start, end, marginal), in code points, of each text."""
         split = [TOKEN.findall(t or "") for t in texts]
-        gap = [0.0] * 48  # between texts nothing passes on
         flat: list[float] = []
         starts = []
         for tokens in split:
             starts.append(len(flat))
             flat += self.emissions(tokens)
-            flat += gap
-        p = marginals(np.array(flat), self.model.link)
+        first = np.zeros(len(flat) + 1, bool)
+        first[starts] = True
+        p = marginals(np.array(flat), self.model.link, first[:-1])
         for text, tokens, s in zip(texts, split, starts, strict=True):
             own = p[s : s + len(tokens)]
             score = float(_sigmoid(self.model.document @ np.array([1.0, *summary(own)])))
