@@ -172,3 +172,27 @@ def load(spark, folder: str, digest: str | None) -> LabelModels:
     models = LabelModels(about["name"], about["columns"], about["labels"])
     models.models = {c: DefaultParamsReader.loadParamsInstance(f"{folder}/{c}", spark) for c in about["labels"]}
     return models
+
+
+#: Features by what they tell. Fixed values.
+GROUPS = {
+    "level": ["rms_energy", "rms_mean", "rms_std", "loudness_variation", "rms_p10", "rms_p90", "peak", "dynamic_range_db"],
+    "spectrum": ["spectral_centroid", "spectral_centroid_std", "spectral_bandwidth", "spectral_rolloff", "spectral_flux", "spectral_entropy", "spectral_flatness"],
+    "bands": ["sub_bass_energy", "bass_energy", "low_mid_energy", "mid_energy", "high_mid_energy", "high_energy"],
+    "band_ratios": ["sub_bass_ratio", "bass_ratio", "low_mid_ratio", "mid_ratio", "high_mid_ratio", "high_ratio"],
+    "rhythm": ["tempo_confidence", "onset_rate"],
+    "percussion": ["zero_crossing_rate"],
+    "trend": ["energy_slope"],
+    "structure": ["intro_ratio", "core_ratio", "outro_ratio"],
+}
+
+
+def encode(sets: Column, labels: list[str]) -> Column:
+    """0/1 per label, in the labels' order."""
+    return F.transform(F.array(*map(F.lit, labels)), lambda c: F.array_contains(sets, c).cast("int"))
+
+
+def decode(values: Column, labels: list[str], threshold: float = 0.5) -> Column:
+    """The labels whose value reaches the threshold."""
+    pairs = F.arrays_zip(F.array(*map(F.lit, labels)).alias("label"), values.alias("value"))
+    return F.transform(F.filter(pairs, lambda p: p["value"] >= threshold), lambda p: p["label"])

@@ -50,8 +50,9 @@ def rerank(candidates: DataFrame, runs: dict[str, DataFrame]) -> DataFrame:
     out = candidates
     for name, r in runs.items():
         out = out.join(r.select(F.col("recording").alias("track"), F.col("run").alias(f"run_{name}"), F.col("mean").alias(f"mean_{name}")), "track", "left")
-    score = F.least(*[F.coalesce(f"run_{n}", F.lit(0)) for n in runs])
-    return out.withColumn("score", score).withColumn("sim", F.when(F.col("score") > 0, F.least(*[F.col(f"mean_{n}") for n in runs])).otherwise(0.0)).orderBy(F.desc("score"), F.desc("sim"), "track")
+    least = lambda cols: F.least(*cols) if len(cols) > 1 else cols[0]
+    score = least([F.coalesce(f"run_{n}", F.lit(0)) for n in runs])
+    return out.withColumn("score", score).withColumn("sim", F.when(F.col("score") > 0, least([F.col(f"mean_{n}") for n in runs])).otherwise(0.0)).orderBy(F.desc("score"), F.desc("sim"), "track")
 
 
 def summaries(frames: DataFrame) -> DataFrame:

@@ -180,3 +180,68 @@ def windowed_counts(spark, sf):
 @query("sessions", 'with g as (select user_id, ts, coalesce(ts - lag(ts) over w >= interval 2 hour, true) as new from events window w as (partition by user_id order by ts)), s as (select *, sum(new::int) over (partition by user_id order by ts rows unbounded preceding) as s from g) select user_id, min(ts) as start, max(ts) + interval 2 hour as "end", count(*) as n from s group by user_id, s')
 def sessions(spark, sf):
     return events.sessions(D.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "2 hours")
+
+
+@query("j9_encoded_labels", D.with_("tracks", "select id, list_transform(['B', 'S', 'W'], lambda c: list_contains(string_split(genre, '-'), c)::int)::varchar as bits from tracks"))
+def encoded_labels(spark, sf):
+    bits = learning.encode(T.label_codes(F.col("genre")), ["B", "S", "W"])
+    back = learning.decode(bits, ["B", "S", "W"])
+    rows = D.tracks(spark, sf).select("id", F.concat(F.lit("["), F.array_join(bits.cast("array<string>"), ", "), F.lit("]")).alias("bits"), (F.size(back) == F.aggregate(bits, F.lit(0), lambda a, x: a + x)).alias("same"))
+    return rows.filter("same").drop("same")
+
+
+@query("i8_band_spectrum", "with x as (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings), b as (select vec_id, (i - 1) // 2 as band, avg(abs(v::double)) as level from x group by 1, 2) select vec_id, band, round(level / max(level) over (), 6) as level from b")
+def band_spectrum(spark, sf):
+    x = D.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    bands = x.groupBy("vec_id", F.expr("cast(i div 2 as bigint)").alias("band")).agg(F.avg(F.abs(F.col("v").cast("double"))).alias("level"))
+    top = bands.agg(F.max("level").alias("top"))
+    return bands.crossJoin(F.broadcast(top)).select("vec_id", "band", F.round(F.col("level") / F.col("top"), 6).alias("level"))
+
+
+@query("f7_ranked_in_group", "select label, vec_id, rank from (select label, vec_id, row_number() over (partition by label order by list_sum(embedding) desc, vec_id) as rank from embeddings) where rank <= 3")
+def ranked_in_group(spark, sf):
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    e = D.table(spark, sf, "embeddings").select("label", "vec_id", total.alias("s"))
+    w = Window.partitionBy("label").orderBy(F.desc("s"), "vec_id")
+    return e.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 3").select("label", "vec_id", "rank")
+
+
+@query("h22_frame_times", "select o_orderkey, cast(trunc(o_orderkey * 512.0::double / 22050 * 1000) as bigint) as ms from orders")
+def frame_times(spark, sf):
+    return D.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") * F.lit(512.0) / 22050 * 1000).cast("long").alias("ms"))
+
+
+@query("h28_sizes", "select p_partkey, case when n >= 1048576 then round(n / 1048576, 1)::varchar || ' MB' when n >= 1024 then round(n / 1024, 1)::varchar || ' KB' else n::varchar || ' B' end as shown from (select p_partkey, p_size::bigint * p_partkey as n from part)")
+def sizes(spark, sf):
+    return D.table(spark, sf, "part").select("p_partkey", T.size_display(F.col("p_size").cast("long") * F.col("p_partkey")).alias("shown"))
+
+
+@query("a6_first_tags", "select p_partkey, case when p_partkey % 2 = 0 then p_name else p_brand end as title, try_cast(left(cast(1990 + p_size as varchar) || '-05', 4) as int) as year, p_size as track from part")
+def first_tags(spark, sf):
+    from ..sources import files
+
+    text = lambda c: F.col(c).cast("string")
+    tags = F.map_filter(F.create_map(F.lit("TIT2"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")), F.lit("title"), F.col("p_brand"), F.lit("date"), F.concat((F.lit(1990) + F.col("p_size")).cast("string"), F.lit("-05")), F.lit("TRCK"), F.concat(text("p_size"), F.lit("/12"))), lambda k, v: v.isNotNull())
+    return D.table(spark, sf, "part").select("p_partkey", files.first_tag(tags, ("TIT2", "title")).alias("title"), files.year_of(files.first_tag(tags, ("TDRC", "date"))).alias("year"), files.track_of(files.first_tag(tags, ("TRCK",))).alias("track"))
+
+
+@query("scoring_formulas", D.with_("vectors", "select a.track, round(list_distance(a.v, q.v), 6) as euclidean, round(list_dot_product(a.v, q.v), 6) as dot from vectors a, vectors q where q.track = 0"))
+def scoring_formulas(spark, sf):
+    from ..operators import index
+
+    v = D.vectors(spark, sf)
+    one = v.filter("track = 0").select(F.col("v").alias("q"))
+    return index.scoring_formulas(v.crossJoin(F.broadcast(one))).select("track", F.round("euclidean", 6).alias("euclidean"), F.round("dot", 6).alias("dot"))
+
+
+@query("v5_vector_match")
+def vector_match(spark, sf):
+    from ..operators import index
+
+    v = D.vectors(spark, sf)
+    halves = v.select("track", F.slice("v", 1, 40).alias("m"), F.slice("v", 41, 24).alias("c"))
+    w = Window.partitionBy("label").orderBy("vec_id")
+    f = D.table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("recording"), (F.row_number().over(w) - 1).alias("frame"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
+    asked = f.filter("recording = 0").select(F.col("frame").alias("i"), F.col("v").alias("qv"))
+    few = halves.filter("track < 10")
+    return index.match_by_vectors(few, few.filter("track = 0").select("m", "c"), {"all": f}, {"all": asked}, {"all": 0.2}, step=1, overlap=1).withColumn("confidence", F.round("confidence", 6))

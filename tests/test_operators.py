@@ -220,3 +220,32 @@ def test_queue(spark):
 def test_spaced(spark):
     df = spark.createDataFrame([(0, f) for f in (1, 3, 5, 9)], "g int, f int")
     assert sorted(r.f for r in frames.spaced(df, "g", "f", 4).collect()) == [1, 5, 9]
+
+
+def test_index_from_files_to_cue_sheet(spark, tmp_path):
+    from ostinato.operators import index
+    from ostinato.sources.snapshots import Store
+
+    rng = np.random.default_rng(4)
+    for name in ("a", "b"):
+        x = np.concatenate([np.sin(2 * np.pi * 2.0 ** (rng.integers(12, 60) / 12) * 55 * np.arange(11_025) / 22_050) for _ in range(12)])
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setnchannels(1), w.setsampwidth(2), w.setframerate(22_050), w.writeframes((x * 20_000).astype("<i2").tobytes())
+    store = Store(spark, str(tmp_path / "store"))
+    tracks = [(1, str(tmp_path / "a.wav"), "A", "One", "jukebox"), (2, str(tmp_path / "b.wav"), "B", "Two", "jukebox")]
+    with store.transaction():
+        store.write("tracks", spark.createDataFrame(tracks, "id long, filepath string, artist string, title string, mode string"))
+        store.write("fingerprints", spark.createDataFrame([], "track long, hash long, t long"))
+        store.write("vectors", spark.createDataFrame([(9, "mfcc", [0.0])], "track long, kind string, v array<double>"))
+    own = index.Index(store)
+    assert index.scan_and_index(spark, own, str(tmp_path)) > 20 and own.pending().count() == 0
+    assert own.stats().first().indexed == 2
+    asked = store.read("fingerprints").filter("track = 2").select(F.lit("mix").alias("recording"), "hash", "t")
+    assert own.identify(asked).first().track == 2
+    assert own.cleanup() == 1
+    with pytest.raises(ZeroDivisionError), store.transaction():
+        own.clear()
+        raise ZeroDivisionError
+    assert own.stats().first().fingerprints > 0
+    own.clear()
+    assert own.stats().first().fingerprints == 0
