@@ -10,8 +10,9 @@ from ..operators import library as L
 from . import domain as D
 from .registry import query
 
-NOW = F.lit(D.NOW).cast("timestamp")
-_PATHS = [f"/music/x/{i}" for i in range(2)]
+
+def now():
+    return F.lit(D.NOW).cast("timestamp")
 
 
 @query("a1_newest_tracks", D.with_("tracks", "select id, title, date_added from tracks where mode = 'jukebox' order by date_added desc, id limit 50"))
@@ -82,7 +83,7 @@ def attached_catalog(spark, sf):
 def upsert(spark, sf):
     t = D.tracks(spark, sf).select("id", "filepath", "title", "date_added", "play_count")
     new = t.filter("id % 50 = 0").select("filepath", F.concat(F.lit("New "), "title").alias("title")).unionByName(t.filter("id % 100 = 1").select(F.concat(F.lit("/new/"), F.col("id").cast("string")).alias("filepath"), F.lit("Fresh").alias("title")))
-    return L.upsert(t, new, NOW).select("id", "filepath", "title", "date_added")
+    return L.upsert(t, new, now()).select("id", "filepath", "title", "date_added")
 
 
 @query("b2_allowed_update", D.with_("tracks", "select id, case when id = 3 then 'X' else title end as title from tracks"))
@@ -178,7 +179,7 @@ def needs_work(spark, sf):
 
 @query("c9_not_played_lately", D.with_("tracks plays", f"select id from tracks where id not in (select track_id from plays where played_at > timestamp '{D.NOW}' - interval 2 day)"))
 def not_played_lately(spark, sf):
-    return L.unplayed(D.tracks(spark, sf), D.plays(spark, sf), NOW, 2).select("id")
+    return L.unplayed(D.tracks(spark, sf), D.plays(spark, sf), now(), 2).select("id")
 
 
 @query("c10_missing_files", D.with_("tracks", "select id, id % 3 = 0 as missing from tracks"))
@@ -308,7 +309,7 @@ def random_tracks(spark, sf):
 
 @query("g4_recommendations")
 def recommendations(spark, sf):
-    return L.recommend(D.tracks(spark, sf), D.plays(spark, sf), NOW, 10, 42).select("id", "artist", "genre")
+    return L.recommend(D.tracks(spark, sf), D.plays(spark, sf), now(), 10, 42).select("id", "artist", "genre")
 
 
 @query("g6_shared_id_set", "select vec_id as id from embeddings where label < 5 intersect select doc_id from labels")
