@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StringType
 
 #: Codes that label no style and are left out when labels are learnt. Fixed values.
 NOT_LABELS = ("A", "C", "F", "L", "R", "U")
+#: Codes in capital letters, then stars. Fixed value.
 CODED = r"^([A-Z]+)(-[A-Z]+)*(-\*[1-5])?$"
 
 

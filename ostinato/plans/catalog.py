@@ -15,9 +15,9 @@ def now():
     return F.lit(D.NOW).cast("timestamp")
 
 
-@query("a1_newest_tracks", D.with_("tracks", "select id, title, date_added from tracks where mode = 'jukebox' order by date_added desc, id limit 50"))
+@query("a1_newest_tracks", D.with_("tracks", "select id, title, date_added from tracks where mode = 'collection' order by date_added desc, id limit 50"))
 def newest_tracks(spark, sf):
-    return L.newest(D.tracks(spark, sf), 50, "jukebox").select("id", "title", "date_added")
+    return L.newest(D.tracks(spark, sf), 50, "collection").select("id", "title", "date_added")
 
 
 @query("a2_point_lookup", D.with_("tracks", "select id, filepath from tracks where id = 7 or filepath = (select filepath from tracks where id = 9)"))
@@ -255,9 +255,9 @@ def list_positions(spark, sf):
     return hierarchy.list_positions(c.withColumn("next_id", F.coalesce(F.lead("id").over(w), F.lit(0).cast("long"))))
 
 
-@query("e1_library_stats", D.with_("tracks", "select count(*) as n, round(coalesce(sum(duration_seconds), 0), 2) as seconds from tracks where mode = 'jukebox'"))
+@query("e1_library_stats", D.with_("tracks", "select count(*) as n, round(coalesce(sum(duration_seconds), 0), 2) as seconds from tracks where mode = 'collection'"))
 def library_stats(spark, sf):
-    return L.in_mode(D.tracks(spark, sf), "jukebox").agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("duration_seconds"), F.lit(0.0)), 2).alias("seconds"))
+    return L.in_mode(D.tracks(spark, sf), "collection").agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("duration_seconds"), F.lit(0.0)), 2).alias("seconds"))
 
 
 @query("e2_index_stats", D.with_("tracks library", "select t.n as tracks, i.n as indexed, f.n as fingerprints, t.n - i.n as missing, round(f.n / greatest(i.n, 1), 6) as average from (select count(*) n from tracks) t, (select count(distinct track) n from library) i, (select count(*) n from library) f"))

@@ -19,7 +19,7 @@ _TRACKS = """select p_partkey as id,
   case when p_partkey % 11 = 0 then null else p_name end as title, case when p_partkey % 13 = 0 then null else p_brand end as artist, p_type as album,
   concat(upper(substr(p_name, 1, 1)), '-', upper(substr(p_name, instr(p_name, ' ') + 1, 1)), '-*', cast(p_size % 5 + 1 as {text})) as genre,
   p_retailprice as duration_seconds, cast(p_size as bigint) * 1000 as file_size,
-  case when p_partkey % 4 = 0 then 'curating' else 'jukebox' end as mode,
+  case when p_partkey % 4 = 0 then 'curating' else 'collection' end as mode,
   {stamp} as date_added, cast(0 as int) as play_count
 from part"""
 

@@ -246,7 +246,7 @@ def cache_key(spark, sf):
     return D.tracks(spark, sf).select("id", cache.key(F.col("filepath"), F.col("file_size"), F.unix_micros("date_added")).alias("key"))
 
 
-@query("dup_exact_passes", D.with_("tracks", """select c.id, case when exists (select 1 from tracks l where l.mode = 'jukebox' and l.artist is not null and l.title is not null and lower(replace(l.artist, '#', '')) = lower(replace(c.artist, '#', '')) and l.title = c.title) then 'red'
+@query("dup_exact_passes", D.with_("tracks", """select c.id, case when exists (select 1 from tracks l where l.mode = 'collection' and l.artist is not null and l.title is not null and lower(replace(l.artist, '#', '')) = lower(replace(c.artist, '#', '')) and l.title = c.title) then 'red'
   else 'other' end as status from tracks c where c.mode = 'curating' and c.title is not null and c.artist is not null"""))
 def dup_exact_passes(spark, sf):
     t = D.tracks(spark, sf)

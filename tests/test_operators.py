@@ -75,7 +75,7 @@ def test_cue_sheets(spark, tmp_path):
         cue.write(spark.createDataFrame([], "sheet string, start_ms long, performer string, title string"), str(tmp_path / "out"))
 
 
-def _track(i, artist, title, filename, path="/music/t.mp3", mode="jukebox"):
+def _track(i, artist, title, filename, path="/music/t.mp3", mode="collection"):
     return (i, artist, title, filename, path, mode)
 
 
@@ -232,7 +232,7 @@ def test_index_from_files_to_cue_sheet(spark, tmp_path):
         with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
             w.setnchannels(1), w.setsampwidth(2), w.setframerate(22_050), w.writeframes((x * 20_000).astype("<i2").tobytes())
     store = Store(spark, str(tmp_path / "store"))
-    tracks = [(1, str(tmp_path / "a.wav"), "A", "One", "jukebox"), (2, str(tmp_path / "b.wav"), "B", "Two", "jukebox")]
+    tracks = [(1, str(tmp_path / "a.wav"), "A", "One", "collection"), (2, str(tmp_path / "b.wav"), "B", "Two", "collection")]
     with store.transaction():
         store.write("tracks", spark.createDataFrame(tracks, "id long, filepath string, artist string, title string, mode string"))
         store.write("fingerprints", spark.createDataFrame([], "track long, hash long, t long"))
