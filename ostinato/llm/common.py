@@ -46,7 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     with swept(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.parquet(path)
     forget_at_exit(spark, path)
     made = spark.read.schema(df.schema).parquet(path)
     made.cut_path = path
@@ -65,6 +65,16 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
+def drop_at_exit(spark: SparkSession, table: str) -> None:
+    """Take a table's name out of the catalog when the program ends, if the session is still there."""
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):
+            spark.sql(f"drop table if exists {table}")
+
+    atexit.register(drop)
+
+
 @contextlib.contextmanager
 def swept(spark: SparkSession) -> Iterator[None]:
     """What is written meanwhile leaves no shuffle files: Spark deletes those of each write when it is over."""

@@ -93,8 +93,9 @@ def remove_repeats(docs: DataFrame, k: int = 13, short: int = 6, filter_bits: in
     table = f"repeats_{uuid.uuid4().hex}"
     place = f"{common.shared_dir(spark)}/{table}"
     with common.swept(spark):
-        joined.select("own", "id", F.col("text").cast("binary").alias("text"), "first").write.format("parquet").option("compression", "zstd").option("path", place).bucketBy(parts, "id").sortBy("id").saveAsTable(table)
+        joined.select("own", "id", F.col("text").cast("binary").alias("text"), "first").write.format("parquet").option("path", place).bucketBy(parts, "id").sortBy("id").saveAsTable(table)
     common.forget_at_exit(spark, place)
+    common.drop_at_exit(spark, table)
     source = spark.table(table)
     firsts = source.filter("first > 0").select("id", "text", "first")
 

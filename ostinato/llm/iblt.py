@@ -14,7 +14,7 @@ TABLES = 3
 
 
 def paragraphs(text: Column) -> Column:
-    """Digests (64 bits, distinct) of the text's paragraphs: its lines, in pieces of 4 to 256 code points, smaller ones for a shorter text.
+    """Digests (64 bits, distinct) of the text's paragraphs: its lines, in pieces of 4 to 512 code points, smaller ones for a shorter text.
 
     The size of a piece depends on the text's code points only, which an edit in
     place leaves as they are. Texts
@@ -26,7 +26,7 @@ def paragraphs(text: Column) -> Column:
     def pieces(size: int) -> Column:
         return F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{size}}}"), F.lit(0))
 
-    found = F.when(n < 128, pieces(4)).when(n < 256, pieces(8)).when(n < 512, pieces(16)).when(n < 1024, pieces(32)).when(n < 4096, pieces(64)).when(n < 16384, pieces(128)).when(n <= 65536, pieces(256))
+    found = F.when(n < 64, pieces(4)).when(n < 128, pieces(8)).when(n < 256, pieces(16)).when(n < 512, pieces(32)).when(n < 1024, pieces(64)).when(n < 2048, pieces(128)).when(n < 8192, pieces(256)).when(n <= 65536, pieces(512))
     for power in range(7, 21):
         found = found.when(n <= 1024 << power, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << power}}}"), F.lit(0)))
     found = found.otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << 21}}}"), F.lit(0)))
@@ -43,15 +43,24 @@ def check(digest: Column) -> Column:
 
 
 def sketches(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """pairs(keys, width, a, b), digests in a and b: per row the cells of both sketches, as arrays in the cells' order.
+    """pairs(keys, parts, width, a, b), digests in a and b: per row and part the cells of both sketches, an array in the cells' order.
 
-    Adds xa, ca, na (xor of the digests, of their checks, number) and xb, cb,
-    nb. The rows are grouped as they lie: no exchange if pairs is already dealt
-    by some of the keys.
+    A sketch is made of `parts` small ones; a digest belongs to one of them, by
+    its hash, so that peeling never handles a large array. A cell has xa, ca, na
+    (xor of the digests, of their checks, number) and xb, cb, nb. The rows are
+    grouped as they lie: no exchange if pairs is already dealt by some of the
+    keys.
     """
-    side = F.explode(F.concat(F.transform("a", lambda x: F.struct(x.alias("x"), F.lit(True).alias("left"))), F.transform("b", lambda x: F.struct(x.alias("x"), F.lit(False).alias("left")))))
-    items = pairs.select(*keys, "width", side.alias("s")).select(*keys, "width", "s.x", "s.left", check(F.col("s.x")).alias("c"))
-    placed = items.select(*keys, "x", "c", "left", F.explode(F.array(*[cell(F.col("x"), t, F.col("width")) for t in range(TABLES)])).alias("at"))
+    keys = [*keys, "width", "part"]
+
+    def listed(name: str, left: bool) -> Column:
+        return F.transform(name, lambda x: F.struct(x.alias("x"), F.lit(left).alias("left"), F.pmod(F.xxhash64(x, F.lit(-2)), F.col("parts")).cast("int").alias("part")))
+
+    # in each part one without a digest stands for every cell, so that no cell is missing
+    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.lit(None).cast("long").alias("x"), F.lit(None).cast("boolean").alias("left"), i.alias("part")))
+    items = pairs.select("*", F.explode(F.concat(listed("a", True), listed("b", False), every)).alias("s")).select(*keys[:-1], "s.part", "s.x", "s.left", check(F.col("s.x")).alias("c"))
+    own = F.array(*[cell(F.col("x"), t, F.col("width")) for t in range(TABLES)])
+    placed = items.select(*keys, "x", "c", "left", F.explode(F.when(F.col("x").isNull(), F.sequence(F.lit(0), F.col("width") * TABLES - 1)).otherwise(own)).alias("at"))
 
     def of(value: str, left: bool) -> Column:
         return F.coalesce(F.bit_xor(F.when(F.col("left") == left, F.col(value))), F.lit(0).cast("long"))
@@ -60,59 +69,63 @@ def sketches(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "xa", "ca", "na", "xb", "cb", "nb"))).alias("cells"))
 
 
-def subtract(cells: Column, width: Column) -> Column:
+def subtract(cells: Column) -> Column:
     """The difference of two sketches, a struct (x, c, n) for every cell."""
-    nothing = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("n"))
-    sparse = F.map_from_entries(F.transform(cells, lambda s: F.struct(s["at"], F.struct(s["xa"].bitwiseXOR(s["xb"]).alias("x"), s["ca"].bitwiseXOR(s["cb"]).alias("c"), (s["na"] - s["nb"]).alias("n")))))
-    return F.transform(F.sequence(F.lit(0), width * TABLES - 1), lambda i: F.coalesce(F.try_element_at(sparse, i), nothing))
+    return F.transform(cells, lambda s: F.struct(s["xa"].bitwiseXOR(s["xb"]).alias("x"), s["ca"].bitwiseXOR(s["cb"]).alias("c"), (s["na"] - s["nb"]).alias("n")))
 
 
-def peel(difference: str, width: str, rounds: int = 60) -> Column:
-    """struct(cells, done, only_a, only_b): the digests that one sketch alone holds, by peeling pure cells off their difference.
+def peel(difference: str, width: str, rounds: int = 25) -> Column:
+    """struct(cells, idle, only_a, only_b): the digests that one sketch alone holds, by peeling pure cells off their difference.
 
-    A cell is pure if it counts one and its check is that of its digest. In each
-    round the pure cells' digests leave all their cells, which may make others
-    pure. What is left in cells tells whether all were recovered.
+    A cell is pure if it counts one and its check is that of its digest. The
+    subtables take turns: a subtable's pure cells hold different digests, which
+    leave all their cells, and that may make others pure. What is left in cells
+    tells whether all were recovered.
     """
     longs = "array<bigint>"
 
-    def put(cells: Column, at: Column, p: Column) -> Column:
-        old = F.element_at(cells, at + 1)
-        new = F.struct(old["x"].bitwiseXOR(p["x"]).alias("x"), old["c"].bitwiseXOR(p["c"]).alias("c"), (old["n"] - p["n"]).alias("n"))
-        return F.concat(F.slice(cells, F.lit(1), at), F.array(new), F.slice(cells, at + 2, F.size(cells)))
+    def placed(c: Column) -> Column:
+        own = [cell(c["x"], t, F.col(width)).alias(f"at{t}") for t in range(TABLES)]
+        return F.struct(c["x"].alias("x"), c["c"].alias("c"), c["n"].alias("n"), *own)
 
     def take(cells: Column, p: Column) -> Column:
-        return F.aggregate(F.array(*[cell(p["x"], t, F.col(width)) for t in range(TABLES)]), cells, lambda acc, at: put(acc, at, p))
+        def one(c: Column, i: Column) -> Column:
+            less = F.struct(c["x"].bitwiseXOR(p["x"]).alias("x"), c["c"].bitwiseXOR(p["c"]).alias("c"), (c["n"] - p["n"]).alias("n"))
+            return F.when(reduce(lambda a, b: a | b, [i == p[f"at{t}"] for t in range(TABLES)]), less).otherwise(c)
+
+        return F.transform(cells, one)
 
-    def step(s: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.filter(s["cells"], lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (c["c"] == check(c["x"]))))
+    def step(s: Column, turn: Column) -> Column:
+        own = F.slice(s["cells"], (turn % TABLES) * F.col(width) + 1, F.col(width))
+        pure = F.transform(F.filter(own, lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (c["c"] == check(c["x"]))), placed)
         after = F.transform(
             F.array(pure),
-            lambda found: F.struct(
-                F.aggregate(found, s["cells"], take).alias("cells"),
-                (F.size(found) == 0).alias("done"),
-                F.concat(s["only_a"], F.transform(F.filter(found, lambda p: p["n"] == 1), lambda p: p["x"])).alias("only_a"),
-                F.concat(s["only_b"], F.transform(F.filter(found, lambda p: p["n"] == -1), lambda p: p["x"])).alias("only_b"),
+            lambda found: F.when(F.size(found) == 0, F.struct(s["cells"].alias("cells"), (s["idle"] + 1).alias("idle"), s["only_a"].alias("only_a"), s["only_b"].alias("only_b"))).otherwise(
+                F.struct(
+                    F.aggregate(found, s["cells"], take).alias("cells"),
+                    F.lit(0).alias("idle"),
+                    F.concat(s["only_a"], F.transform(F.filter(found, lambda p: p["n"] == 1), lambda p: p["x"])).alias("only_a"),
+                    F.concat(s["only_b"], F.transform(F.filter(found, lambda p: p["n"] == -1), lambda p: p["x"])).alias("only_b"),
+                )
             ),
         )
-        return F.when(s["done"], s).otherwise(F.element_at(after, 1))
+        return F.when(s["idle"] >= TABLES, s).otherwise(F.element_at(after, 1))
 
-    start = F.struct(F.col(difference).alias("cells"), F.lit(False).alias("done"), F.array().cast(longs).alias("only_a"), F.array().cast(longs).alias("only_b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+    start = F.struct(F.col(difference).alias("cells"), F.lit(0).alias("idle"), F.array().cast(longs).alias("only_a"), F.array().cast(longs).alias("only_b"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds * TABLES - 1)), start, step)
 
 
 def differ(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """pairs(keys, width, a, b) -> keys, width, cells, ok, only_a, only_b; pairs of two empty sides have no row."""
-    found = sketches(pairs, [*keys, "width"]).withColumn("difference", subtract(F.col("cells"), F.col("width")))
+    """pairs(keys, parts, width, a, b) -> keys, width, part, cells, ok, only_a, only_b."""
+    found = sketches(pairs, keys).withColumn("difference", subtract(F.col("cells")))
     found = found.withColumn("peeled", peel("difference", "width"))
     whole = F.forall("peeled.cells", lambda c: (c["n"] == 0) & (c["x"] == 0) & (c["c"] == 0))
-    return found.select(*keys, "width", "cells", whole.alias("ok"), "peeled.only_a", "peeled.only_b")
+    return found.select(*keys, "width", "part", "cells", whole.alias("ok"), F.size("peeled.only_a").alias("only_a"), F.size("peeled.only_b").alias("only_b"), F.col("peeled.only_a").alias("digests_a"), F.col("peeled.only_b").alias("digests_b"))
 
 
-def _code(cells: Column, x: str, n: str, width: int) -> Column:
+def _code(cells: Column, x: str, n: str) -> Column:
     """A sketch as text: for each cell 16 hex digits of its xor and 4 of its number."""
-    sparse = F.map_from_entries(F.transform(cells, lambda s: F.struct(s["at"], F.concat(F.lpad(F.hex(s[x]), 16, "0"), F.lpad(F.hex(s[n] % 65536), 4, "0")))))
-    return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width * TABLES - 1)), lambda i: F.coalesce(F.try_element_at(sparse, i), F.lit("0" * 20))), ""))
+    return F.lower(F.array_join(F.transform(cells, lambda s: F.concat(F.lpad(F.hex(s[x]), 16, "0"), F.lpad(F.hex(s[n] % 65536), 4, "0"))), ""))
 
 
 def with_next(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame:
@@ -137,12 +150,12 @@ def with_next(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataF
     return told.filter("sent = 0").drop("sent")
 
 
-def near_next_and_edited(docs: DataFrame, base_width: int = 8, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_next_and_edited(docs: DataFrame, base_width: int = 8, width: int = 16, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and how many digests differ.
 
     The edited text has its last quarter of code points (rounded down) replaced
     by the first as many, or all, of the following document. Fingerprints are
-    sketches of base_width * 3 cells of the texts' paragraph digests; equal
+    sketches of base_width * 3 cells of all of the texts' paragraph digests; equal
     texts have equal ones. Likeness is twice the shared paragraphs by the sum of
     both numbers, 1 for two empty texts; the shared ones are what the difference
     of two sketches, peeled, leaves. Where the base sketches differ by too much
@@ -158,35 +171,35 @@ def near_next_and_edited(docs: DataFrame, base_width: int = 8, blocks: int | Non
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.floor(n / 4).cast("int")))
     source = told.withColumn("edited", edited).select("block", "pos", "id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", paragraphs(F.col("edited")).alias("e"), F.col("next").alias("n"))
     source = common.cut(source)
-    common.release(spark)
-    dealt = source.repartition(parts, "block", "pos")
-    ample = lambda a, b: (F.floor((F.size(a) + F.size(b)) / 2) + 24).cast("int")
+    dealt = source.repartition(4 * parts, "block", "pos")  # small enough that a task's cells stay in hash tables
+    split = lambda a, b: F.ceil((F.size(a) + F.size(b) + 1) / 16).cast("int")
 
-    def pair(kind: str, width: Column, b: str) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), width.alias("width"), F.col("a").alias("a"), F.col(b).alias("b"))
+    def pair(kind: str, parts: Column, width: int, b: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), parts.alias("parts"), F.lit(width).alias("width"), F.col("a").alias("a"), F.col(b).alias("b"))
 
-    many = F.size("a") + F.size("e") > 12
-    base = pair("edited", F.lit(base_width), "e")
-    asked = F.when(many, F.array(base, pair("edited", ample("a", "e"), "e"), pair("next", ample("a", "n"), "n"))).otherwise(F.array(base, pair("next", ample("a", "n"), "n")))
+    base = pair("base", F.lit(1), base_width, "e")
+    after = pair("next", split("a", "n"), width, "n")
+    asked = F.when(F.size("a") + F.size("e") > TABLES * base_width / 2, F.array(base, pair("edited", split("a", "e"), width, "e"), after)).otherwise(F.array(base, after))
     pairs = dealt.select("block", "pos", F.explode(asked).alias("p")).select("block", "pos", "p.*")
     tried = differ(pairs, ["block", "pos", "kind"])
-    gone = F.when(F.col("ok"), F.struct(F.size("only_a").alias("a"), F.size("only_b").alias("b")))
-    is_base = (F.col("kind") == "edited") & (F.col("width") == base_width)
+
+    def gone(own: Column) -> Column:
+        """Digests on either side alone, null if a part was not peeled."""
+        return F.when(F.min(F.when(own, F.col("ok").cast("int"))) == 1, F.struct(F.sum(F.when(own, F.col("only_a"))).alias("a"), F.sum(F.when(own, F.col("only_b"))).alias("b")))
+
+    is_base = F.col("kind") == "base"
     told = tried.groupBy("block", "pos").agg(
-        F.max(F.when(is_base, _code(F.col("cells"), "xa", "na", base_width))).alias("fingerprint"),
-        F.max(F.when(is_base, _code(F.col("cells"), "xb", "nb", base_width))).alias("edited_fingerprint"),
-        F.max(F.when(F.col("kind") == "edited", gone)).alias("edited"),
-        F.max(F.when(F.col("kind") == "next", gone)).alias("next"),
+        F.max(F.when(is_base, _code(F.col("cells"), "xa", "na"))).alias("fingerprint"),
+        F.max(F.when(is_base, _code(F.col("cells"), "xb", "nb"))).alias("edited_fingerprint"),
+        F.coalesce(gone(is_base), gone(F.col("kind") == "edited")).alias("edited"),
+        gone(F.col("kind") == "next").alias("next"),
     )
-    met = dealt.join(told, ["block", "pos"], "left")
-    nothing = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
-    met = met.withColumn("edited", F.when(F.size("a") + F.size("e") == 0, nothing).otherwise(F.col("edited"))).withColumn("next", F.when(F.size("a") + F.size("n") == 0, nothing).otherwise(F.col("next")))
+    met = dealt.join(told, ["block", "pos"])
     held = [F.when(F.col(x).isNull(), F.col(y)).alias(y) for x, y in (("edited", "e"), ("next", "n"))]
     lacking = F.col("edited").isNull() | F.col("next").isNull()
-    blank = F.lit("0" * (base_width * TABLES * 20))
     done = common.cut(
         met.select(
-            "block", "pos", "id", "n_chars", "edited_sha256", F.coalesce("fingerprint", blank).alias("fingerprint"), F.coalesce("edited_fingerprint", blank).alias("edited_fingerprint"), "edited", "next",
+            "block", "pos", "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "edited", "next",
             F.size("a").alias("sa"), F.size("e").alias("se"), F.size("n").alias("sn"), F.when(lacking, F.col("a")).alias("a"), *held,
         )
     )
@@ -196,11 +209,13 @@ def near_next_and_edited(docs: DataFrame, base_width: int = 8, blocks: int | Non
     for doubled in range(1, 12):
         if open_.isEmpty():
             break
-        result = differ(open_.withColumn("width", (ample("a", "b") * 2**doubled + doubled).cast("int")), ["block", "pos", "kind"])
-        result = common.cut(result.select("block", "pos", "kind", gone.alias("gone")))
+        result = differ(open_.withColumn("parts", split("a", "b")).withColumn("width", F.lit(width << doubled)), ["block", "pos", "kind"])
+        result = common.cut(result.groupBy("block", "pos", "kind").agg(gone(F.lit(True)).alias("gone")))
         right = result.filter("gone is not null")
         retried = right if retried is None else retried.union(right)
         open_ = open_.join(result.filter("gone is null").select("block", "pos", "kind"), ["block", "pos", "kind"], "left_semi")
+    if not open_.isEmpty():
+        raise RuntimeError("sketches of 2048 times the size could not be peeled")
     if retried is not None:
         late = retried.groupBy("block", "pos").agg(F.max(F.when(F.col("kind") == "edited", F.col("gone"))).alias("late_edited"), F.max(F.when(F.col("kind") == "next", F.col("gone"))).alias("late_next"))
         done = done.join(late, ["block", "pos"], "left").withColumn("edited", F.coalesce("edited", "late_edited")).withColumn("next", F.coalesce("next", "late_next"))
