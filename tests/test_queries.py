@@ -43,3 +43,16 @@ def test_runs_alike_twice(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["recording", "track", "start", "span", "track_start", "match_count", "ratio", "confidence"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_works_without_the_corpus_operators(tmp_path):
+    """The rest imports and registers its queries if that part is taken out."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/ostinato", tmp_path / "ostinato", ignore=lambda d, names: [n for n in names if n in ("llm", "__pycache__")])
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.registry.QUERIES))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert said.stdout.strip() == "True", said.stderr
