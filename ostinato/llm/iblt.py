@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -137,11 +138,16 @@ def with_next(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataF
     task needs more than a block.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = own.agg(F.percentile_approx("id", [i / blocks for i in range(blocks)], 10_000)).first()[0]
+    cuts = own.agg(F.percentile_approx("id", [i / blocks for i in range(blocks)], max(10_000, 4 * blocks))).first()[0]
     cuts = sorted(set(cuts or [0]))
-    firsts = F.array(*[F.lit(c).cast("long") for c in cuts])
-    block = F.greatest(F.size(F.filter(firsts, lambda c: c <= F.col("id"))) - 1, F.lit(0))
-    opens = F.col("id").isNull() | F.array_contains(firsts, F.col("id"))
+    # the block of an id in two steps, each over the square root of the blocks
+    step = math.isqrt(len(cuts) - 1) + 1
+    longs = lambda x: F.expr("array(" + ", ".join(f"{c}L" for c in x) + ")")
+    within = lambda a: F.greatest(F.size(F.filter(a, lambda c: c <= F.col("id"))) - 1, F.lit(0))
+    own = own.withColumn("part", within(longs(cuts[::step])))
+    near = F.slice(longs(cuts), F.col("part") * step + 1, F.lit(step))
+    block = F.col("part") * step + within(near)
+    opens = F.col("id").isNull() | F.array_contains(near, F.col("id"))
     here = F.struct(block.alias("block"), F.lit(0).alias("sent"))
     before = F.struct(F.pmod(block - 1, F.lit(len(cuts))).alias("block"), F.lit(1).alias("sent"))
     rows = own.withColumn("a", paragraphs(F.col("text"))).withColumn("to", F.explode(F.when(opens, F.array(here, before)).otherwise(F.array(here)))).select("to.block", "to.sent", "id", "text", "a", F.xxhash64("text").alias("h"))
@@ -165,7 +171,7 @@ def near_next_and_edited(docs: DataFrame, base_width: int = 8, width: int = 16,
     """
     spark = docs.sparkSession
     parts = common.partitions(spark)
-    blocks = blocks or min(512, max(64, 2 * parts))
+    blocks = blocks or min(2**14, max(64, 2 * parts))
     told = with_next(docs, blocks, id_col, text_col)
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.floor(n / 4).cast("int")))

@@ -40,13 +40,14 @@ def difference(sizes: list[int], parts: int) -> list[int]:
     return found
 
 
-def shard(docs: DataFrame, shards: int = 16, blocks: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, size (UTF-8 bytes and 1 more, null as none), text_crc32, law, shard, slot, grown_shard.
 
     Equal texts, which may not be parted, are one item (null and "" are equal).
     Items of over 1/256 of a shard's due in bytes or rows, at most 512 * shards
     of them, go to the last differencing one by one. The others are dealt into
-    `blocks` blocks by digest; each block's task combines them by differencing
+    `blocks` blocks by digest (by default twice the shuffle partitions, 64 to
+    16384); each block's task combines them by differencing
     into `shards` bundles, and these, too, go to the last differencing, on the
     driver: at most shards * (blocks + 512) numbers. Slots count from 0 in each
     shard without gaps: blocks of ids are counted first, rows within them then,
@@ -55,6 +56,7 @@ def shard(docs: DataFrame, shards: int = 16, blocks: int = 64, id_col: str = "do
     columns are ignored.
     """
     spark = docs.sparkSession
+    blocks = blocks or min(2**14, max(64, 2 * common.partitions(spark)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = common.cut(
         docs.select(

@@ -34,8 +34,8 @@ def simhash(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(count * 2 > len(raw)).tobytes(), "big", signed=True)
 
 
-def anchors(dimension: int, seed: int = 7) -> np.ndarray:
-    """The 2**dimension words of a linear [64, dimension] code that holds the word of all ones.
+def anchors(dimension: int, seed: int = 7, bits: int = BITS) -> np.ndarray:
+    """The 2**dimension words of a linear [bits, dimension] code that holds the word of all ones.
 
     Random linear codes come near the sphere-covering bound.
     """
@@ -50,9 +50,9 @@ def anchors(dimension: int, seed: int = 7) -> np.ndarray:
             reduced.sort(reverse=True)
         return bool(g)
 
-    tries = iter([2**BITS - 1])
+    tries = iter([2**bits - 1])
     while len(basis) < dimension:
-        g = next(tries, None) or int(rng.integers(0, 2**BITS, dtype=np.uint64))
+        g = next(tries, None) or int(rng.integers(0, 2**bits, dtype=np.uint64))
         if independent(g):
             basis.append(g)
     found = np.zeros(1, np.uint64)
@@ -72,16 +72,46 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(run, "id long, fp long")
 
 
-def _meet(batches: Iterator[pa.RecordBatch], code: np.ndarray, bits: int, salts: int) -> Iterator[pa.RecordBatch]:
+def within_reach(fps: np.ndarray, code: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which fingerprint meets which anchor, by place, and each one's home.
+
+    code: one array of anchors; or two, of the upper and lower 32 bits of the
+    words of a product code, so that many more anchors can be told without
+    listing them all.
+    """
+    if len(code) == 1:
+        apart = np.bitwise_count(fps[:, None] ^ code[0][None, :])
+        row, anchor = np.nonzero(apart <= apart.min(axis=1)[:, None] + bits)
+        return row, anchor, apart.argmin(axis=1)
+    upper = np.bitwise_count((fps >> np.uint64(32))[:, None] ^ code[0][None, :]).astype(int)
+    lower = np.bitwise_count((fps & np.uint64(2**32 - 1))[:, None] ^ code[1][None, :]).astype(int)
+    home = upper.argmin(axis=1) * len(code[1]) + lower.argmin(axis=1)
+    upper, lower = upper - upper.min(axis=1)[:, None], lower - lower.min(axis=1)[:, None]
+    rows, found = [], []
+    for i, (u, v) in enumerate(zip(upper, lower, strict=True)):
+        a, b = np.nonzero(u <= bits)[0], np.nonzero(v <= bits)[0]
+        x, y = np.nonzero(u[a][:, None] + v[b][None, :] <= bits)
+        found.append(a[x] * len(code[1]) + b[y])
+        rows.append(np.full(len(x), i))
+    return np.concatenate(rows), np.concatenate(found), home
+
+
+def covering_code(dimension: int) -> list[np.ndarray]:
+    """Anchors of a code of that dimension, as within_reach takes them: up to 2**14 words in one list, more as a product of two codes."""
+    if dimension <= 14:
+        return [anchors(dimension)]
+    half = -(-dimension // 2)
+    return [anchors(half, 7, 32), anchors(half, 8, 32)]
+
+
+def _meet(batches: Iterator[pa.RecordBatch], code: list[np.ndarray], bits: int, salts: int) -> Iterator[pa.RecordBatch]:
     """Rows (anchor, salt, home, fp, node): a home row in every salt of its anchor, a copy in its own salt of each anchor in reach."""
     for b in batches:
         fps, nodes = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
         for i in range(0, len(fps), 128):
             f, n = fps[i : i + 128], nodes[i : i + 128]
-            apart = np.bitwise_count(f.view(np.uint64)[:, None] ^ code[None, :])
-            nearest = apart.min(axis=1)
-            row, anchor = np.nonzero(apart <= nearest[:, None] + bits)
-            home = np.repeat(apart.argmin(axis=1), salts)
+            row, anchor, home = within_reach(f.view(np.uint64), code, bits)
+            home = np.repeat(home, salts)
             every = np.tile(np.arange(salts), len(f))
             yield pa.record_batch(
                 [
@@ -184,14 +214,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document for each fingerprint they have; rows whose id is null take the
     component of their fingerprint, null if it has no other row. Other columns
     are ignored. per_anchor: about as many distinct fingerprints as anchors are
-    made for, up to 2**16 anchors; salts: tasks over which an anchor's members
+    made for, up to 2**28 anchors; salts: tasks over which an anchor's members
     are dealt.
     """
     rows = common.cut(fingerprints(docs, id_col, text_col, words, seed))
     known = common.cut(rows.groupBy("fp").agg(F.min("id").alias("node")))
     n = known.count()
-    dimension = min(16, max(4, (max(1, n) // per_anchor).bit_length()))
-    code = anchors(dimension)
+    code = covering_code(min(28, max(4, (max(1, n) // per_anchor).bit_length())))
     parts = max(common.partitions(docs.sparkSession), 1)
     met = known.filter("node is not null").repartition(parts).mapInArrow(lambda batches: _meet(batches, code, bits, salts), "anchor int, salt int, home boolean, fp long, node long")
     links = met.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(lambda batches: _compare(batches, bits), "a long, b long")

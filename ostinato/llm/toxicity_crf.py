@@ -257,11 +257,10 @@ class Scorer:
 SPANS = "array<struct<start:int,end:int,marginal:double>>"
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """The field of labelled documents: of each label at most most_rows, those of least hashed id.
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, most_chars: int = 2**16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
+    """The field of labelled documents: of each label at most most_rows, those of least hashed id, less texts of over most_chars.
 
-    The bound holds what the driver takes in; it is the only sample, and no
-    score depends on how many rows there are beyond it. Null labels and null
+    The bounds hold what the driver takes in; they make the only sample. Null labels and null
     texts are left out.
     """
     own = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).distinct()
@@ -269,7 +268,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, id_col: str
     for y in (0, 1):
         some = own.filter(F.col("__y") == y).orderBy(F.xxhash64(F.lit("learn"), "__id"), "__id").limit(most_rows)
         picked = some if picked is None else picked.union(some)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id").filter("__text is not null").select("__id", "__text", "__y").collect()
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id").filter(F.length("__text") <= most_chars).select("__id", "__text", "__y").collect()
     rows.sort(key=lambda r: (r[0], r[2], r[1]))
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
