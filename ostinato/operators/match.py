@@ -40,15 +40,17 @@ def hash_pairs(query: DataFrame, library: DataFrame, keys: list[str], least: int
 def tempo_histogram(pairs: DataFrame, keys: list[str], kind: str = "mix") -> DataFrame:
     """Per (keys, track) the ratio and offset at which most pairs agree: i, peak, center; ties go to the lowest ratio and bin."""
     by = [*keys, "track"]
-    adjusted = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(RATIOS[kind][2] - 1)))).withColumn("adj", F.col("qt") - F.col("dt") * ratio(kind, F.col("i")))
-    span = adjusted.groupBy(*by, "i").agg(F.min("adj").alias("lo"), F.max("adj").alias("hi"), F.median("adj").alias("mid"), F.count(F.lit(1)).alias("n"))
-    wide = adjusted.join(span.filter(F.col("hi") - F.col("lo") >= BIN), [*by, "i"])
+    at = [F.col("qt") - F.col("dt") * ratio(kind, F.lit(i)) for i in range(RATIOS[kind][2])]
+    spans = pairs.groupBy(*by).agg(F.array(*map(F.min, at)).alias("los"), F.array(*map(F.max, at)).alias("his"))
+    # the pairs meet their ranges once; times ratios they only live within a task
+    every = F.posexplode(F.transform(F.arrays_zip("los", "his"), lambda x: F.struct(x["los"].alias("lo"), x["his"].alias("hi")))).alias("i", "r")
+    adjusted = pairs.join(spans, by).select(*by, "qt", "dt", every).select(*by, "i", "r.lo", "r.hi", (F.col("qt") - F.col("dt") * ratio(kind, F.col("i"))).alias("adj"))
     slot = F.least(F.floor((F.col("adj") - F.col("lo")) / BIN), F.ceil((F.col("hi") - F.col("lo")) / BIN) - 1)
     # numpy's bins divide the range evenly; their last is closed
-    bins = wide.withColumn("bin", slot).groupBy(*by, "i", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("lo").alias("lo"))
+    bins = adjusted.filter(F.col("hi") - F.col("lo") >= BIN).groupBy(*by, "i", slot.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("lo").alias("lo"))
     top = bins.groupBy(*by, "i").agg(F.max("c").alias("peak"), F.min_by("bin", F.struct(-F.col("c"), F.col("bin"))).alias("bin"), F.first("lo").alias("lo"))
     top = top.select(*by, "i", "peak", (F.col("lo") + F.col("bin") * BIN + 100).cast("long").alias("center"))
-    narrow = span.filter(F.col("hi") - F.col("lo") < BIN).select(*by, "i", F.col("n").alias("peak"), F.col("mid").cast("long").alias("center"))
+    narrow = adjusted.filter(F.col("hi") - F.col("lo") < BIN).groupBy(*by, "i").agg(F.count(F.lit(1)).alias("peak"), F.median("adj").cast("long").alias("center"))
     return top.unionByName(narrow).groupBy(*by).agg(F.min_by(F.struct("i", "peak", "center"), F.struct(-F.col("peak"), F.col("i"))).alias("best")).select(*by, "best.*")
 
 
