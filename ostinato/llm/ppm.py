@@ -24,6 +24,8 @@ from . import common
 
 SPACE, END = 32, b"\n"
 U = np.uint64
+#: Contexts of up to so many bytes, 65536 at most, are sent to every task; longer ones are dealt by their last LOW + 1 bytes.
+LOW = 2
 
 
 def symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,17 +63,40 @@ def counted(words: list[bytes], counts: np.ndarray, order: int) -> tuple[np.ndar
     return np.concatenate(found), np.concatenate(sums)
 
 
+def _bucket(total: np.ndarray, degree: np.ndarray) -> np.ndarray:
+    return np.minimum(63, (3 * np.log2(np.maximum(total, 1))).astype(np.int64)) * 8 + np.minimum(7, (2 * np.log2(np.maximum(degree, 1))).astype(np.int64))
+
+
+def escapes(depth: np.ndarray, total: np.ndarray, degree: np.ndarray, once: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """By depth, total and degree: how many contexts there are, and how many of them the last symbol to come was new to.
+
+    That is each context's share of symbols seen once (leave one out); it
+    speaks of contexts with one symbol less. Of a trie in parts the parts' sums
+    are the whole's.
+    """
+    use = total > 1
+    slot = depth[use] * 512 + _bucket(total[use] - 1, np.maximum(1, degree[use]))
+    size = (order + 1) * 512
+    return np.bincount(slot, minlength=size), np.bincount(slot, once[use] / total[use], size)
+
+
+def estimate(met: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Escape estimation: how often, in contexts of like depth, total and degree, the last symbol to come was a new one."""
+    return (new + 0.5 * 0.3) / (met + 0.5)
+
+
 class Trie:
     """Log probabilities (base 10) by sorted keys and counts."""
 
-    def __init__(self, key: np.ndarray, count: np.ndarray, order: int):
+    def __init__(self, key: np.ndarray, count: np.ndarray, order: int, novel: np.ndarray | None = None):
+        """novel: the escape estimation of the whole trie, if this is a part of one."""
         by = np.argsort(key)
         self.order, self.key, count = order, key[by], count[by]
         self.context, first, self.of_pair, degree = np.unique(self.key >> U(8), return_index=True, return_inverse=True, return_counts=True)
         total = np.add.reduceat(count, first) if len(first) else np.zeros(0)
         once = np.add.reduceat((count == 1).astype(np.int64), first) if len(first) else np.zeros(0)
         depth = (self.context >> U(48)).astype(np.int64)
-        self._estimate(depth, total, degree, once)
+        self.novel = estimate(*escapes(depth, total, degree, once, order)) if novel is None else novel
         self.log_count = np.log10(count)
         with np.errstate(divide="ignore"):
             novel = self._novelty(depth, total, degree)
@@ -102,31 +127,18 @@ class Trie:
         made.__dict__.update(state)
         return made
 
-    @staticmethod
-    def _bucket(total: np.ndarray, degree: np.ndarray) -> np.ndarray:
-        return np.minimum(63, (3 * np.log2(np.maximum(total, 1))).astype(np.int64)) * 8 + np.minimum(7, (2 * np.log2(np.maximum(degree, 1))).astype(np.int64))
-
-    def _estimate(self, depth: np.ndarray, total: np.ndarray, degree: np.ndarray, once: np.ndarray) -> None:
-        """Escape estimation: how often, in contexts of like depth, total and degree, the last symbol to come was a new one.
-
-        That is each context's share of symbols seen once (leave one out); it
-        speaks of contexts with one symbol less.
-        """
-        use = total > 1
-        slot = depth[use] * 512 + self._bucket(total[use] - 1, np.maximum(1, degree[use] - (once[use] > 0) * 0))
-        size = (self.order + 1) * 512
-        share = once[use] / total[use]
-        met, new = np.bincount(slot, minlength=size), np.bincount(slot, share, size)
-        self.novel = (new + 0.5 * 0.3) / (met + 0.5)
-
     def _novelty(self, depth: np.ndarray, total: np.ndarray, degree: np.ndarray) -> np.ndarray:
-        return np.clip(self.novel[depth * 512 + self._bucket(total, degree)], 1e-7, 0.95)
+        return np.clip(self.novel[depth * 512 + _bucket(total, degree)], 1e-7, 0.95)
 
     def score(self, words: list[bytes], made: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """log10 of each token's probability; made: symbols(words), if it is there already."""
         if not words:
             return np.zeros(0)
         window, reach, word = made or symbols(words)
+        return np.bincount(word, self.score_at(window, reach), len(words))
+
+    def score_at(self, window: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each window's last byte, of whose bytes before `reach` count."""
         if "places" not in self.__dict__:  # hash tables, made once a process
             self.places = pd.Index(self.key), pd.Index(self.context)
         pairs, contexts = self.places
@@ -151,7 +163,7 @@ class Trie:
             keep[own[hit]] = False
             todo = todo[keep]
         out[todo] += self.unseen
-        return np.bincount(word, out, len(words))
+        return out
 
 
 def _count_words(batches: Iterator[pa.RecordBatch], most: int = 150_000) -> Iterator[pa.RecordBatch]:
@@ -180,16 +192,16 @@ def _count_words(batches: Iterator[pa.RecordBatch], most: int = 150_000) -> Iter
     yield out(held)
 
 
-def score(docs: DataFrame, train: str, order: int = 6, frequent: int = 2**17, contexts: int = 2**20, most_classes: int = 16, class_col: str | None = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: str, order: int = 6, frequent: int = 2**17, most_classes: int = 16, class_col: str | None = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability).
 
     train: SQL condition on docs that says which rows are learnt from; the
     others are held out (null: held out). A text's probability mixes one trie a
     class, weighed by the class's share of the training texts; the text's own
     class is not used. Of more than most_classes classes the rarest share a
-    trie. Of the contexts those are kept that have at least 1/contexts of all
-    bytes learnt, a bound at any size; a text in which others occur is predicted
-    from their shorter ones. At most `frequent` words, the most frequent, are
+    trie. Every context learnt is kept: those of up to LOW bytes are sent to the
+    tasks, the others meet the bytes to predict where both are dealt by the
+    context's last bytes. At most `frequent` words, the most frequent, are
     sent to the tasks that read texts; the others meet their scores in a join.
     A null text is empty and has the end token only. Nothing to learn from: any
     byte is as likely as another. Rows that repeat are scored one by one.
@@ -219,23 +231,83 @@ def score(docs: DataFrame, train: str, order: int = 6, frequent: int = 2**17, co
                 yield pa.record_batch([pa.array(np.full(len(key), c, np.int32)), pa.array(key.view(np.int64)), pa.array(count)], ["class", "key", "n"])
 
     trie = common.cut(by_class.filter("n > 0").mapInArrow(pairs, "class int, key long, n long").groupBy("class", "key").agg(F.sum("n").alias("n")))
-    of = F.shiftrightunsigned("key", 8).alias("context")
-    learnt = trie.filter(F.shiftrightunsigned("key", 56) == 0).agg(F.sum("n")).first()[0] or 0
-    large = trie.groupBy("class", of).agg(F.sum("n").alias("all")).filter(F.col("all") >= F.lit(learnt / contexts)).select("class", "context")
-    kept = trie.withColumn("context", of).join(large, ["class", "context"], "left_semi").select("class", "key", "n").toArrow()
+    high = F.shiftrightunsigned("key", 56) > LOW
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            kind, context, total, degree, once = (b.column(j).to_numpy() for j in range(5))
+            for c in np.unique(kind).tolist():
+                own = kind == c
+                found = escapes(context[own] >> 48, total[own], degree[own], once[own], order)
+                held[c] = [x + y for x, y in zip(held[c], found, strict=True)] if c in held else list(found)
+        for c, (met, new) in held.items():
+            slot = np.nonzero(met)[0]
+            yield pa.record_batch([pa.array(np.full(len(slot), c, np.int32)), pa.array(slot), pa.array(met[slot]), pa.array(new[slot])], ["class", "slot", "met", "new"])
+
+    of = trie.groupBy("class", F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("degree"), F.count_if(F.col("n") == 1).alias("once"))
+    told = of.mapInArrow(sums, "class int, slot long, met long, new double").groupBy("class", "slot").agg(F.sum("met").alias("met"), F.sum("new").alias("new")).toArrow()
+    met, new = np.zeros((2, classes, (order + 1) * 512))
+    at = told.column("class").to_numpy(), told.column("slot").to_numpy()
+    met[at], new[at] = told.column("met").to_numpy(), told.column("new").to_numpy()
+    kept = trie.filter(~high).select("class", "key", "n").toArrow()
     c, key, n = (kept.column(x).to_numpy() for x in ("class", "key", "n"))
-    tries = spark.sparkContext.broadcast([vars(Trie(key[c == i].view(U), n[c == i], order)) for i in range(classes)])
+    low = spark.sparkContext.broadcast([(key[c == i].view(U), n[c == i], estimate(met[i], new[i])) for i in range(classes)])
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A number for each word, and what its bytes of up to LOW before them come to."""
+        from pyspark import TaskContext
+
+        tries = [Trie(*x[:2], order, x[2]) for x in low.value]
+        wid = TaskContext.get().partitionId() << 33
+        for b in batches:
+            window, reach, word = symbols(b.column(0).to_pylist()) if b.num_rows else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            own = np.minimum(reach, order) <= LOW
+            yield pa.record_batch([*b.columns, pa.array(np.arange(wid, wid + b.num_rows)), *(pa.array(np.bincount(word[own], t.score_at(window[own], reach[own]), b.num_rows)) for t in tries)], ["word", "n", "wid", *names])
+            wid += b.num_rows
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other bytes, each with its longest context, of class -1; n is the word's number."""
+        for b in batches:
+            own, wid = b.column(0).to_pylist(), b.column(1).to_numpy()
+            for i in range(0, len(own), 10_000):
+                window, reach, word = symbols(own[i : i + 10_000])
+                reach = np.minimum(reach, order)
+                far = np.nonzero(reach > LOW)[0]
+                key = np.zeros(len(far), U)
+                for k in range(LOW + 1, order + 1):
+                    here = reach[far] == k
+                    key[here] = keys(window[far[here]], k)
+                yield pa.record_batch([pa.array(np.full(len(far), -1, np.int32)), pa.array(key.view(np.int64)), pa.array(wid[i + word[far]])], ["class", "key", "n"])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_tries = [Trie.of(x) for x in tries.value]
+        """The pairs of a part of the trie come first, then the bytes that they predict."""
+        held, tries = [], None
         for b in batches:
-            own = b.column(0).to_pylist()
-            made = symbols(own) if own else None
-            yield pa.record_batch([*b.columns, *(pa.array(t.score(own, made)) for t in own_tries)], ["word", "n", *names])
+            kind, key, n = (b.column(j).to_numpy() for j in range(3))
+            ask = int(np.count_nonzero(kind >= 0))
+            held += [(kind[:ask], key[:ask].view(U), n[:ask])] if ask else []
+            if ask == len(kind):
+                continue
+            if tries is None:
+                kinds, pair, count = (np.concatenate([x[j] for x in held]) if held else np.zeros(0, (np.int32, U, np.int64)[j]) for j in range(3))
+                tries = [Trie(np.concatenate([k, pair[kinds == i]]), np.concatenate([m, count[kinds == i]]), order, novel) for i, (k, m, novel) in enumerate(low.value)]
+                held = []
+            window = key[ask:].view(U)
+            back, wid = pd.factorize(n[ask:])
+            reach = (window >> U(56)).astype(np.int64)
+            yield pa.record_batch([pa.array(wid), *(pa.array(np.bincount(back, t.score_at(window, reach), len(wid))) for t in tries)], ["wid", *names])
 
     names = [f"p{i}" for i in range(classes)]
+    doubles = ", ".join(f"{x} double" for x in names)
+    numbered = common.cut(words.mapInArrow(short, "word binary, n long, wid long, " + doubles))
+    parts = max(common.partitions(spark), 1)
+    suffix = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1))
+    both = trie.filter(high).select("class", "key", "n").union(numbered.select("word", "wid").mapInArrow(asked, "class int, key long, n long"))
+    parted = both.repartition(parts, suffix).sortWithinPartitions(F.col("class") < 0).mapInArrow(rate, "wid long, " + doubles)
+    long = parted.groupBy("wid").agg(*[F.sum(x).alias(f"long_{x}") for x in names])
     base = F.log10((F.col("n") + 0.1) / (tokens + 0.1 * (kinds + 1)))
-    rated = words.mapInArrow(rate, "word binary, n long, " + ", ".join(f"{x} double" for x in names)).withColumn("base", base).withColumn("known", (F.col("n") > 0).cast("long"))
+    rated = numbered.join(long, "wid", "left").select("word", "n", *[(F.col(x) + F.coalesce(F.col(f"long_{x}"), F.lit(0.0))).alias(x) for x in names], base.alias("base"), (F.col("n") > 0).cast("long").alias("known"))
     rated = common.cut(rated)
     room, least = frequent, None
     for r in bins:

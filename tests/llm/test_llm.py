@@ -344,6 +344,18 @@ def test_trie_by_the_book():
     assert again.score(asked).tolist() == fast.score(asked).tolist()
 
 
+def test_rare_contexts_are_kept(spark):
+    heavy = ["abcdef " * 40_000] * 8  # 2.2 MB learnt, of which one byte is less than 2**-20
+    texts = [*heavy, "wonderful", "wonderful", "abcdefgh wonderfully"]
+    df = spark.createDataFrame([(i, t, ("en", "de")[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r.score for r in ppm.score(df, "doc_id < 10").collect()}
+    counts = [Counter(w for i, t in enumerate(texts[:10]) if i % 2 == c for w in [*t.encode().split(), b"\n"]) for c in range(2)]
+    tries = [ppm.Trie(*ppm.counted(list(c), np.array(list(c.values())), 6), 6) for c in counts]
+    for i, t in enumerate(texts):
+        by_class = [math.log10(0.5) + trie.score([*t.encode().split(), b"\n"]).sum() for trie in tries]
+        assert found[i] == pytest.approx(max(by_class) + math.log10(sum(10 ** (x - max(by_class)) for x in by_class)), rel=1e-5)
+
+
 def test_trie_is_a_distribution():
     counts = Counter({b"ab": 5, b"abc": 2, b"b": 1})
     fast = ppm.Trie(*ppm.counted(list(counts), np.array(list(counts.values())), 2), 2)
