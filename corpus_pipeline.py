@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import common, exact_dedup, mixing, packing, simhash_anchor, toxicity_crf
+from ostinato.llm import common, exact_dedup, mixing, near_jaccard, packing, toxicity_crf
 
 #: A document goes if its score is at least this.
 REJECT = 0.7
@@ -24,9 +24,8 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row of the smallest id."""
-    groups = simhash_anchor.near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(groups.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns)
+    """Of each group of near duplicates, by five-word shingles of similarity 0.8 or more, the row of the smallest id."""
+    return near_jaccard.drop_near(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,35 @@ def test_agrees_with_sql(spark, name):
     order = sorted(found.columns)
     assert order == sorted(told.columns)
     assert sorted(tuple(str(r[c]) for c in order) for r in found.collect()) == sorted(tuple(str(r[told.columns.index(c)]) for c in order) for r in told.fetchall())
+
+
+def test_near_dedup_by_jaccard(spark):
+    import random
+
+    rng = random.Random(3)
+    line = [f"line{i}" for i in range(30)]
+    given = [None, "", " ", "a b", "A  b", "a b c d e"]
+    for n in (6, 25, 60, 235, 611):
+        for _ in range(4):
+            base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            given += [" ".join(base), " ".join(base + line), " ".join(line + base[n // 2 :])]
+            for edits in (1, 2, 3, 4, 6, 9, 14):
+                w = list(base)
+                for at in rng.sample(range(n), min(n, edits)):
+                    w[at] = f"x{rng.randrange(5000)}"
+                given.append(" ".join(w))
+    rows = [(i * 7 % 1009, t) for i, t in enumerate(given)]
+    sets = {}
+    for d, t in rows:
+        w = (t or "").lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    group = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                x, y = sorted((group[a], group[b]))
+                group = {d: x if g == y else g for d, g in group.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = dict(pipeline.STAGES)["near dedup"](spark, df, SF)
+    assert found.columns == df.columns and {r.doc_id for r in found.collect()} == set(group.values())
+    assert 20 < len(set(group.values())) < len(rows) - 20
