@@ -14,15 +14,23 @@ from . import common
 TABLES = 3
 
 
-def paragraphs(text: Column) -> Column:
+def piece(n: Column) -> Column:
+    """Code points of a piece of a text of n."""
+    size = F.when(n < 64, 4).when(n < 128, 8).when(n < 256, 16).when(n < 512, 32).when(n < 1024, 64).when(n < 2048, 128).when(n < 8192, 256).when(n <= 65536, 512)
+    for power in range(7, 21):
+        size = size.when(n <= 1024 << power, 65536 + (1 << power))  # regardless of lines
+    return size.otherwise(65536 + (1 << 21))
+
+
+def paragraphs(text: Column, n: Column | None = None) -> Column:
     """Digests (64 bits, distinct) of the text's paragraphs: its lines, in pieces of 4 to 512 code points, smaller ones for a shorter text.
 
-    The size of a piece depends on the text's code points only, which an edit in
-    place leaves as they are. Texts
-    of over 65536 code points are cut regardless of lines, into 1024 pieces or
+    The size of a piece depends on the text's number of code points only, or on
+    n, that of a text to be compared with: texts cut at one size share the
+    pieces of what they have in common. Texts of over 65536 code points are cut regardless of lines, into 1024 pieces or
     somewhat more, so that a sketch of any text is bounded.
     """
-    n = F.length(text)
+    n = F.length(text) if n is None else n
 
     def pieces(size: int) -> Column:
         return F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{size}}}"), F.lit(0))
@@ -164,7 +172,9 @@ def near_next_and_edited(docs: DataFrame, base_width: int = 8, width: int = 16,
     sketches of base_width * 3 cells of all of the texts' paragraph digests; equal
     texts have equal ones. Likeness is twice the shared paragraphs by the sum of
     both numbers, 1 for two empty texts; the shared ones are what the difference
-    of two sketches, peeled, leaves. Where the base sketches differ by too much
+    of two sketches, peeled, leaves. For near_edited both texts are cut at the
+    first one's size, as the edited text may be shorter; its fingerprint, like
+    any text's, is of pieces of its own size. Where the base sketches differ by too much
     to be peeled, larger ones are subtracted, twice as large each time, until
     all digests are recovered. Null is the empty text. Rows that repeat follow
     each other; a single row follows itself. Other columns don't count.
@@ -175,17 +185,18 @@ def near_next_and_edited(docs: DataFrame, base_width: int = 8, width: int = 16,
     told = with_next(docs, blocks, id_col, text_col)
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.floor(n / 4).cast("int")))
-    source = told.withColumn("edited", edited).select("block", "pos", "id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", paragraphs(F.col("edited")).alias("e"), F.col("next").alias("n"))
-    source = common.cut(source)
+    source = told.withColumn("edited", edited).select("block", "pos", "id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", paragraphs(F.col("edited"), n).alias("e"), F.col("next").alias("n"), "edited", (piece(n) != piece(F.length("edited"))).alias("other"))
+    # f: the edited text's pieces of its own size, if that is another
+    source = common.cut(source.withColumn("f", F.when(F.col("other"), paragraphs(F.col("edited")))).drop("edited", "other"))
     dealt = source.repartition(4 * parts, "block", "pos")  # small enough that a task's cells stay in hash tables
     split = lambda a, b: F.ceil((F.size(a) + F.size(b) + 1) / 16).cast("int")
 
-    def pair(kind: str, parts: Column, width: int, b: str) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), parts.alias("parts"), F.lit(width).alias("width"), F.col("a").alias("a"), F.col(b).alias("b"))
+    def pair(kind: str, parts: Column, width: int, b: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), parts.alias("parts"), F.lit(width).alias("width"), F.col("a").alias("a"), b.alias("b"))
 
-    base = pair("base", F.lit(1), base_width, "e")
-    after = pair("next", split("a", "n"), width, "n")
-    asked = F.when(F.size("a") + F.size("e") > TABLES * base_width / 2, F.array(base, pair("edited", split("a", "e"), width, "e"), after)).otherwise(F.array(base, after))
+    base = pair("base", F.lit(1), base_width, F.coalesce("f", "e"))
+    after = pair("next", split("a", "n"), width, F.col("n"))
+    asked = F.when((F.size("a") + F.size("e") > TABLES * base_width / 2) | F.col("f").isNotNull(), F.array(base, pair("edited", split("a", "e"), width, F.col("e")), after)).otherwise(F.array(base, after))
     pairs = dealt.select("block", "pos", F.explode(asked).alias("p")).select("block", "pos", "p.*")
     tried = differ(pairs, ["block", "pos", "kind"])
 
@@ -197,10 +208,11 @@ def near_next_and_edited(docs: DataFrame, base_width: int = 8, width: int = 16,
     told = tried.groupBy("block", "pos").agg(
         F.max(F.when(is_base, _code(F.col("cells"), "xa", "na"))).alias("fingerprint"),
         F.max(F.when(is_base, _code(F.col("cells"), "xb", "nb"))).alias("edited_fingerprint"),
-        F.coalesce(gone(is_base), gone(F.col("kind") == "edited")).alias("edited"),
+        gone(is_base).alias("base"),
+        gone(F.col("kind") == "edited").alias("edited"),
         gone(F.col("kind") == "next").alias("next"),
     )
-    met = dealt.join(told, ["block", "pos"])
+    met = dealt.join(told, ["block", "pos"]).withColumn("edited", F.coalesce(F.when(F.col("f").isNull(), F.col("base")), "edited"))
     held = [F.when(F.col(x).isNull(), F.col(y)).alias(y) for x, y in (("edited", "e"), ("next", "n"))]
     lacking = F.col("edited").isNull() | F.col("next").isNull()
     done = common.cut(

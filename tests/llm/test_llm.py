@@ -390,6 +390,22 @@ def test_fingerprints(spark, rows, empty):
     assert iblt.near_next_and_edited(df.limit(1)).count() == 1
 
 
+def test_edited_text_of_another_size_shares_its_start(spark):
+    rng = np.random.default_rng(2)
+    long = ["".join(chr(97 + int(x)) for x in rng.integers(0, 26, n)) for n in (600, 1100, 2500, 9000, 70_000)]
+    texts = [t for x in long for t in (x, "next")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in iblt.near_next_and_edited(df, blocks=2).collect()}
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        size = next(z for m, z in ((64, 4), (128, 8), (256, 16), (512, 32), (1024, 64), (2048, 128), (8192, 256), (65537, 512), (131073, 128)) if len(t) < m)
+        a, e = ({x[j : j + size] for j in range(0, len(x), size)} for x in (t, edited))
+        assert found[i].near_edited == pytest.approx(2 * len(a & e) / (len(a) + len(e)))
+        if len(t) > 512:
+            assert found[i].near_edited > 0.7
+
+
 def test_peeling_recovers_digests(spark):
     rows = [(i, list(range(i)), list(range(i // 2, i + 5)), 2, 16) for i in range(0, 40, 3)]
     df = spark.createDataFrame(rows, "id int, a array<long>, b array<long>, parts int, width int")
