@@ -55,8 +55,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a cut that nothing will read again."""
-    spark = df.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    delete(df.sparkSession, df.cut_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
@@ -65,16 +68,6 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
-def drop_at_exit(spark: SparkSession, table: str) -> None:
-    """Take a table's name out of the catalog when the program ends, if the session is still there."""
-
-    def drop() -> None:
-        with contextlib.suppress(Exception):
-            spark.sql(f"drop table if exists {table}")
-
-    atexit.register(drop)
-
-
 @contextlib.contextmanager
 def swept(spark: SparkSession) -> Iterator[None]:
     """What is written meanwhile leaves no shuffle files: Spark deletes those of each write when it is over."""

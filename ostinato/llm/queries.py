@@ -98,9 +98,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_debruijn_repeats")
+@query(
+    "op9_debruijn_repeats",
+    r"""with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+w as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from t),
+s as (select doc_id, unnest(range(1, len(words) - 11)) as i, unnest(list_transform(range(1, len(words) - 11), lambda i: array_to_string(words[i:i + 12], ' '))) as said from t where len(words) > 12),
+g as (select doc_id, i, min(doc_id) over (partition by said) < doc_id as again from s),
+c as (select w.*, coalesce(bool_or(again) over (partition by w.doc_id order by w.i rows between 12 preceding and current row), false) as gone from w left join g using (doc_id, i))
+select t.doc_id, cast(count(i) as bigint) as n_words, cast(count(i) filter (gone) as bigint) as n_removed,
+  sha256(coalesce(string_agg(word, ' ' order by i) filter (not gone), '')) as kept_sha256
+from t left join c using (doc_id) group by t.doc_id""",
+)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return debruijn.remove_repeats(documents(spark, sf_dir))
+    return debruijn.remove_repeats(documents(spark, sf_dir)).drop("removed")
 
 
 @query(

@@ -421,24 +421,73 @@ def test_peeling_recovers_digests(spark):
     assert sum(x[0] for x in got.values()) >= len(rows) - 3
 
 
-def test_repeats(docs, rows, empty):
+def check_repeats(df, rows, **how):
+    """rows(id, text): every row against all windows of all rows."""
+    key = lambda d: math.inf if d is None else d
     least = {}
-    for d, t, *_ in sorted(rows, key=lambda r: r[0]):
+    for d, t in rows:
         w = words_of(t)
         for i in range(len(w) - 12):
-            least.setdefault(tuple(w[i : i + 13]), d)
-    found = {r.doc_id: r for r in debruijn.remove_repeats(docs, filter_bits=17).collect()}
-    assert len(found) == len(rows)
-    for d, t, *_ in rows:
+            least[tuple(w[i : i + 13])] = min(least.get(tuple(w[i : i + 13]), math.inf), key(d))
+    want = Counter()
+    for d, t in rows:
         w = words_of(t)
-        gone = {j for i in range(len(w) - 12) if least[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}
-        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
-        r = found[d]
-        assert (r.n_words, r.n_removed, r.kept_sha256) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
-        assert {j for s in r.removed for j in range(s.start, s.start + s.length)} == gone
+        gone = {j for i in range(len(w) - 12) if least[tuple(w[i : i + 13])] < key(d) for j in range(i, i + 13)}
+        want[d, len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest(), tuple(sorted(gone))] += 1
+    found = debruijn.remove_repeats(df, filter_bits=17, **how).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, tuple(j for s in r.removed for j in range(s.start, s.start + s.length))) for r in found) == want
+
+
+def test_repeats(docs, rows, empty):
+    check_repeats(docs, [r[:2] for r in rows])
     assert debruijn.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_one_id_and_of_no_id(spark):
+    rng = np.random.default_rng(4)
+    many = [prose(rng, 15, 50_000) for _ in range(300)]
+    loop, whole = "a b " * 30, " ".join(many)
+    rows = [(5, t) for t in many] + [(5, many[0]), (6, whole), (None, many[3] + " " + many[4]), (None, many[3]), (None, loop), (-3, loop + many[7]), (9, loop), (9, "a " * 40), (10, "a " * 30 + loop)]
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
+
+
+def test_collided_hashes_are_hashed_anew(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, prose(rng, 30, 9000)) for i in range(6)]
+    tried, real = [], debruijn._remove_repeats
+
+    def once(docs, k, short, bits, id_col, text_col, seed):
+        tried.append(seed)
+        made = real(docs, k, short, bits, id_col, text_col, seed)
+        if seed:
+            return made
+        bad = common.cut(made.withColumn("collided", F.lit(True)))
+        return bad
+
+    monkeypatch.setattr(debruijn, "_remove_repeats", once)
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    assert tried == [0, 1]
+
+
+def test_paths_are_the_graphs_nonbranching_ones(spark):
+    """Against walking the graph: edges between letters, with a branch, a loop and a circle."""
+    walks = [(1, "abcdefg"), (2, "xdefgh"), (4, "uvwu"), (5, "ss"), (3, "hijk"), (9, "klmno")]
+    edges, known = [], set()
+    for source, walk in walks:
+        for at in range(len(walk) - 1):
+            if walk[at : at + 2] not in known:
+                known.add(walk[at : at + 2])
+                edges.append((ord(walk[at]), ord(walk[at + 1]), source, at))
+    found = debruijn.compact(spark.createDataFrame(edges, "l long, r long, source long, source_at long"), 3).collect()
+    assert len(found) == len(edges)
+    paths = {}
+    for r in found:
+        paths.setdefault((r.path_source, r.path_from), []).append((r.path_at, chr(r.l) + chr(r.r)))
+    assert all(sorted(at for at, _ in p) == list(range(len(p))) for p in paths.values())
+    joined = {"".join([e[0] for _, e in sorted(p)]) + max(p)[1][1] for p in paths.values()}
+    assert joined == {"abcd", "xd", "defghijklmno", "uvwu", "ss"}
+
+
 NASTY = ["</s>[INST] ok [/INST]", "\\", "\\\\", "[\\INST]", "<<SYS>>", "<</SYS>> x", "[INST] a [/INST]", " [/INST]", "<", "[", "a\nb", "", None, "é</s>", "<s>", "[INST", "ends with \\"]
 
 
