@@ -87,7 +87,7 @@ def compact(edges: DataFrame, parts: int) -> DataFrame:
     edge out. Linked edges that follow each other at one source are a chunk,
     told by one sort; chunks are joined to paths by pointer doubling, in as many
     rounds as the logarithm of a path's chunks. A closed path stays in its
-    chunks.
+    chunks. The chunks are written before this returns: edges is read no more.
     """
     ends = edges.select("source", "source_at", F.explode(F.array(F.struct(F.col("r").alias("node"), F.lit(True).alias("arrives")), F.struct(F.col("l").alias("node"), F.lit(False).alias("arrives")))).alias("x")).select("source", "source_at", "x.*")
     at = lambda c, arrives: F.max(F.when(F.col("arrives") == arrives, F.col(c)))
@@ -203,10 +203,11 @@ def _settled(source: DataFrame, parts: int, k: int, short: int, filter_bits: int
     occurs = common.cut(firsts.mapInArrow(edges, "l long, r long, id long, at long"))
     repeated = occurs.groupBy("l", "r").agg(F.min("id").alias("source"), F.min_by("at", "id").alias("source_at"), F.max("id").alias("last")).filter(F.col("source") < F.col("last")).drop("last")
     repeated = common.cut(repeated)
-    met = occurs.join(compact(repeated, parts), ["l", "r"]).filter("source < id").select("id", "at", "source", "source_at", "path_source", "path_from", "path_at")
+    paths = compact(repeated, parts)
+    common.discard(repeated)  # compact has written what it needs
+    met = occurs.join(paths, ["l", "r"]).filter("source < id").select("id", "at", "source", "source_at", "path_source", "path_from", "path_at")
     met = common.cut(met)
     common.discard(occurs)
-    common.discard(repeated)
     # spans: where a document walks along a path, cut where the path's source changes
     within = Window.partitionBy("id").orderBy("at")
     same = lambda c: F.col(c) == F.lag(c).over(within)
