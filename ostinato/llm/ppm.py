@@ -1,363 +1,340 @@
 """Prediction by partial matching: code lengths of texts under a byte-context trie.
 
-The trie is trained once on a corpus ("pretrained"). A text is its tokens in
-order, each the bytes of a word and a space, and at last an end symbol; a
-byte's contexts are the 0 to `order` bytes before it, back to the space before
-the word. A symbol that a context hasn't seen escapes to the next shorter one,
-where the symbols of the longer context are excluded. As a context knows only
-symbols that its shorter ones know, what exclusion leaves of a context depends
-on its child alone and is computed once a child.
+The trie is trained once on a corpus ("pretrained"). A text is its words, each
+followed by a space, and at last an end symbol; before it stand end symbols. A
+byte's contexts are the 0 to `order` bytes before it, across words. A symbol
+that a context hasn't seen escapes to the next shorter one, where the symbols
+of the longer context are excluded.
+
+So a byte's probability depends on it and the `order` bytes before it: a gram.
+The whole corpus comes down to a table of distinct grams with their counts, of
+which a trie of all orders follows, as a shorter context's counts are sums over
+the longer ones. Grams are dealt over the tasks by the NEAR bytes next to the
+symbol: whatever contexts of NEAR bytes or more a gram has are then in one task,
+and shorter contexts, of which there are 65,793 at most, are known to all.
+Words are counted and looked up in the same table, under their hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-SPACE, END = 32, b"\n"
 U = np.uint64
-#: Contexts of up to so many bytes, 65536 at most, are sent to every task; longer ones are dealt by their last LOW + 1 bytes.
-LOW = 2
+END = 10
+#: Contexts of so many bytes or more meet in the task that has all grams with these bytes.
+NEAR = 3
+#: Marks the key of a word: grams have at most 7 bytes.
+WORD = U(1 << 63)
 
+_rng = np.random.default_rng(11)
+#: A number for each byte, none for the space, and the base of the words' hash.
+_OF_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+_OF_BYTE[32] = 0
+_BASE = U(0x9E3779B97F4A7C15)
 
-def symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all bytes to predict: the 8 bytes up to and with it as one number, how many of those before it count, and the word's place.
 
-    A word is followed by a space, the end symbol by nothing.
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[U(1)], np.full(max(0, n - 1), _BASE)]))
+
+
+def symbols(text: bytes | None, order: int) -> bytes:
+    """The bytes of a text to predict, behind `order` end symbols."""
+    words = (text or b"").lower().split()
+    words.append(b"\n")
+    return b"\n" * order + b" ".join(words)
+
+
+def read(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all bytes to predict the gram and its text; of all tokens the key and its text.
+
+    A gram has the symbol in its lowest byte, the one before it in the next. A
+    token's key is a hash of 63 bits: of a billion words two agree with a
+    probability of 0.05, and their counts are then one.
     """
-    sizes = np.fromiter((len(w) + (w != END) for w in words), np.int64, len(words))
-    raw = np.frombuffer(b"".join(w if w == END else w + b" " for w in words), np.uint8)
-    word = np.repeat(np.arange(len(words)), sizes)
-    at = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    window = raw.astype(U)
-    for back in range(1, 8):
-        before = np.zeros(len(raw), U)
-        before[back:] = raw[:-back] if back <= len(raw) else 0
-        before = np.where(at >= back, before, np.where(at == back - 1, U(SPACE), U(0)))
-        window |= before << U(8 * back)
-    return window, at + 1, word
-
-
-def keys(window: np.ndarray, k: int) -> np.ndarray:
-    """Number of (context of k bytes, symbol): the order in the highest byte, the context, the symbol."""
-    return (window & U((1 << 8 * (k + 1)) - 1)) | U(k << 56)
-
-
-def counted(words: list[bytes], counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, symbol) of all orders in these words, each word as often as it counts."""
-    window, reach, word = symbols(words)
-    found, sums = [], []
-    for k in range(order + 1):
-        own = reach >= k
-        back, key = pd.factorize(keys(window[own], k))
-        found.append(key)
-        sums.append(np.bincount(back, counts[word[own]], len(key)).astype(np.int64))
-    return np.concatenate(found), np.concatenate(sums)
-
-
-def _bucket(total: np.ndarray, degree: np.ndarray) -> np.ndarray:
-    return np.minimum(63, (3 * np.log2(np.maximum(total, 1))).astype(np.int64)) * 8 + np.minimum(7, (2 * np.log2(np.maximum(degree, 1))).astype(np.int64))
-
-
-def escapes(depth: np.ndarray, total: np.ndarray, degree: np.ndarray, once: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """By depth, total and degree: how many contexts there are, and how many of them the last symbol to come was new to.
-
-    That is each context's share of symbols seen once (leave one out); it
-    speaks of contexts with one symbol less. Of a trie in parts the parts' sums
-    are the whole's.
+    if not texts:
+        return np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, U), np.zeros(0, np.int32)
+    parts = [symbols(t, order) for t in texts]
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    begins = np.cumsum(sizes) - sizes
+    told = np.ones(len(raw), bool)
+    for j in range(order):
+        told[begins + j] = False
+    gram = raw.astype(U)
+    for j in range(1, order + 1):
+        gram[j:] |= raw[:-j].astype(U) << U(8 * j)
+    text = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+    opens = told & (raw != 32)
+    opens[1:] &= (raw[:-1] == 32) | ~told[:-1]
+    starts = np.nonzero(opens)[0]
+    place = np.arange(len(raw))
+    place -= np.maximum.accumulate(np.where(opens, place, 0))
+    value = _OF_BYTE[raw] * told
+    value *= _powers(int(place.max()) + 1)[place]
+    word = _mix(np.add.reduceat(value, starts)) | WORD
+    return gram[told], text[told], word, text[starts]
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of n."""
+    if not len(key):
+        return key, n
+    by = np.argsort(key)
+    key, n = key[by], n[by]
+    first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+    return key[first], np.add.reduceat(n, first)
+
+
+class Level:
+    """The contexts of k bytes: sorted (context, symbol) keys, their counts, and each context's total and number of symbols."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        self.key, self.n = key, n
+        context = key >> U(8)
+        first = np.nonzero(np.concatenate([[True], context[1:] != context[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
+        self.context = context[first]
+        self.degree = np.diff(np.append(first, len(key)))
+        self.total = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
+        self.of_pair = np.repeat(np.arange(len(first)), self.degree)
+
+    def shorter(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(self.key & U((1 << 8 * (k + 1)) - 1), self.n)
+
+
+def _place(sorted_: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(sorted_, asked)
+    at[at == len(sorted_)] = 0
+    return at, (sorted_[at] == asked if len(sorted_) else np.zeros(len(asked), bool))
+
+
+def levels(key: np.ndarray, n: np.ndarray, order: int, down_to: int = 0) -> dict[int, Level]:
+    """The trie's levels from `order` down, of the grams that were learnt."""
+    made = {order: Level(*_summed(key, n))}
+    for k in range(order - 1, down_to - 1, -1):
+        made[k] = Level(*made[k + 1].shorter(k))
+    return made
+
+
+def rate(asked: np.ndarray, trie: dict[int, Level]) -> np.ndarray:
+    """log10 of the probability of each gram's symbol after the bytes before it.
+
+    Escape estimation by method D: with d symbols and t occurrences left, an
+    escape has d / 2t; nothing escapes from a context without a symbol left, as
+    it decides nothing. At last all bytes never learnt are equally likely.
     """
-    use = total > 1
-    slot = depth[use] * 512 + _bucket(total[use] - 1, np.maximum(1, degree[use]))
-    size = (order + 1) * 512
-    return np.bincount(slot, minlength=size), np.bincount(slot, once[use] / total[use], size)
-
-
-def estimate(met: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Escape estimation: how often, in contexts of like depth, total and degree, the last symbol to come was a new one."""
-    return (new + 0.5 * 0.3) / (met + 0.5)
-
-
-class Trie:
-    """Log probabilities (base 10) by sorted keys and counts."""
-
-    def __init__(self, key: np.ndarray, count: np.ndarray, order: int, novel: np.ndarray | None = None):
-        """novel: the escape estimation of the whole trie, if this is a part of one."""
-        by = np.argsort(key)
-        self.order, self.key, count = order, key[by], count[by]
-        self.context, first, self.of_pair, degree = np.unique(self.key >> U(8), return_index=True, return_inverse=True, return_counts=True)
-        total = np.add.reduceat(count, first) if len(first) else np.zeros(0)
-        once = np.add.reduceat((count == 1).astype(np.int64), first) if len(first) else np.zeros(0)
-        depth = (self.context >> U(48)).astype(np.int64)
-        self.novel = estimate(*escapes(depth, total, degree, once, order)) if novel is None else novel
-        self.log_count = np.log10(count)
+    out = np.zeros(len(asked))
+    open_ = np.arange(len(asked))
+    longer = np.full(len(asked), -1)  # the context one byte longer, if it was met
+    for k in range(max(trie), -1, -1):
+        here = trie[k]
+        if not len(here.key):
+            continue
+        key = asked[open_] & U((1 << 8 * (k + 1)) - 1)
+        at, known = _place(here.context, key >> U(8))
+        pair, hit = _place(here.key, key)
+        left, kinds = here.total[at].astype(float), here.degree[at].astype(float)
+        child = longer[open_]
+        if k + 1 in trie and len(trie[k + 1].key):
+            above = trie[k + 1]
+            gone = np.bincount(above.of_pair, here.n[_place(here.key, above.key & U((1 << 8 * (k + 1)) - 1))[0]], len(above.context))
+            left -= np.where(child >= 0, gone[child], 0)
+            kinds -= np.where(child >= 0, above.degree[child], 0)
+        some = known & (left > 0)
+        escape = np.where(some, kinds / np.maximum(2 * left, 1), 1.0)
+        hit &= some
         with np.errstate(divide="ignore"):
-            novel = self._novelty(depth, total, degree)
-            # as the first context that is met
-            self.escape, self.stay = np.log10(novel), np.log10(1 - novel) - np.log10(total)
-            # of the next shorter context, after this one was left
-            low = (depth - 1).clip(0)
-            mask = (U(1) << (8 * low).astype(U)) - U(1)
-            parent = np.searchsorted(self.context, (self.context & mask) | (low.astype(U) << U(48)))
-            parent = parent.clip(0, max(0, len(self.context) - 1))
-            up = (self.key >> U(56)).astype(np.int64) - 1
-            mask = (U(1) << (8 * (up.clip(0) + 1)).astype(U)) - U(1)
-            pair = np.searchsorted(self.key, (self.key & mask) | (up.clip(0).astype(U) << U(56))).clip(0, max(0, len(self.key) - 1))
-            gone = np.bincount(self.of_pair, count[pair], len(self.context))
-            left, kinds = total[parent] - gone, degree[parent] - degree
-            novel = np.where(left > 0, self._novelty(low, np.maximum(left, 1), np.maximum(kinds, 1)), 1.0)
-            self.escape_up, self.stay_up = np.log10(novel), np.where(left > 0, np.log10(1 - novel) - np.log10(np.maximum(left, 1)), 0.0)
-        for name in ("log_count", "escape", "stay", "escape_up", "stay_up"):  # half the memory of each task's copy
-            setattr(self, name, getattr(self, name).astype(np.float32))
-        self.of_pair = self.of_pair.astype(np.int32)
-        seen = degree[0] if len(degree) else 0  # the context of no bytes comes first
-        self.unseen = -np.log10(max(1, 256 - seen))
-
-    @classmethod
-    def of(cls, state: dict) -> Trie:
-        """The trie of what vars() gives, which any process can read."""
-        made = cls.__new__(cls)
-        made.__dict__.update(state)
-        return made
-
-    def _novelty(self, depth: np.ndarray, total: np.ndarray, degree: np.ndarray) -> np.ndarray:
-        return np.clip(self.novel[depth * 512 + _bucket(total, degree)], 1e-7, 0.95)
-
-    def score(self, words: list[bytes], made: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """log10 of each token's probability; made: symbols(words), if it is there already."""
-        if not words:
-            return np.zeros(0)
-        window, reach, word = made or symbols(words)
-        return np.bincount(word, self.score_at(window, reach), len(words))
-
-    def score_at(self, window: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each window's last byte, of whose bytes before `reach` count."""
-        if "places" not in self.__dict__:  # hash tables, made once a process
-            self.places = pd.Index(self.key), pd.Index(self.context)
-        pairs, contexts = self.places
-        out = np.zeros(len(window))
-        todo, child = np.arange(len(window)), np.full(len(window), -1)
-        for k in range(self.order, -1, -1):
-            own = np.nonzero(reach[todo] >= k)[0]
-            at = todo[own]
-            key = keys(window[at], k)
-            pair = pairs.get_indexer(key)
-            hit = pair >= 0
-            c = child[at[hit]]
-            out[at[hit]] += self.log_count[pair[hit]] + np.where(c < 0, self.stay[self.of_pair[pair[hit]]], self.stay_up[c])
-            miss = at[~hit]
-            if len(self.context) and len(miss):
-                place = contexts.get_indexer(key[~hit] >> U(8))
-                known = place >= 0
-                m, p, c = miss[known], place[known], child[miss[known]]
-                out[m] += np.where(c < 0, self.escape[p], self.escape_up[c])
-                child[m] = p
-            keep = np.ones(len(todo), bool)
-            keep[own[hit]] = False
-            todo = todo[keep]
-        out[todo] += self.unseen
-        return out
-
-
-def _count_words(batches: Iterator[pa.RecordBatch], most: int = 150_000) -> Iterator[pa.RecordBatch]:
-    """Rows (word, class, n) of batches (train, class, text); a word of other texts counts 0."""
-
-    def out(held: dict) -> pa.RecordBatch:
-        cols = ([w for c in held.values() for w in c], [k for k, c in held.items() for _ in c], [n for c in held.values() for n in c.values()])
-        return pa.record_batch([pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.string(), pa.int64()), strict=True)], ["word", "class", "n"])
-
-    held: dict[str | None, Counter] = {}
+            out[open_] += np.where(hit, np.log10((1 - escape) * here.n[pair] / np.maximum(left, 1)), np.log10(escape))
+        longer[open_] = np.where(known, at, -1)
+        open_ = open_[~hit]
+    out[open_] -= np.log10(max(1, 256 - (len(trie[0].key) if 0 in trie else 0)))
+    return out
+
+
+class Lookup:
+    """Values of keys in an open-addressing table, for many keys at once."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        bits = max(4, int(2 * len(key)).bit_length())
+        self.shift, self.mask = U(64 - bits), (1 << bits) - 1
+        self.key, self.value = np.zeros(1 << bits, U), np.zeros(1 << bits, np.float32)
+        spot, todo = self._spot(key), np.arange(len(key))
+        while len(todo):
+            free = todo[self.key[spot[todo]] == 0]
+            self.key[spot[free]] = key[free]  # of those for one slot the last one gets it
+            got = self.key[spot[todo]] == key[todo]
+            self.value[spot[todo[got]]] = value[todo[got]]
+            todo = todo[~got]
+            spot[todo] = (spot[todo] + 1) & self.mask
+
+    def _spot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * U(0xD6E8FEB86659FD93)) >> self.shift).astype(np.int64)
+
+    def get(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values, 0 where there is none, and whether there is one. No key is 0."""
+        spot = self._spot(key)
+        found = self.key[spot]
+        hit = found == key
+        value = np.where(hit, self.value[spot], np.float32(0))
+        todo = np.nonzero(~hit & (found != 0))[0]
+        while len(todo):
+            spot[todo] = (spot[todo] + 1) & self.mask
+            found = self.key[spot[todo]]
+            own = found == key[todo]
+            value[todo[own]], hit[todo[own]] = self.value[spot[todo[own]]], True
+            todo = todo[~own & (found != 0)]
+        return value, hit
+
+
+def _chunks(b: pa.RecordBatch, text: int, most: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """b in parts of about `most` bytes of text; a longer text is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy().astype(np.int64) + 16)
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        part = b.slice(i, j - i)
+        yield part, part.column(text).to_pylist()
+        i = j
+
+
+def count(batches: Iterator[pa.RecordBatch], order: int, chunk: int, most: int = 2**21) -> Iterator[pa.RecordBatch]:
+    """Rows (key, n) of batches (train, text): grams and words, those of other texts with n 0. A task holds about `most` of them."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+
+    def out(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
     for b in batches:
-        for i in range(0, b.num_rows, 500):
-            part = b.slice(i, 500)
-            for train, kind, text in zip(*(part.column(j).to_pylist() for j in range(3)), strict=True):
-                c = held.setdefault(kind, Counter())
-                words = (text or b"").lower().split()
-                words.append(END)
-                if train:
-                    c.update(words)
-                else:
-                    for w in words:
-                        c.setdefault(w, 0)
-            if sum(map(len, held.values())) > most:
-                yield out(held)
-                held = {}
-    yield out(held)
-
-
-def score(docs: DataFrame, train: str, order: int = 6, frequent: int = 2**17, most_classes: int = 16, class_col: str | None = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        for part, texts in _chunks(b, 1, chunk):
+            train = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            gram, of_gram, word, of_word = read(texts, order)
+            for keys, of in ((gram, of_gram), (word, of_word)):
+                learnt = train[of]
+                key, n = np.unique(keys[learnt], return_counts=True)
+                held.append((key, n.astype(np.int64)))
+                if not learnt.all():
+                    key = np.unique(keys[~learnt])
+                    held.append((key, np.zeros(len(key), np.int64)))
+            if sum(len(k) for k, _ in held) > most:
+                held = [merged()]
+                if len(held[0][0]) > most // 2:
+                    yield out(*held[0])
+                    held = []
+    if held:
+        yield out(*merged())
+
+
+def score(docs: DataFrame, train: str, order: int = 6, frequent: int = 2**21, chunk: int = 2**20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability).
 
     train: SQL condition on docs that says which rows are learnt from; the
-    others are held out (null: held out). A text's probability mixes one trie a
-    class, weighed by the class's share of the training texts; the text's own
-    class is not used. Of more than most_classes classes the rarest share a
-    trie. Every context learnt is kept: those of up to LOW bytes are sent to the
-    tasks, the others meet the bytes to predict where both are dealt by the
-    context's last bytes. At most `frequent` words, the most frequent, are
-    sent to the tasks that read texts; the others meet their scores in a join.
-    A null text is empty and has the end token only. Nothing to learn from: any
-    byte is as likely as another. Rows that repeat are scored one by one.
+    others are held out (null: held out). Every context learnt is kept. The
+    `frequent` most frequent grams and words, about, are sent to the tasks that
+    read texts, as a table of 12 bytes times 2 to 4 each; the others meet their
+    scores in a join. order: at most 6. A null text is empty and has the end
+    token only. Nothing to learn from: any byte is as likely as another. Rows
+    that repeat and rows of one id or of none are scored one by one; a text's
+    bytes are read at once, others in parts of about `chunk` bytes. Other
+    columns don't count.
     """
     spark = docs.sparkSession
-    kind = F.col(class_col).cast("string") if class_col and class_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.expr(train), F.lit(False)).alias("train"), kind.alias("class"), F.col(text_col).cast("binary").alias("text"))
-    by_class = common.cut(rows.select("train", "class", "text").mapInArrow(_count_words, "word binary, class string, n long").groupBy("word", "class").agg(F.sum("n").alias("n")))
-    shares = by_class.filter((F.col("word") == F.lit(END)) & (F.col("n") > 0)).orderBy(F.desc("n"), "class").limit(10_000).collect()
-    place = {r["class"]: min(i, most_classes - 1) for i, r in enumerate(shares)}
-    classes = max(1, len(set(place.values())))
-    prior = np.zeros(classes)
-    for r in shares:
-        prior[place[r["class"]]] += r["n"]
-    prior = np.log10(prior / prior.sum()) if prior.sum() else prior
-    words = by_class.groupBy("word").agg(F.sum("n").alias("n"))
-    bins = words.filter("n > 0").groupBy(F.floor(4 * F.log2("n")).alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("bin")).collect()
-    tokens, kinds = sum(r["n"] for r in bins), sum(r["words"] for r in bins)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.array([place.get(k, most_classes - 1) for k in b.column(1).to_pylist()])
-            own, n = b.column(0).to_pylist(), b.column(2).to_numpy()
-            for c in np.unique(at):
-                here = np.nonzero(at == c)[0]
-                key, count = counted([own[i] for i in here], n[here], order)
-                yield pa.record_batch([pa.array(np.full(len(key), c, np.int32)), pa.array(key.view(np.int64)), pa.array(count)], ["class", "key", "n"])
-
-    trie = common.cut(by_class.filter("n > 0").mapInArrow(pairs, "class int, key long, n long").groupBy("class", "key").agg(F.sum("n").alias("n")))
-    high = F.shiftrightunsigned("key", 56) > LOW
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            kind, context, total, degree, once = (b.column(j).to_numpy() for j in range(5))
-            for c in np.unique(kind).tolist():
-                own = kind == c
-                found = escapes(context[own] >> 48, total[own], degree[own], once[own], order)
-                held[c] = [x + y for x, y in zip(held[c], found, strict=True)] if c in held else list(found)
-        for c, (met, new) in held.items():
-            slot = np.nonzero(met)[0]
-            yield pa.record_batch([pa.array(np.full(len(slot), c, np.int32)), pa.array(slot), pa.array(met[slot]), pa.array(new[slot])], ["class", "slot", "met", "new"])
-
-    of = trie.groupBy("class", F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("degree"), F.count_if(F.col("n") == 1).alias("once"))
-    told = of.mapInArrow(sums, "class int, slot long, met long, new double").groupBy("class", "slot").agg(F.sum("met").alias("met"), F.sum("new").alias("new")).toArrow()
-    met, new = np.zeros((2, classes, (order + 1) * 512))
-    at = told.column("class").to_numpy(), told.column("slot").to_numpy()
-    met[at], new[at] = told.column("met").to_numpy(), told.column("new").to_numpy()
-    kept = trie.filter(~high).select("class", "key", "n").toArrow()
-    c, key, n = (kept.column(x).to_numpy() for x in ("class", "key", "n"))
-    low = spark.sparkContext.broadcast([(key[c == i].view(U), n[c == i], estimate(met[i], new[i])) for i in range(classes)])
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A number for each word, and what its bytes of up to LOW before them come to."""
-        from pyspark import TaskContext
-
-        tries = [Trie(*x[:2], order, x[2]) for x in low.value]
-        wid = TaskContext.get().partitionId() << 33
-        for b in batches:
-            window, reach, word = symbols(b.column(0).to_pylist()) if b.num_rows else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            own = np.minimum(reach, order) <= LOW
-            yield pa.record_batch([*b.columns, pa.array(np.arange(wid, wid + b.num_rows)), *(pa.array(np.bincount(word[own], t.score_at(window[own], reach[own]), b.num_rows)) for t in tries)], ["word", "n", "wid", *names])
-            wid += b.num_rows
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other bytes, each with its longest context, of class -1; n is the word's number."""
-        for b in batches:
-            own, wid = b.column(0).to_pylist(), b.column(1).to_numpy()
-            for i in range(0, len(own), 10_000):
-                window, reach, word = symbols(own[i : i + 10_000])
-                reach = np.minimum(reach, order)
-                far = np.nonzero(reach > LOW)[0]
-                key = np.zeros(len(far), U)
-                for k in range(LOW + 1, order + 1):
-                    here = reach[far] == k
-                    key[here] = keys(window[far[here]], k)
-                yield pa.record_batch([pa.array(np.full(len(far), -1, np.int32)), pa.array(key.view(np.int64)), pa.array(wid[i + word[far]])], ["class", "key", "n"])
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The pairs of a part of the trie come first, then the bytes that they predict."""
-        held, tries = [], None
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.expr(train), F.lit(False)).alias("train"), F.col(text_col).cast("binary").alias("text"))
+    table = common.cut(rows.select("train", "text").mapInArrow(lambda batches: count(batches, order, chunk), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    is_word, learnt = F.col("key") < 0, F.col("n") > 0
+    told = table.filter(is_word).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(learnt)).first()
+    tokens, kinds = told
+    # the contexts that all tasks know
+    mask = (1 << 8 * NEAR) - 1
+    near = table.filter(~is_word & learnt).groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    short = levels(near.column("key").to_numpy().view(U), near.column("n").to_numpy(), min(order, NEAR - 1))
+    known = spark.sparkContext.broadcast({k: (x.key, x.n) for k, x in short.items()})
+
+    def rated(batches: Iterator[pa.RecordBatch], most: int = 2**18) -> Iterator[pa.RecordBatch]:
+        """(key, n, p) of grams that come sorted by the bytes next to the symbol."""
+        top = {k: Level(*x) for k, x in known.value.items()}
+
+        def told(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            own = key.view(U)
+            trie = top | levels(own[n > 0], n[n > 0], order, NEAR) if order >= NEAR else top
+            return pa.record_batch([pa.array(key), pa.array(n), pa.array(rate(own, trie))], ["key", "n", "p"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            kind, key, n = (b.column(j).to_numpy() for j in range(3))
-            ask = int(np.count_nonzero(kind >= 0))
-            held += [(kind[:ask], key[:ask].view(U), n[:ask])] if ask else []
-            if ask == len(kind):
-                continue
-            if tries is None:
-                kinds, pair, count = (np.concatenate([x[j] for x in held]) if held else np.zeros(0, (np.int32, U, np.int64)[j]) for j in range(3))
-                tries = [Trie(np.concatenate([k, pair[kinds == i]]), np.concatenate([m, count[kinds == i]]), order, novel) for i, (k, m, novel) in enumerate(low.value)]
-                held = []
-            window = key[ask:].view(U)
-            back, wid = pd.factorize(n[ask:])
-            reach = (window >> U(56)).astype(np.int64)
-            yield pa.record_batch([pa.array(wid), *(pa.array(np.bincount(back, t.score_at(window, reach), len(wid))) for t in tries)], ["wid", *names])
-
-    names = [f"p{i}" for i in range(classes)]
-    doubles = ", ".join(f"{x} double" for x in names)
-    numbered = common.cut(words.mapInArrow(short, "word binary, n long, wid long, " + doubles))
-    parts = max(common.partitions(spark), 1)
-    suffix = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1))
-    both = trie.filter(high).select("class", "key", "n").union(numbered.select("word", "wid").mapInArrow(asked, "class int, key long, n long"))
-    parted = both.repartition(parts, suffix).sortWithinPartitions(F.col("class") < 0).mapInArrow(rate, "wid long, " + doubles)
-    long = parted.groupBy("wid").agg(*[F.sum(x).alias(f"long_{x}") for x in names])
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            if sum(len(k) for k, _ in held) > most:
+                key, n = (np.concatenate([x[j] for x in held]) for j in range(2))
+                near = key >> 8 & mask
+                ends = int(np.searchsorted(near, near[-1]))
+                if ends:
+                    yield told(key[:ends], n[:ends])
+                held = [(key[ends:], n[ends:])]
+        if held:
+            yield told(*(np.concatenate([x[j] for x in held]) for j in range(2)))
+
+    next_to = F.shiftright("key", 8).bitwiseAND(F.lit(mask))
+    dealt = table.filter(~is_word).repartition(common.partitions(spark), next_to).sortWithinPartitions(next_to)
     base = F.log10((F.col("n") + 0.1) / (tokens + 0.1 * (kinds + 1)))
-    rated = numbered.join(long, "wid", "left").select("word", "n", *[(F.col(x) + F.coalesce(F.col(f"long_{x}"), F.lit(0.0))).alias(x) for x in names], base.alias("base"), (F.col("n") > 0).cast("long").alias("known"))
-    rated = common.cut(rated)
+    scores = common.cut(dealt.mapInArrow(rated, "key long, n long, p double").union(table.filter(is_word).select("key", "n", base.alias("p"))).withColumn("p", F.col("p").cast("float")))
+    common.discard(table)
+    bins = scores.filter(learnt).groupBy(F.floor(8 * F.log2("n")).alias("bin")).agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("bin")).collect()
     room, least = frequent, None
     for r in bins:
-        room -= r["words"]
+        room -= r["keys"]
         if room < 0:
             break
         least = r["bin"]
-    often = rated.filter(F.floor(4 * F.log2("n")) >= F.lit(least if least is not None else 1e9)).filter("n > 0").select("word", "base", *names).toArrow()
-    sent = spark.sparkContext.broadcast((often.column("word").to_pylist(), np.column_stack([often.column(x).to_numpy() for x in ("base", *names)])))
+    often = scores.filter(learnt & (F.floor(8 * F.log2("n")) >= F.lit(least if least is not None else 10_000))).select("key", "p").toArrow()
+    sent = spark.sparkContext.broadcast(Lookup(often.column("key").to_numpy().view(U), often.column("p").to_numpy()))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, table = sent.value
-        at = {w: i for i, w in enumerate(own)}
-        table = np.vstack([table, np.zeros(table.shape[1])])
-        rid = TaskContext.get().partitionId() << 33
-        rest_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+        at, rid = sent.value, TaskContext.get().partitionId() << 33
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                sums, sizes, rest = [], [], []
-                for text in part.column("text").to_pylist():
-                    words = (text or b"").lower().split()
-                    words.append(END)
-                    places = np.array([at.get(w, -1) for w in words])
-                    sizes.append(len(words))
-                    sums.append(table[places].sum(axis=0))
-                    other = Counter([words[j] for j in np.nonzero(places < 0)[0].tolist()])
-                    rest.append([{"word": w, "times": n} for w, n in other.items()])
-                sums = np.array(sums)
-                unsent = [sum(x["times"] for x in r) for r in rest]
-                cols = [pa.array(np.arange(rid, rid + part.num_rows)), part.column("id"), part.column("train"), pa.array(sizes, pa.int64()), pa.array([s - u for s, u in zip(sizes, unsent, strict=True)], pa.int64()), *(pa.array(sums[:, j]) for j in range(sums.shape[1])), pa.array(rest, rest_type)]
-                rid += part.num_rows
-                yield pa.record_batch(cols, ["rid", "id", "train", "tokens", "known", "base", *names, "rest"])
-
-    schema = "rid long, id long, train boolean, tokens long, known long, base double, " + ", ".join(f"{x} double" for x in names) + ", rest array<struct<word:binary,times:long>>"
-    part = common.cut(rows.select("id", "train", "text").mapInArrow(read, schema))
-    met = part.select("rid", F.explode("rest").alias("x")).select("rid", "x.*").join(rated, "word")
-    more = met.groupBy("rid").agg(*[F.sum(F.col("times") * F.col(x)).alias(f"more_{x}") for x in ("known", "base", *names)])
-    whole = part.join(more, "rid", "left")
-    total = {x: F.col(x) + F.coalesce(F.col(f"more_{x}"), F.lit(0)) for x in ("known", "base", *names)}
-    mixed = [total[x] + float(prior[i]) for i, x in enumerate(names)]
-    most = F.greatest(*mixed) if classes > 1 else mixed[0]
-    return whole.select(
+            for part, texts in _chunks(b, 2, chunk):
+                gram, of_gram, word, of_word = read(texts, order)
+                m = len(texts)
+                value, hit = at.get(gram)
+                base, known = at.get(word)
+                rest = np.concatenate([gram[~hit], word[~known]])
+                of = np.concatenate([of_gram[~hit], of_word[~known]])
+                by = np.argsort(of, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=m))]).astype(np.int32)
+                yield pa.record_batch(
+                    [
+                        pa.array(np.arange(rid, rid + m)), part.column(0), part.column(1), pa.array(np.bincount(of_word, minlength=m)), pa.array(np.bincount(of_word, known, m).astype(np.int64)),
+                        pa.array(np.bincount(of_word, base, m)), pa.array(np.bincount(of_gram, value, m)), pa.ListArray.from_arrays(pa.array(ends), pa.array(rest[by].view(np.int64))),
+                    ],
+                    ["rid", "id", "train", "tokens", "known", "base", "score", "rest"],
+                )
+                rid += m
+
+    part = common.cut(rows.mapInArrow(look, "rid long, id long, train boolean, tokens long, known long, base double, score double, rest array<long>"))
+    met = part.select("rid", F.explode("rest").alias("key")).join(scores, "key")
+    more = met.groupBy("rid").agg(F.count_if(is_word & learnt).alias("more_known"), F.sum(F.when(is_word, F.col("p"))).alias("more_base"), F.sum(F.when(~is_word, F.col("p"))).alias("more_score"))
+    total = {x: F.col(x) + F.coalesce(F.col(f"more_{x}"), F.lit(0)) for x in ("known", "base", "score")}
+    return part.drop("rest").join(more, "rid", "left").select(
         F.col("id").alias(id_col),
         (~F.col("train")).alias("held_out"),
         F.col("tokens").alias("n_tokens"),
-        total["known"].cast("long").alias("n_known"),
+        total["known"].alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         total["base"].alias("base_score"),
-        (most + F.log10(sum((F.pow(F.lit(10.0), m - most) for m in mixed), F.lit(0.0)))).alias("score"),
+        total["score"].alias("score"),
     )
