@@ -75,6 +75,20 @@ def test_exact_keeps_one_of_repeated_rows(spark):
     assert exact_dedup.drop_copies(df).count() == 3
 
 
+def test_exact_merges_sorted_runs(docs):
+    runs = docs.select(F.lit(0).cast("long").alias("slot"), F.xxhash64("text").alias("key"), F.unhex(F.sha2("text", 256)).alias("digest"), F.col("doc_id").alias("least"), F.lit(1).cast("long").alias("rows"))
+    merged = exact_dedup.merge_runs(runs, 64, 8)
+    plan = merged._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortAggregate") >= 2 and "HashAggregate" not in plan.replace("SortAggregate", "")
+    want = docs.filter("text is not null").groupBy("text").agg(F.min("doc_id").alias("a"), F.count("*").alias("n"))
+    assert sorted((r.a, r.n) for r in want.collect()) == sorted((r.least, r.rows) for r in merged.filter("digest is not null").collect())
+
+
+def test_exact_takes_ids_of_any_type(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "x")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect()) == [("None", "a", 3, False), ("a", "a", 3, True), ("b", "a", 3, False)]
+
+
 def brute_simhash(t):
     w = words_of((t or "").translate({c: c + 32 for c in range(65, 91)}))
     if not w:
@@ -175,13 +189,15 @@ def test_shards_are_even(spark):
     assert len(load) == 16 and max(load) - min(load) <= 2
 
 
-def test_packing(docs, rows, empty):
+def test_packing(spark, docs, rows, empty):
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    found = packing.pack(docs, capacity=256, open_bins=8).collect()
+    rows = [*rows, (5001, "a<|endoftext|>b"), (5002, "<|endoftext|>" * 300), (5003, "<|endoftext|" + ">x")]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([r[:2] for r in rows[-3:]], "doc_id long, text string"))
+    assert t.encode(rows[-3][1], add_special_tokens=False).ids == [64, 50256, 65]
+    found = packing.pack(docs, capacity=256, open_bins=8, ahead=16, pieces_a_task=100).collect()
     pieces, bins = {}, {}
     for r in found:
         pieces.setdefault(r.doc_id, []).append(r)
@@ -200,6 +216,32 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_ranks_encode_as_the_tokenizer_does():
+    from public_tokenizers import PATTERN, path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    enc = packing.Encoder(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), PATTERN)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(f"a{c}b {c}1{c}  {c}'s." for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    assert [enc.ids(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_of_repeated_and_idless_rows(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "a"), (None, None)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.length) for r in found) == [("1", 2), ("1", 3), ("1", 3), ("None", 1), ("None", 2)]
+    assert sorted(r.offset for r in found)[0] == 0 and sum(r.length for r in found) == 11
+
+
+def test_few_sequences(spark):
+    sf = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(sf):
+        pytest.skip("no tables here")
+    found = packing.pack(spark.read.parquet(sf)).agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    assert found[1] <= 1.01 * -(-found[0] // 2048) + 1
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=200), st.integers(1, 5))
 def test_best_fit(lengths, open_bins):
