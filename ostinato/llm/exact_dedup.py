@@ -23,7 +23,11 @@ def merge_runs(runs: DataFrame, slots: int, fan_in: int) -> DataFrame:
     runs; two entries are one only if their 256-bit digests agree, too. After
     log_fan_in(slots) rounds a digest is in one slot. A digest has at most one
     entry a slot, so a text that a third of all rows share is as cheap as any.
+    The least identifier is held in a struct (null last): Spark then aggregates
+    in the order of the run instead of in hash tables, so each round is a sort
+    of the runs that came and one pass over them, and its result a sorted run.
     """
+    runs = runs.withColumn("least", F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id")))
     width = 1
     while width < slots:
         of_slot = F.floor(F.col("slot") / width) % fan_in
@@ -31,12 +35,11 @@ def merge_runs(runs: DataFrame, slots: int, fan_in: int) -> DataFrame:
         runs = (
             runs.withColumn("slot", (F.col("slot") + (of_key - of_slot) * width).cast("long"))
             .repartition(slots, "slot")
-            .sortWithinPartitions("slot", "key", "digest")
             .groupBy("slot", "key", "digest")
             .agg(F.min("least").alias("least"), F.sum("rows").alias("rows"))
         )
         width *= fan_in
-    return runs
+    return runs.withColumn("least", F.col("least.id"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
