@@ -9,6 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +97,17 @@ def look_up(big: DataFrame, small: DataFrame, keys: list[str], spread_by: str, s
     salted = big.withColumn("__salt", salt(F.col(spread_by), salts))
     leaf = salted.select(*keys, "__salt").distinct().join(small, keys, "left")
     return salted.join(leaf, [*keys, "__salt"], "left").drop("__salt")
+
+
+def by_bytes(b: pa.RecordBatch, text: str | int, most: int = 2**20) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """b in parts of about `most` bytes of text, and each part's texts, so that a task's memory doesn't follow the texts' lengths.
+
+    A longer text is a part of its own; a row counts 64 bytes at least.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy().astype(np.int64) + 64)
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        part = b.slice(i, j - i)
+        yield part, part.column(text).to_pylist()
+        i = j

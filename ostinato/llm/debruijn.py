@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,9 +43,9 @@ def _grams(h: np.ndarray, k: int, base: int) -> np.ndarray:
     return _mix(out)
 
 
-def windows(texts: list[bytes], k: int, short: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(texts: list[bytes | None], k: int, short: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all windows of k words within one text: text, place, the nodes that it leads from and to, and the minimizer's hash."""
-    split = [t.split() for t in texts]
+    split = [(t or b"").split() for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     digest = xxhash.xxh3_64_digest
     h = np.frombuffer(b"".join([digest(w, seed) for words in split for w in words]), ">u8").astype(U)
@@ -65,17 +64,6 @@ def windows(texts: list[bytes], k: int, short: int, seed: int = 0) -> tuple[np.n
     return text[:n][own], place[:n][own], node[:n][own], node[1:][own], least[own]
 
 
-def _chunks(b: pa.RecordBatch, text: str, most: int = 2**20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """b in parts of about `most` bytes of text, so that a task's memory doesn't follow the texts' lengths; a longer text is a part of its own."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy().astype(np.int64) + 64)
-    i = 0
-    while i < b.num_rows:
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
-        part = b.slice(i, j - i)
-        yield part, [t or b"" for t in part.column(text).to_pylist()]
-        i = j
-
-
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -171,7 +159,7 @@ def _settled(source: DataFrame, parts: int, k: int, short: int, filter_bits: int
 
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in _chunks(b, "text"):
+            for part, texts in common.by_bytes(b, "text"):
                 which, _, _, _, least = windows(texts, k, short, seed)
                 new = np.ones(len(least), bool)
                 new[1:] = (least[1:] != least[:-1]) | (which[1:] != which[:-1])
@@ -191,7 +179,7 @@ def _settled(source: DataFrame, parts: int, k: int, short: int, filter_bits: int
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = field.value
         for b in batches:
-            for part, texts in _chunks(b, "text"):
+            for part, texts in common.by_bytes(b, "text"):
                 which, at, left, right, least = windows(texts, k, short, seed)
                 spot = (least & U(2**filter_bits - 1)).astype(np.int64)
                 hit = (known[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
@@ -222,7 +210,7 @@ def _settled(source: DataFrame, parts: int, k: int, short: int, filter_bits: int
     def recite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What the sources hold at the places that are claimed to be repeated."""
         for b in batches:
-            for part, texts in _chunks(b, "text"):
+            for part, texts in common.by_bytes(b, "text"):
                 found = []
                 for doc, text, ordinal, claims in zip(part.column("source").to_pylist(), texts, part.column("first").to_pylist(), part.column("wanted"), strict=True):
                     words = text.split()
@@ -236,10 +224,10 @@ def _settled(source: DataFrame, parts: int, k: int, short: int, filter_bits: int
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in _chunks(b, "text"):
+            for part, texts in common.by_bytes(b, "text"):
                 found = []
                 for doc, text, ordinal, claimed in zip(part.column("own").to_pylist(), texts, part.column("first").to_pylist(), part.column("claims"), strict=True):
-                    words, collided = text.split(), False
+                    words, collided = (text or b"").split(), False
                     gone = np.zeros(len(words) + 1, np.int64)
                     if not ordinal and len(words) >= k:
                         gone[0], gone[-1] = 1, -1

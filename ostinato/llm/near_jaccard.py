@@ -1,6 +1,7 @@
-"""Near duplicates by shingles of words: all pairs whose Jaccard similarity is 0.8 or more, exactly.
+"""Near duplicates by shingles of words: the exact way for the links that SimHash anchors don't find.
 
-Candidates come from prefixes: with the shingles of every set in one order, two
+Texts whose Jaccard similarity is 0.8 or more can be so many bits apart that no
+covering code reaches them; here all of them meet. Candidates come from prefixes: with the shingles of every set in one order, two
 sets that are alike enough share one among the first |x| - ceil(0.8 |x|) + 1 of
 each. Common shingles, as a sample of the texts tells them, come last; that
 makes the prefixes selective and has no effect on which pairs are found.
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash_anchor import components
+from .components import components
 
 
 def shingles(text: bytes | None, words: int = 5) -> np.ndarray:
@@ -45,9 +46,8 @@ def _enough(shared: Column, x: Column, y: Column) -> Column:
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """node and its set of batches (node, text)."""
     for b in batches:
-        for i in range(0, b.num_rows, 1000):
-            part = b.slice(i, 1000)
-            sets = [shingles(t, words) for t in part.column(1).to_pylist()]
+        for part, texts in common.by_bytes(b, 1):
+            sets = [shingles(t, words) for t in texts]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "set"])
 
@@ -79,8 +79,8 @@ def _prefixes(rows: DataFrame, words: int, sample: int, listed: int) -> DataFram
     return common.cut(rows.mapInArrow(run, "shingle long, node long, size int"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """Those of pairs(a, b) that are alike."""
+def verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """Those of pairs(a, b) that are alike, by the sets of rows(node, text)."""
     pairs = common.cut(pairs.select("a", "b"))
     met = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     sets = common.cut(met.select("node", "text").mapInArrow(lambda batches: _sets(batches, words), "node long, set array<long>"))
@@ -91,44 +91,33 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     return found
 
 
-def _links(rows: DataFrame, words: int, sample: int, listed: int) -> DataFrame:
-    """Pairs (a, b) of nodes that join what all alike pairs join.
+def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members(shingle, node, size) of the shingles whose nodes links(a, b) don't join yet, with each node's part."""
+    parted = members.join(components(links), "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("part"))
+    apart = parted.groupBy("shingle").agg(F.min(F.struct("part", "node", "size")).alias("least"), F.max("part").alias("last")).filter("least.part <> last").select("shingle", "least")
+    return common.cut(parted.join(apart, "shingle"))
+
+
+def rest(rows: DataFrame, given: DataFrame, words: int, sample: int, listed: int) -> DataFrame:
+    """Pairs (a, b) of nodes that join, with the given links, what all alike pairs of rows(node, text) join.
 
     First each member of a shingle meets the shingle's least one, so that a
     large group of copies is joined without its pairs; then members meet that
-    aren't joined yet.
+    aren't joined yet. A shingle whose members the links join already has no
+    pair to look at. sample: texts, about, from which common shingles are told,
+    of which the `listed` most common are known to every task.
     """
     prefix = _prefixes(rows, words, sample, listed)
-    bucket = prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "size")).alias("least")).filter("members > 1")
-    shared = common.cut(prefix.join(bucket, "shingle").select("shingle", "node", "size", "least"))
+    shared = _mixed(prefix, given)
     common.discard(prefix)
-    stars = shared.filter((F.col("node") != F.col("least.node")) & _sized(F.col("size"), F.col("least.size")))
+    stars = shared.filter((F.col("part") != F.col("least.part")) & _sized(F.col("size"), F.col("least.size")))
     stars = stars.groupBy(F.col("least.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.first("least.size").alias("x"), F.first("size").alias("y"))
-    links = _verified(stars.filter(_enough(F.col("m"), F.col("x"), F.col("y"))), rows, words)
-    joined = shared.drop("least").join(components(links), "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("part"))
-    mixed = joined.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("shingle")
-    rest = common.cut(joined.join(mixed, "shingle"))
+    links = given.union(verified(stars.filter(_enough(F.col("m"), F.col("x"), F.col("y"))), rows, words))
+    left_over = _mixed(shared.select("shingle", "node", "size"), links)
     common.discard(shared)
-    left, right = rest.toDF("shingle", "a", "x", "part_a"), rest.toDF("shingle", "b", "y", "part_b")
+    left, right = left_over.select("shingle", "node", "size", "part").toDF("shingle", "a", "x", "part_a"), left_over.select("shingle", "node", "size", "part").toDF("shingle", "b", "y", "part_b")
     pairs = left.join(right, "shingle").filter((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _sized(F.col("x"), F.col("y")))
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("x").alias("x"), F.first("y").alias("y"))
-    more = _verified(pairs.filter(_enough(F.col("m"), F.col("x"), F.col("y"))), rows, words)
-    common.discard(rest)
+    more = verified(pairs.filter(_enough(F.col("m"), F.col("x"), F.col("y"))), rows, words)
+    common.discard(left_over)
     return links.union(more)
-
-
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, sample: int = 20_000, listed: int = 2**17) -> DataFrame:
-    """Of each group that alike texts link, the row of the smallest id (null last).
-
-    Texts are alike if the Jaccard similarity of their shingles of `words`
-    words, ASCII letters in lower case, is 0.8 or more. All texts without words
-    are alike. sample: texts, about, from which common shingles are told, of
-    which the `listed` most common are known to every task.
-    """
-    rows = common.cut(docs.withColumn("__node", F.monotonically_increasing_id()))
-    found = components(_links(rows.select(F.col("__node").alias("node"), F.col(text_col).cast("binary").alias("text")), words, sample, listed))
-    found = found.union(found.select("component", "component").distinct().toDF("node", "component"))
-    met = found.join(rows.select(F.col("__node").alias("node"), F.col(id_col).alias("id")), "node")
-    first = met.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")).select(F.col("first.node").alias("node"))
-    gone = found.select("node").join(first, "node", "left_anti").withColumnRenamed("node", "__node")
-    return rows.join(gone, "__node", "left_anti").select(*docs.columns)

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,17 +198,6 @@ class Lookup:
         return value, hit
 
 
-def _chunks(b: pa.RecordBatch, text: int, most: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """b in parts of about `most` bytes of text; a longer text is a part of its own."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy().astype(np.int64) + 16)
-    i = 0
-    while i < b.num_rows:
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
-        part = b.slice(i, j - i)
-        yield part, part.column(text).to_pylist()
-        i = j
-
-
 def count(batches: Iterator[pa.RecordBatch], order: int, chunk: int, most: int = 2**21) -> Iterator[pa.RecordBatch]:
     """Rows (key, n) of batches (train, text): grams and words, those of other texts with n 0. A task holds about `most` of them."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -221,7 +209,7 @@ def count(batches: Iterator[pa.RecordBatch], order: int, chunk: int, most: int =
         return pa.record_batch([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
     for b in batches:
-        for part, texts in _chunks(b, 1, chunk):
+        for part, texts in common.by_bytes(b, 1, chunk):
             train = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
             gram, of_gram, word, of_word = read(texts, order)
             for keys, of in ((gram, of_gram), (word, of_word)):
@@ -255,7 +243,8 @@ def score(docs: DataFrame, train: str, order: int = 6, frequent: int = 2**21, ch
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.expr(train), F.lit(False)).alias("train"), F.col(text_col).cast("binary").alias("text"))
-    table = common.cut(rows.select("train", "text").mapInArrow(lambda batches: count(batches, order, chunk), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    # a task's keys are distinct already, so they are dealt out as they are
+    table = common.cut(rows.select("train", "text").mapInArrow(lambda batches: count(batches, order, chunk), "key long, n long").repartition(common.partitions(spark), "key").groupBy("key").agg(F.sum("n").alias("n")))
     is_word, learnt = F.col("key") < 0, F.col("n") > 0
     told = table.filter(is_word).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(learnt)).first()
     tokens, kinds = told
@@ -307,7 +296,7 @@ def score(docs: DataFrame, train: str, order: int = 6, frequent: int = 2**21, ch
 
         at, rid = sent.value, TaskContext.get().partitionId() << 33
         for b in batches:
-            for part, texts in _chunks(b, 2, chunk):
+            for part, texts in common.by_bytes(b, 2, chunk):
                 gram, of_gram, word, of_word = read(texts, order)
                 m = len(texts)
                 value, hit = at.get(gram)

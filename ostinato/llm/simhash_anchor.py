@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, near_jaccard
+from .components import components
 
 BITS = 64
 
@@ -66,7 +67,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([simhash(t, words, seed) for t in b.column(1).to_pylist()], pa.int64())], ["id", "fp"])
+            for part, texts in common.by_bytes(b, 1):
+                yield pa.record_batch([part.column(0), pa.array([simhash(t, words, seed) for t in texts], pa.int64())], ["id", "fp"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     return picked.mapInArrow(run, "id long, fp long")
@@ -104,22 +106,34 @@ def covering_code(dimension: int) -> list[np.ndarray]:
     return [anchors(half, 7, 32), anchors(half, 8, 32)]
 
 
-def _meet(batches: Iterator[pa.RecordBatch], code: list[np.ndarray], bits: int, salts: int) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, salt, home, fp, node): a home row in every salt of its anchor, a copy in its own salt of each anchor in reach."""
+def _meet(batches: Iterator[pa.RecordBatch], code: list[np.ndarray], bits: int, salts: int, dealt: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, salt, home, fp, node): a home row in every salt of its anchor, a copy in its own salt of each anchor in reach.
+
+    dealt: the number of salts of each anchor that has another than `salts`.
+    """
+    crowded, many = np.array(sorted(dealt), np.int64), np.array([dealt[x] for x in sorted(dealt)], np.int64)
+
+    def salts_of(anchor: np.ndarray) -> np.ndarray:
+        if not len(crowded):
+            return np.full(len(anchor), salts)
+        at = np.searchsorted(crowded, anchor).clip(0, len(crowded) - 1)
+        return np.where(crowded[at] == anchor, many[at], salts)
+
     for b in batches:
         fps, nodes = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
         for i in range(0, len(fps), 128):
             f, n = fps[i : i + 128], nodes[i : i + 128]
             row, anchor, home = within_reach(f.view(np.uint64), code, bits)
-            home = np.repeat(home, salts)
-            every = np.tile(np.arange(salts), len(f))
+            times = salts_of(home)
+            every = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            home = np.repeat(home, times)
             yield pa.record_batch(
                 [
                     pa.array(np.concatenate([anchor, home]).astype(np.int32)),
-                    pa.array(np.concatenate([n[row] % salts, every]).astype(np.int32)),
+                    pa.array(np.concatenate([n[row] % salts_of(anchor), every]).astype(np.int32)),
                     pa.array(np.concatenate([np.zeros(len(row), bool), np.ones(len(home), bool)])),
-                    pa.array(np.concatenate([f[row], np.repeat(f, salts)])),
-                    pa.array(np.concatenate([n[row], np.repeat(n, salts)])),
+                    pa.array(np.concatenate([f[row], np.repeat(f, times)])),
+                    pa.array(np.concatenate([n[row], np.repeat(n, times)])),
                 ],
                 ["anchor", "salt", "home", "fp", "node"],
             )
@@ -187,25 +201,37 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         yield links(pa.Table.from_batches(held))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and component (its least node) of every node of edges(a, b), by alternating large and small stars."""
-    e = common.cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        e = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        met = e.join(least, "u")
-        e = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
-        e = common.cut(e)
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, seed: int = 42, per_anchor: int = 16, salts: int = 4) -> DataFrame:
+def _homes(batches: Iterator[pa.RecordBatch], code: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The home anchor of each fingerprint."""
+    for b in batches:
+        fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for i in range(0, len(fps), 1024):
+            f = fps[i : i + 1024]
+            if len(code) == 1:
+                home = np.bitwise_count(f[:, None] ^ code[0][None, :]).argmin(axis=1)
+            else:
+                home = np.bitwise_count((f >> np.uint64(32))[:, None] ^ code[0][None, :]).argmin(axis=1) * len(code[1]) + np.bitwise_count((f & np.uint64(2**32 - 1))[:, None] ^ code[1][None, :]).argmin(axis=1)
+            yield pa.record_batch([pa.array(home.astype(np.int32))], ["anchor"])
+
+
+def links(known: DataFrame, bits: int, per_anchor: int, salts: int, crowded: int) -> DataFrame:
+    """Pairs (a, b) of nodes that join what all pairs of known(fp, node) at most `bits` apart join.
+
+    An anchor's members are dealt over `salts` tasks, and over as many more as
+    it is home to `crowded` fingerprints: a cluster of like texts crowds few
+    anchors. At most one anchor in `crowded` fingerprints is listed on the
+    driver.
+    """
+    n = known.count()
+    code = covering_code(min(28, max(4, (max(1, n) // per_anchor).bit_length())))
+    parts = max(common.partitions(known.sparkSession), 1)
+    full = known.select("fp").mapInArrow(lambda batches: _homes(batches, code), "anchor int").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= crowded).collect()
+    dealt = {r["anchor"]: salts * (1 + r["n"] // crowded) for r in full}
+    met = known.repartition(parts).mapInArrow(lambda batches: _meet(batches, code, bits, salts, dealt), "anchor int, salt int, home boolean, fp long, node long")
+    return met.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(lambda batches: _compare(batches, bits), "a long, b long")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, seed: int = 42, per_anchor: int = 16, salts: int = 4, crowded: int = 2**13) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id for every row of docs.
 
     Fingerprints at most `bits` apart are linked; component_id is the smallest
@@ -214,16 +240,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document for each fingerprint they have; rows whose id is null take the
     component of their fingerprint, null if it has no other row. Other columns
     are ignored. per_anchor: about as many distinct fingerprints as anchors are
-    made for, up to 2**28 anchors; salts: tasks over which an anchor's members
-    are dealt.
+    made for, up to 2**28 anchors; salts, crowded: see links.
     """
     rows = common.cut(fingerprints(docs, id_col, text_col, words, seed))
     known = common.cut(rows.groupBy("fp").agg(F.min("id").alias("node")))
-    n = known.count()
-    code = covering_code(min(28, max(4, (max(1, n) // per_anchor).bit_length())))
-    parts = max(common.partitions(docs.sparkSession), 1)
-    met = known.filter("node is not null").repartition(parts).mapInArrow(lambda batches: _meet(batches, code, bits, salts), "anchor int, salt int, home boolean, fp long, node long")
-    links = met.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(lambda batches: _compare(batches, bits), "a long, b long")
-    found = known.join(components(links), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    found = links(known.filter("node is not null"), bits, per_anchor, salts, crowded)
+    found = known.join(components(found), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     told = common.look_up(rows, found, ["fp"], "id")
     return told.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 3, seed: int = 42, per_anchor: int = 16, salts: int = 4, crowded: int = 2**13, sample: int = 20_000, listed: int = 2**17) -> DataFrame:
+    """docs without all but one row of each group that alike texts link: that of the smallest id stays (null last), in the columns they had.
+
+    Texts are alike if the Jaccard similarity of their shingles of `words`
+    words, ASCII letters in lower case, is 0.8 or more; null, empty and wordless
+    texts are alike, a text of fewer words is one shingle. Anchors link texts
+    whose fingerprints, of the same shingles, are at most `bits` apart; each
+    link is checked. Alike texts that are farther apart, up to 17 of 64 bits,
+    are beyond any code's reach: near_jaccard.rest finds those links exactly.
+    Of rows that agree in id and text one stays. Other columns don't count; an
+    empty table gives an empty one.
+    """
+    rows = common.cut(docs.withColumn("__node", F.monotonically_increasing_id()))
+    texts = rows.select(F.col("__node").alias("node"), F.col(text_col).cast("binary").alias("text"))
+    fps = common.cut(fingerprints(texts, "node", "text", words, seed))
+    known = common.cut(fps.groupBy("fp").agg(F.min("id").alias("node")))
+    same = common.look_up(fps, known, ["fp"], "id").filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    close = near_jaccard.verified(same.union(links(known, bits, per_anchor, salts, crowded)), texts, words)
+    found = components(near_jaccard.rest(texts, close, words, sample, listed))
+    found = found.union(found.select("component", "component").distinct().toDF("node", "component"))
+    met = found.join(rows.select(F.col("__node").alias("node"), F.col(id_col).alias("id")), "node")
+    first = met.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")).select(F.col("first.node").alias("node"))
+    gone = found.select("node").join(first, "node", "left_anti").withColumnRenamed("node", "__node")
+    return rows.join(gone, "__node", "left_anti").select(*docs.columns)

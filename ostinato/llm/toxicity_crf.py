@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 STRIPPED = re.compile(r"^\W+|\W+$")
 
@@ -283,9 +285,8 @@ def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                found = list(scorer.many(part.column(text_col).to_pylist()))
+            for part, texts in common.by_bytes(b, text_col):
+                found = list(scorer.many(texts))
                 scores = pa.array([s for s, _ in found], pa.float64())
                 if keep:
                     yield pa.record_batch([*part.columns, scores], [*part.schema.names, "__score"])

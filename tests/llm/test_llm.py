@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ostinato.llm.components import components as components_of
 from ostinato.llm import chat, common, debruijn, exact_dedup, iblt, mixing, packing, ppm, sharding, simhash_anchor, toxicity_crf
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, slot int, keep_id string, __salt int, block string"
@@ -118,6 +119,7 @@ def test_simhash(docs, rows, empty):
     found = {r.doc_id: r for r in simhash_anchor.near_groups(docs).collect()}
     assert {d: r.fingerprint for d, r in found.items()} == {d: f"{f:016x}" for d, f in fps.items()}
     assert {d: r.component_id for d, r in found.items()} == components(fps)
+    assert {r.doc_id: r.component_id for r in simhash_anchor.near_groups(docs, crowded=2, per_anchor=8).collect()} == components(fps)
     assert simhash_anchor.near_groups(empty).count() == 0
 
 
@@ -136,7 +138,7 @@ def test_anchors_lose_no_link(code):
     import pyarrow as pa
 
     batch = pa.record_batch([pa.array(fps.view(np.int64)), pa.array(np.arange(len(fps)))], ["fp", "node"])
-    met = pa.Table.from_batches(list(simhash_anchor._meet(iter([batch]), code, 3, 2))).sort_by([("anchor", "ascending"), ("salt", "ascending")])
+    met = pa.Table.from_batches(list(simhash_anchor._meet(iter([batch]), code, 3, 2, {0: 5, 3: 7}))).sort_by([("anchor", "ascending"), ("salt", "ascending")])
     links = pa.Table.from_batches(list(simhash_anchor._compare(iter(met.to_batches(max_chunksize=50)), 3)))
     parent = list(range(len(fps)))
 
@@ -153,7 +155,7 @@ def test_anchors_lose_no_link(code):
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (5, 5)], "a long, b long")
-    found = {r.node: r.component for r in simhash_anchor.components(edges).collect()}
+    found = {r.node: r.component for r in components_of(edges).collect()}
     assert found == {i: 0 for i in range(1, 41)} | {95: 90, 100: 90}
 
 
