@@ -14,32 +14,18 @@ from . import common
 TABLES = 3
 
 
-def piece(n: Column) -> Column:
-    """Code points of a piece of a text of n."""
-    size = F.when(n < 64, 4).when(n < 128, 8).when(n < 256, 16).when(n < 512, 32).when(n < 1024, 64).when(n < 2048, 128).when(n < 8192, 256).when(n <= 65536, 512)
-    for power in range(7, 21):
-        size = size.when(n <= 1024 << power, 65536 + (1 << power))  # regardless of lines
-    return size.otherwise(65536 + (1 << 21))
+#: Where a paragraph may end. One rule for texts of any length: after a word's beginning, a rare sequence of three letters or digits, or one of some letters of other scripts.
+PARAGRAPH = r"(?s).{64,384}?(?:(?<=[ \n][a-d][a-z])|(?<=[g-m][v-z0-4][a-m5-7 ])|(?<=[\u0430\u0438\u043d\u05d0\u05ea\u0627\u0646\u0915\u0930\u3044\u306e\u30f3\u4e00-\u4e7f\u5a00-\u5a7f\u6600-\u667f\u7200-\u727f\u7e00-\u7e7f\u8a00-\u8a7f\uac00-\uac7f\ub800-\ub87f\uc400-\uc47f])|$)|.{1,384}"
 
 
-def paragraphs(text: Column, n: Column | None = None) -> Column:
-    """Digests (64 bits, distinct) of the text's paragraphs: its lines, in pieces of 4 to 512 code points, smaller ones for a shorter text.
+def paragraphs(text: Column) -> Column:
+    """Digests (64 bits, distinct) of the text's paragraphs, whose ends its content tells: 64 to 384 code points, about 100 in prose.
 
-    The size of a piece depends on the text's number of code points only, or on
-    n, that of a text to be compared with: texts cut at one size share the
-    pieces of what they have in common. Texts of over 65536 code points are cut regardless of lines, into 1024 pieces or
-    somewhat more, so that a sketch of any text is bounded.
+    No rule depends on the text's length, and where texts agree for longer than
+    a paragraph, their paragraphs agree again. Line feeds are characters like
+    others.
     """
-    n = F.length(text) if n is None else n
-
-    def pieces(size: int) -> Column:
-        return F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{size}}}"), F.lit(0))
-
-    found = F.when(n < 64, pieces(4)).when(n < 128, pieces(8)).when(n < 256, pieces(16)).when(n < 512, pieces(32)).when(n < 1024, pieces(64)).when(n < 2048, pieces(128)).when(n < 8192, pieces(256)).when(n <= 65536, pieces(512))
-    for power in range(7, 21):
-        found = found.when(n <= 1024 << power, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << power}}}"), F.lit(0)))
-    found = found.otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << 21}}}"), F.lit(0)))
-    return F.array_distinct(F.transform(found, lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
 def cell(digest: Column, table: int, width: Column) -> Column:
@@ -78,9 +64,26 @@ def sketches(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "xa", "ca", "na", "xb", "cb", "nb"))).alias("cells"))
 
 
-def subtract(cells: Column) -> Column:
-    """The difference of two sketches, a struct (x, c, n) for every cell."""
-    return F.transform(cells, lambda s: F.struct(s["xa"].bitwiseXOR(s["xb"]).alias("x"), s["ca"].bitwiseXOR(s["cb"]).alias("c"), (s["na"] - s["nb"]).alias("n")))
+def sketch(digests: Column, width: int) -> Column:
+    """The sketch of an array of digests, of width * TABLES cells, each a struct (x, c, n)."""
+    placed = F.transform(digests, lambda x: F.struct(x.alias("x"), check(x).alias("c"), *[cell(x, t, F.lit(width)).alias(f"at{t}") for t in range(TABLES)]))
+
+    def cells(held: Column) -> Column:
+        def one(t: int):
+            def sum_up(i: Column) -> Column:
+                zero = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("n"))
+                return F.aggregate(F.filter(held, lambda p: p[f"at{t}"] == i), zero, lambda s, p: F.struct(s["x"].bitwiseXOR(p["x"]).alias("x"), s["c"].bitwiseXOR(p["c"]).alias("c"), (s["n"] + 1).alias("n")))
+
+            return F.transform(F.sequence(F.lit(t * width), F.lit((t + 1) * width - 1)), sum_up)
+
+        return F.concat(*[one(t) for t in range(TABLES)])
+
+    return F.element_at(F.transform(F.array(placed), cells), 1)
+
+
+def subtract(a: Column, b: Column) -> Column:
+    """The difference of two sketches of one size."""
+    return F.zip_with(a, b, lambda s, t: F.struct(s["x"].bitwiseXOR(t["x"]).alias("x"), s["c"].bitwiseXOR(t["c"]).alias("c"), (s["n"] - t["n"]).alias("n")))
 
 
 def peel(difference: str, width: str, rounds: int = 25) -> Column:
@@ -125,20 +128,25 @@ def peel(difference: str, width: str, rounds: int = 25) -> Column:
 
 
 def differ(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """pairs(keys, parts, width, a, b) -> keys, width, part, cells, ok, only_a, only_b."""
-    found = sketches(pairs, keys).withColumn("difference", subtract(F.col("cells")))
+    """pairs(keys, parts, width, a, b) -> keys, width, part, ok, only_a, only_b and these digests."""
+    of = lambda side: F.transform("cells", lambda s: F.struct(s[f"x{side}"].alias("x"), s[f"c{side}"].alias("c"), s[f"n{side}"].alias("n")))
+    found = sketches(pairs, keys).withColumn("difference", subtract(of("a"), of("b")))
     found = found.withColumn("peeled", peel("difference", "width"))
-    whole = F.forall("peeled.cells", lambda c: (c["n"] == 0) & (c["x"] == 0) & (c["c"] == 0))
-    return found.select(*keys, "width", "part", "cells", whole.alias("ok"), F.size("peeled.only_a").alias("only_a"), F.size("peeled.only_b").alias("only_b"), F.col("peeled.only_a").alias("digests_a"), F.col("peeled.only_b").alias("digests_b"))
+    return found.select(*keys, "width", "part", _whole("peeled.cells").alias("ok"), F.size("peeled.only_a").alias("only_a"), F.size("peeled.only_b").alias("only_b"), F.col("peeled.only_a").alias("digests_a"), F.col("peeled.only_b").alias("digests_b"))
+
+
+def _whole(cells: str) -> Column:
+    """Whether nothing is left in the cells: all digests were recovered."""
+    return F.forall(cells, lambda c: (c["n"] == 0) & (c["x"] == 0) & (c["c"] == 0))
 
 
-def _code(cells: Column, x: str, n: str) -> Column:
+def _code(cells: Column) -> Column:
     """A sketch as text: for each cell 16 hex digits of its xor and 4 of its number."""
-    return F.lower(F.array_join(F.transform(cells, lambda s: F.concat(F.lpad(F.hex(s[x]), 16, "0"), F.lpad(F.hex(s[n] % 65536), 4, "0"))), ""))
+    return F.lower(F.array_join(F.transform(cells, lambda s: F.concat(F.lpad(F.hex(s["x"]), 16, "0"), F.lpad(F.hex(s["n"] % 65536), 4, "0"))), ""))
 
 
-def with_next(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame:
-    """block, pos (unique together), id, text, a (its paragraphs), next_text and next (those of the following document).
+def with_next(docs: DataFrame, blocks: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """block, pos (unique together), id, text, a and s (its paragraphs and their sketch), next_text, next and next_s (of the following document).
 
     Documents follow by id, null first, equal ids by their texts' hash; the last
     is followed by the first. Blocks of ids are cut at approximate percentiles;
@@ -158,9 +166,10 @@ def with_next(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataF
     opens = F.col("id").isNull() | F.array_contains(near, F.col("id"))
     here = F.struct(block.alias("block"), F.lit(0).alias("sent"))
     before = F.struct(F.pmod(block - 1, F.lit(len(cuts))).alias("block"), F.lit(1).alias("sent"))
-    rows = own.withColumn("a", paragraphs(F.col("text"))).withColumn("to", F.explode(F.when(opens, F.array(here, before)).otherwise(F.array(here)))).select("to.block", "to.sent", "id", "text", "a", F.xxhash64("text").alias("h"))
+    rows = own.withColumn("a", paragraphs(F.col("text"))).withColumn("s", sketch(F.col("a"), width)).withColumn("to", F.explode(F.when(opens, F.array(here, before)).otherwise(F.array(here)))).select("to.block", "to.sent", "id", "text", "a", "s", F.xxhash64("text").alias("h"))
     order = Window.partitionBy("block").orderBy("sent", F.asc_nulls_first("id"), "h")
-    told = rows.select("block", "sent", "id", "text", "a", F.row_number().over(order).alias("pos"), F.lead("text").over(order).alias("next_text"), F.lead("a").over(order).alias("next"))
+    lead = [F.lead(c).over(order).alias(n) for c, n in (("text", "next_text"), ("a", "next"), ("s", "next_s"))]
+    told = rows.select("block", "sent", "id", "text", "a", "s", F.row_number().over(order).alias("pos"), *lead)
     return told.filter("sent = 0").drop("sent")
 
 
@@ -172,71 +181,55 @@ def near_next_and_edited(docs: DataFrame, base_width: int = 8, width: int = 16,
     sketches of base_width * 3 cells of all of the texts' paragraph digests; equal
     texts have equal ones. Likeness is twice the shared paragraphs by the sum of
     both numbers, 1 for two empty texts; the shared ones are what the difference
-    of two sketches, peeled, leaves. For near_edited both texts are cut at the
-    first one's size, as the edited text may be shorter; its fingerprint, like
-    any text's, is of pieces of its own size. Where the base sketches differ by too much
-    to be peeled, larger ones are subtracted, twice as large each time, until
-    all digests are recovered. Null is the empty text. Rows that repeat follow
-    each other; a single row follows itself. Other columns don't count.
+    of two sketches, peeled, leaves. The fingerprints are subtracted first. Of a
+    pair whose difference can't be peeled, larger sketches are made, of a size
+    for all digests of both, and twice as large each time until all are
+    recovered. A text of few paragraphs has few steps of likeness. Null is the
+    empty text. Rows that repeat follow each other; a single row follows
+    itself. Rows of one id, or of none, are dealt with in one task. Other
+    columns don't count; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     parts = common.partitions(spark)
     blocks = blocks or min(2**14, max(64, 2 * parts))
-    told = with_next(docs, blocks, id_col, text_col)
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.floor(n / 4).cast("int")))
-    source = told.withColumn("edited", edited).select("block", "pos", "id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", paragraphs(F.col("edited"), n).alias("e"), F.col("next").alias("n"), "edited", (piece(n) != piece(F.length("edited"))).alias("other"))
-    # f: the edited text's pieces of its own size, if that is another
-    source = common.cut(source.withColumn("f", F.when(F.col("other"), paragraphs(F.col("edited")))).drop("edited", "other"))
-    dealt = source.repartition(4 * parts, "block", "pos")  # small enough that a task's cells stay in hash tables
-    split = lambda a, b: F.ceil((F.size(a) + F.size(b) + 1) / 16).cast("int")
-
-    def pair(kind: str, parts: Column, width: int, b: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), parts.alias("parts"), F.lit(width).alias("width"), F.col("a").alias("a"), b.alias("b"))
-
-    base = pair("base", F.lit(1), base_width, F.coalesce("f", "e"))
-    after = pair("next", split("a", "n"), width, F.col("n"))
-    asked = F.when((F.size("a") + F.size("e") > TABLES * base_width / 2) | F.col("f").isNotNull(), F.array(base, pair("edited", split("a", "e"), width, F.col("e")), after)).otherwise(F.array(base, after))
-    pairs = dealt.select("block", "pos", F.explode(asked).alias("p")).select("block", "pos", "p.*")
-    tried = differ(pairs, ["block", "pos", "kind"])
-
-    def gone(own: Column) -> Column:
-        """Digests on either side alone, null if a part was not peeled."""
-        return F.when(F.min(F.when(own, F.col("ok").cast("int"))) == 1, F.struct(F.sum(F.when(own, F.col("only_a"))).alias("a"), F.sum(F.when(own, F.col("only_b"))).alias("b")))
-
-    is_base = F.col("kind") == "base"
-    told = tried.groupBy("block", "pos").agg(
-        F.max(F.when(is_base, _code(F.col("cells"), "xa", "na"))).alias("fingerprint"),
-        F.max(F.when(is_base, _code(F.col("cells"), "xb", "nb"))).alias("edited_fingerprint"),
-        gone(is_base).alias("base"),
-        gone(F.col("kind") == "edited").alias("edited"),
-        gone(F.col("kind") == "next").alias("next"),
-    )
-    met = dealt.join(told, ["block", "pos"]).withColumn("edited", F.coalesce(F.when(F.col("f").isNull(), F.col("base")), "edited"))
-    held = [F.when(F.col(x).isNull(), F.col(y)).alias(y) for x, y in (("edited", "e"), ("next", "n"))]
-    lacking = F.col("edited").isNull() | F.col("next").isNull()
+    told = with_next(docs, blocks, base_width, id_col, text_col).withColumn("edited", edited)
+    source = told.select("block", "pos", "id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", "s", paragraphs(F.col("edited")).alias("e"), F.col("next").alias("n"), "next_s")
+    source = common.cut(source.withColumn("es", sketch(F.col("e"), base_width)))
+    kinds = {"edited": ("e", "es"), "next": ("n", "next_s")}
+    tried = source.withColumn("width", F.lit(base_width))
+    for kind, (_, cells) in kinds.items():
+        tried = tried.withColumn("difference", subtract(F.col("s"), F.col(cells))).withColumn("peeled", peel("difference", "width", 8))
+        tried = tried.withColumn(kind, F.when(_whole("peeled.cells"), F.struct(F.size("peeled.only_a").cast("long").alias("a"), F.size("peeled.only_b").cast("long").alias("b")))).drop("difference", "peeled")
     done = common.cut(
-        met.select(
-            "block", "pos", "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "edited", "next",
-            F.size("a").alias("sa"), F.size("e").alias("se"), F.size("n").alias("sn"), F.when(lacking, F.col("a")).alias("a"), *held,
+        tried.select(
+            "block", "pos", "id", "n_chars", "edited_sha256", _code(F.col("s")).alias("fingerprint"), _code(F.col("es")).alias("edited_fingerprint"), *kinds, F.size("a").alias("sa"), F.size("e").alias("se"), F.size("n").alias("sn"),
+            F.when(F.col("edited").isNull() | F.col("next").isNull(), F.col("a")).alias("a"), *[F.when(F.col(kind).isNull(), F.col(b)).alias(b) for kind, (b, _) in kinds.items()],
         )
     )
+    common.discard(source)
     # those whose sketch was too small, ever larger
-    open_ = done.filter(lacking).select("block", "pos", "a", F.explode(F.filter(F.array(F.struct(F.lit("edited").alias("kind"), F.col("e").alias("b")), F.struct(F.lit("next").alias("kind"), F.col("n").alias("b"))), lambda x: x["b"].isNotNull())).alias("p")).select("block", "pos", "p.kind", "a", "p.b")
-    retried = None
-    for doubled in range(1, 12):
+    lacking = F.filter(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(b).alias("b")) for kind, (b, _) in kinds.items()]), lambda x: x["b"].isNotNull())
+    size = F.ceil((F.size("a") + F.size("b") + 1) / 16).cast("int")
+    open_, retried = done.filter(F.col("a").isNotNull()).select("block", "pos", "a", F.explode(lacking).alias("p")).select("block", "pos", "p.kind", "a", "p.b"), None
+    for doubled in range(12):
         if open_.isEmpty():
             break
-        result = differ(open_.withColumn("parts", split("a", "b")).withColumn("width", F.lit(width << doubled)), ["block", "pos", "kind"])
-        result = common.cut(result.groupBy("block", "pos", "kind").agg(gone(F.lit(True)).alias("gone")))
+        dealt = open_.repartition(4 * parts, "block", "pos")  # small enough that a task's cells stay in hash tables
+        result = differ(dealt.withColumn("parts", size).withColumn("width", F.lit(width << doubled)), ["block", "pos", "kind"])
+        gone = F.when(F.min(F.col("ok").cast("int")) == 1, F.struct(F.sum("only_a").alias("a"), F.sum("only_b").alias("b")))
+        result = common.cut(result.groupBy("block", "pos", "kind").agg(gone.alias("gone")))
         right = result.filter("gone is not null")
         retried = right if retried is None else retried.union(right)
         open_ = open_.join(result.filter("gone is null").select("block", "pos", "kind"), ["block", "pos", "kind"], "left_semi")
     if not open_.isEmpty():
         raise RuntimeError("sketches of 2048 times the size could not be peeled")
     if retried is not None:
-        late = retried.groupBy("block", "pos").agg(F.max(F.when(F.col("kind") == "edited", F.col("gone"))).alias("late_edited"), F.max(F.when(F.col("kind") == "next", F.col("gone"))).alias("late_next"))
-        done = done.join(late, ["block", "pos"], "left").withColumn("edited", F.coalesce("edited", "late_edited")).withColumn("next", F.coalesce("next", "late_next"))
+        late = retried.groupBy("block", "pos").agg(*[F.max(F.when(F.col("kind") == kind, F.col("gone"))).alias(f"late_{kind}") for kind in kinds])
+        done = done.join(late, ["block", "pos"], "left")
+        for kind in kinds:
+            done = done.withColumn(kind, F.coalesce(kind, f"late_{kind}"))
 
     def likeness(x: str, size: str) -> Column:
         whole = F.col("sa") + F.col(size)

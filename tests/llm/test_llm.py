@@ -422,11 +422,9 @@ def test_scores_beat_the_base(spark):
 
 
 def paragraphs(t):
-    n = len(t)
-    for most, size in ((64, 4), (128, 8), (256, 16), (512, 32), (1024, 64), (2048, 128), (8192, 256), (65537, 512)):
-        if n < most:
-            return set(re.findall("[^\n]{1,%d}" % size, t))
-    return set(re.findall("(?s).{1,%d}" % (1 << next(k for k in range(7, 22) if n <= 1024 << k)), t))
+    found = re.findall(iblt.PARAGRAPH, t)
+    assert "".join(found) == t and all(len(p) <= 384 for p in found)
+    return set(found)
 
 
 def test_fingerprints(spark, rows, empty):
@@ -448,20 +446,38 @@ def test_fingerprints(spark, rows, empty):
     assert iblt.near_next_and_edited(df.limit(1)).count() == 1
 
 
-def test_edited_text_of_another_size_shares_its_start(spark):
+def test_likeness_does_not_depend_on_steps_of_length(spark):
+    """Whatever its length, a text is like itself with a changed or shorter end, and unlike another."""
     rng = np.random.default_rng(2)
-    long = ["".join(chr(97 + int(x)) for x in rng.integers(0, 26, n)) for n in (600, 1100, 2500, 9000, 70_000)]
-    texts = [t for x in long for t in (x, "next")]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    letters = lambda n: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, n))
+    rows = []
+    for n in (1020, 1040, 2050, 4100, 9000, 33_000, 66_000, 70_000, 300_000):
+        t = letters(n)
+        rows += [(len(rows), t), (len(rows) + 1, t[: n - 10]), (len(rows) + 2, "next text,")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r for r in iblt.near_next_and_edited(df, blocks=2).collect()}
-    for i, t in enumerate(texts):
-        after = texts[(i + 1) % len(texts)]
-        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
-        size = next(z for m, z in ((64, 4), (128, 8), (256, 16), (512, 32), (1024, 64), (2048, 128), (8192, 256), (65537, 512), (131073, 128)) if len(t) < m)
-        a, e = ({x[j : j + size] for j in range(0, len(x), size)} for x in (t, edited))
-        assert found[i].near_edited == pytest.approx(2 * len(a & e) / (len(a) + len(e)))
-        if len(t) > 512:
-            assert found[i].near_edited > 0.7
+    for i in range(0, len(rows), 3):
+        assert found[i].near_next > 0.8 and found[i + 1].near_next == 0
+        assert 0.6 < found[i + 1].near_edited < 0.95 and found[i].near_edited > 0.55
+
+
+def test_fingerprints_are_what_is_subtracted(spark):
+    """The likeness of near texts follows from the published fingerprints alone."""
+    rng = np.random.default_rng(12)
+    text = prose(rng, 300, 5000)
+    df = spark.createDataFrame([(1, text), (2, text[:-40])], "doc_id long, text string")
+    found = {r.doc_id: r for r in iblt.near_next_and_edited(df, blocks=1).collect()}
+    cells = lambda f: [(int(f[i : i + 16], 16), int(f[i + 16 : i + 20], 16)) for i in range(0, len(f), 20)]
+    left = [(a ^ x, b - y) for (a, b), (x, y) in zip(cells(found[1].fingerprint), cells(found[2].fingerprint), strict=True)]
+    a, b = paragraphs(text), paragraphs(text[:-40])
+    assert len(left) == 24 and sum(n for _, n in left) == 3 * (len(a) - len(b))
+    assert found[1].next_difference == len(a ^ b) and {x for x, n in left if n} and found[1].near_next == pytest.approx(2 * len(a & b) / (len(a) + len(b)))
+
+
+def test_fingerprints_of_idless_rows(spark):
+    df = spark.createDataFrame([(None, "a"), (None, None), (3, "b"), (3, "b"), (3, "c")], "doc_id long, text string")
+    found = iblt.near_next_and_edited(df).collect()
+    assert len(found) == 5 and sorted(r.near_next for r in found) == [0, 0, 0, 0, 1]
 
 
 def test_peeling_recovers_digests(spark):
