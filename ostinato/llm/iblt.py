@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,40 +32,34 @@ def cell(digest: Column, table: int, width: Column) -> Column:
     return (F.pmod(F.xxhash64(digest, F.lit(table)), width) + table * width).cast("int")
 
 
+def part_of(digest: Column) -> Column:
+    """Which of `parts` small sketches holds a digest."""
+    return F.pmod(F.xxhash64(digest, F.lit(-2)), F.col("parts")).cast("int")
+
+
 def check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(-1))
 
 
-def sketches(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """pairs(keys, parts, width, a, b), digests in a and b: per row and part the cells of both sketches, an array in the cells' order.
+def parted(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """pairs(keys, parts, width, a, b), digests in a and b: a row for each key and part that has any, with the part's digests.
 
     A sketch is made of `parts` small ones; a digest belongs to one of them, by
-    its hash, so that peeling never handles a large array. A cell has xa, ca, na
-    (xor of the digests, of their checks, number) and xb, cb, nb. The rows are
-    grouped as they lie: no exchange if pairs is already dealt by some of the
-    keys.
+    its hash, so that neither making nor peeling one handles a large array. The
+    rows are grouped as they lie: no exchange if pairs is already dealt by some
+    of the keys.
     """
-    keys = [*keys, "width", "part"]
 
     def listed(name: str, left: bool) -> Column:
-        return F.transform(name, lambda x: F.struct(x.alias("x"), F.lit(left).alias("left"), F.pmod(F.xxhash64(x, F.lit(-2)), F.col("parts")).cast("int").alias("part")))
-
-    # in each part one without a digest stands for every cell, so that no cell is missing
-    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.lit(None).cast("long").alias("x"), F.lit(None).cast("boolean").alias("left"), i.alias("part")))
-    items = pairs.select("*", F.explode(F.concat(listed("a", True), listed("b", False), every)).alias("s")).select(*keys[:-1], "s.part", "s.x", "s.left", check(F.col("s.x")).alias("c"))
-    own = F.array(*[cell(F.col("x"), t, F.col("width")) for t in range(TABLES)])
-    placed = items.select(*keys, "x", "c", "left", F.explode(F.when(F.col("x").isNull(), F.sequence(F.lit(0), F.col("width") * TABLES - 1)).otherwise(own)).alias("at"))
+        return F.transform(name, lambda x: F.struct(x.alias("x"), F.lit(left).alias("left"), part_of(x).alias("part")))
 
-    def of(value: str, left: bool) -> Column:
-        return F.coalesce(F.bit_xor(F.when(F.col("left") == left, F.col(value))), F.lit(0).cast("long"))
+    items = pairs.select(*keys, "width", F.explode(F.concat(listed("a", True), listed("b", False))).alias("s")).select(*keys, "width", "s.*")
+    return items.groupBy(*keys, "width", "part").agg(F.collect_list(F.when(F.col("left"), F.col("x"))).alias("a"), F.collect_list(F.when(~F.col("left"), F.col("x"))).alias("b"))
 
-    cells = placed.groupBy(*keys, "at").agg(of("x", True).alias("xa"), of("c", True).alias("ca"), F.count_if("left").alias("na"), of("x", False).alias("xb"), of("c", False).alias("cb"), F.count_if(~F.col("left")).alias("nb"))
-    return cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "xa", "ca", "na", "xb", "cb", "nb"))).alias("cells"))
 
-
-def sketch(digests: Column, width: int) -> Column:
+def sketch(digests: Column, width: Column) -> Column:
     """The sketch of an array of digests, of width * TABLES cells, each a struct (x, c, n)."""
-    placed = F.transform(digests, lambda x: F.struct(x.alias("x"), check(x).alias("c"), *[cell(x, t, F.lit(width)).alias(f"at{t}") for t in range(TABLES)]))
+    placed = F.transform(digests, lambda x: F.struct(x.alias("x"), check(x).alias("c"), *[cell(x, t, width).alias(f"at{t}") for t in range(TABLES)]))
 
     def cells(held: Column) -> Column:
         def one(t: int):
@@ -74,7 +67,7 @@ def sketch(digests: Column, width: int) -> Column:
                 zero = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("n"))
                 return F.aggregate(F.filter(held, lambda p: p[f"at{t}"] == i), zero, lambda s, p: F.struct(s["x"].bitwiseXOR(p["x"]).alias("x"), s["c"].bitwiseXOR(p["c"]).alias("c"), (s["n"] + 1).alias("n")))
 
-            return F.transform(F.sequence(F.lit(t * width), F.lit((t + 1) * width - 1)), sum_up)
+            return F.transform(F.sequence(width * t, width * (t + 1) - 1), sum_up)
 
         return F.concat(*[one(t) for t in range(TABLES)])
 
@@ -89,48 +82,46 @@ def subtract(a: Column, b: Column) -> Column:
 def peel(difference: str, width: str, rounds: int = 25) -> Column:
     """struct(cells, idle, only_a, only_b): the digests that one sketch alone holds, by peeling pure cells off their difference.
 
-    A cell is pure if it counts one and its check is that of its digest. The
-    subtables take turns: a subtable's pure cells hold different digests, which
-    leave all their cells, and that may make others pure. What is left in cells
-    tells whether all were recovered.
+    A cell is pure if it counts one and its check is that of its digest. In each
+    round the digests of all pure cells, each once, leave all their cells, and
+    that may make others pure. What is left in cells tells whether all were
+    recovered.
     """
     longs = "array<bigint>"
 
-    def placed(c: Column) -> Column:
-        own = [cell(c["x"], t, F.col(width)).alias(f"at{t}") for t in range(TABLES)]
-        return F.struct(c["x"].alias("x"), c["c"].alias("c"), c["n"].alias("n"), *own)
-
-    def take(cells: Column, p: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            less = F.struct(c["x"].bitwiseXOR(p["x"]).alias("x"), c["c"].bitwiseXOR(p["c"]).alias("c"), (c["n"] - p["n"]).alias("n"))
-            return F.when(reduce(lambda a, b: a | b, [i == p[f"at{t}"] for t in range(TABLES)]), less).otherwise(c)
-
-        return F.transform(cells, one)
-
-    def step(s: Column, turn: Column) -> Column:
-        own = F.slice(s["cells"], (turn % TABLES) * F.col(width) + 1, F.col(width))
-        pure = F.transform(F.filter(own, lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (c["c"] == check(c["x"]))), placed)
-        after = F.transform(
-            F.array(pure),
-            lambda found: F.when(F.size(found) == 0, F.struct(s["cells"].alias("cells"), (s["idle"] + 1).alias("idle"), s["only_a"].alias("only_a"), s["only_b"].alias("only_b"))).otherwise(
-                F.struct(
-                    F.aggregate(found, s["cells"], take).alias("cells"),
-                    F.lit(0).alias("idle"),
-                    F.concat(s["only_a"], F.transform(F.filter(found, lambda p: p["n"] == 1), lambda p: p["x"])).alias("only_a"),
-                    F.concat(s["only_b"], F.transform(F.filter(found, lambda p: p["n"] == -1), lambda p: p["x"])).alias("only_b"),
-                )
-            ),
-        )
-        return F.when(s["idle"] >= TABLES, s).otherwise(F.element_at(after, 1))
+    def pure(cells: Column, n: int) -> Column:
+        own = F.filter(cells, lambda c: (c["n"] == n) & (c["c"] == check(c["x"])))
+        return F.transform(F.array_distinct(F.transform(own, lambda c: c["x"])), lambda x: F.struct(x.alias("x"), check(x).alias("c"), F.lit(n).cast("long").alias("n"), *[cell(x, t, F.col(width)).alias(f"at{t}") for t in range(TABLES)]))
+
+    def without(cells: Column, found: Column) -> Column:
+        def of(t: int) -> Column:
+            def one(c: Column, j: Column) -> Column:
+                at = j + t * F.col(width) if t else j
+                gone = F.filter(found, lambda p: p[f"at{t}"] == at)
+                return F.aggregate(gone, c, lambda s, p: F.struct(s["x"].bitwiseXOR(p["x"]).alias("x"), s["c"].bitwiseXOR(p["c"]).alias("c"), (s["n"] - p["n"]).alias("n")))
+
+            return F.transform(F.slice(cells, t * F.col(width) + 1, F.col(width)), one)
+
+        return F.concat(*[of(t) for t in range(TABLES)])
+
+    def step(s: Column, _: Column) -> Column:
+        def after(found: Column) -> Column:
+            return F.struct(
+                F.when(F.size(found) == 0, s["cells"]).otherwise(without(s["cells"], found)).alias("cells"),
+                (F.size(found) == 0).alias("idle"),
+                F.concat(s["only_a"], F.transform(F.filter(found, lambda p: p["n"] == 1), lambda p: p["x"])).alias("only_a"),
+                F.concat(s["only_b"], F.transform(F.filter(found, lambda p: p["n"] == -1), lambda p: p["x"])).alias("only_b"),
+            )
+
+        return F.when(s["idle"], s).otherwise(F.element_at(F.transform(F.array(F.concat(pure(s["cells"], 1), pure(s["cells"], -1))), after), 1))
 
-    start = F.struct(F.col(difference).alias("cells"), F.lit(0).alias("idle"), F.array().cast(longs).alias("only_a"), F.array().cast(longs).alias("only_b"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds * TABLES - 1)), start, step)
+    start = F.struct(F.col(difference).alias("cells"), F.lit(False).alias("idle"), F.array().cast(longs).alias("only_a"), F.array().cast(longs).alias("only_b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
 
 
 def differ(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """pairs(keys, parts, width, a, b) -> keys, width, part, ok, only_a, only_b and these digests."""
-    of = lambda side: F.transform("cells", lambda s: F.struct(s[f"x{side}"].alias("x"), s[f"c{side}"].alias("c"), s[f"n{side}"].alias("n")))
-    found = sketches(pairs, keys).withColumn("difference", subtract(of("a"), of("b")))
+    """pairs(keys, parts, width, a, b) -> keys, width, part, ok, how many digests one side alone has, and these digests."""
+    found = parted(pairs, keys).select(*keys, "width", "part", subtract(sketch(F.col("a"), F.col("width")), sketch(F.col("b"), F.col("width"))).alias("difference"))
     found = found.withColumn("peeled", peel("difference", "width"))
     return found.select(*keys, "width", "part", _whole("peeled.cells").alias("ok"), F.size("peeled.only_a").alias("only_a"), F.size("peeled.only_b").alias("only_b"), F.col("peeled.only_a").alias("digests_a"), F.col("peeled.only_b").alias("digests_b"))
 
@@ -166,14 +157,14 @@ def with_next(docs: DataFrame, blocks: int, width: int, id_col: str, text_col: s
     opens = F.col("id").isNull() | F.array_contains(near, F.col("id"))
     here = F.struct(block.alias("block"), F.lit(0).alias("sent"))
     before = F.struct(F.pmod(block - 1, F.lit(len(cuts))).alias("block"), F.lit(1).alias("sent"))
-    rows = own.withColumn("a", paragraphs(F.col("text"))).withColumn("s", sketch(F.col("a"), width)).withColumn("to", F.explode(F.when(opens, F.array(here, before)).otherwise(F.array(here)))).select("to.block", "to.sent", "id", "text", "a", "s", F.xxhash64("text").alias("h"))
+    rows = own.withColumn("a", paragraphs(F.col("text"))).withColumn("s", sketch(F.col("a"), F.lit(width))).withColumn("to", F.explode(F.when(opens, F.array(here, before)).otherwise(F.array(here)))).select("to.block", "to.sent", "id", "text", "a", "s", F.xxhash64("text").alias("h"))
     order = Window.partitionBy("block").orderBy("sent", F.asc_nulls_first("id"), "h")
     lead = [F.lead(c).over(order).alias(n) for c, n in (("text", "next_text"), ("a", "next"), ("s", "next_s"))]
     told = rows.select("block", "sent", "id", "text", "a", "s", F.row_number().over(order).alias("pos"), *lead)
     return told.filter("sent = 0").drop("sent")
 
 
-def near_next_and_edited(docs: DataFrame, base_width: int = 8, width: int = 16, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_next_and_edited(docs: DataFrame, base_width: int = 8, width: int = 8, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and how many digests differ.
 
     The edited text has its last quarter of code points (rounded down) replaced
@@ -182,9 +173,9 @@ def near_next_and_edited(docs: DataFrame, base_width: int = 8, width: int = 16,
     texts have equal ones. Likeness is twice the shared paragraphs by the sum of
     both numbers, 1 for two empty texts; the shared ones are what the difference
     of two sketches, peeled, leaves. The fingerprints are subtracted first. Of a
-    pair whose difference can't be peeled, larger sketches are made, of a size
-    for all digests of both, and twice as large each time until all are
-    recovered. A text of few paragraphs has few steps of likeness. Null is the
+    pair whose difference can't be peeled, larger sketches are made, of as many
+    small ones as the digests of both need, and those of them that still can't
+    be peeled twice as large each time until all digests are recovered. A text of few paragraphs has few steps of likeness. Null is the
     empty text. Rows that repeat follow each other; a single row follows
     itself. Rows of one id, or of none, are dealt with in one task. Other
     columns don't count; an empty table gives an empty result.
@@ -196,7 +187,7 @@ def near_next_and_edited(docs: DataFrame, base_width: int = 8, width: int = 16,
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.floor(n / 4).cast("int")))
     told = with_next(docs, blocks, base_width, id_col, text_col).withColumn("edited", edited)
     source = told.select("block", "pos", "id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", "s", paragraphs(F.col("edited")).alias("e"), F.col("next").alias("n"), "next_s")
-    source = common.cut(source.withColumn("es", sketch(F.col("e"), base_width)))
+    source = common.cut(source.withColumn("es", sketch(F.col("e"), F.lit(base_width))))
     kinds = {"edited": ("e", "es"), "next": ("n", "next_s")}
     tried = source.withColumn("width", F.lit(base_width))
     for kind, (_, cells) in kinds.items():
@@ -211,25 +202,25 @@ def near_next_and_edited(docs: DataFrame, base_width: int = 8, width: int = 16,
     common.discard(source)
     # those whose sketch was too small, ever larger
     lacking = F.filter(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(b).alias("b")) for kind, (b, _) in kinds.items()]), lambda x: x["b"].isNotNull())
-    size = F.ceil((F.size("a") + F.size("b") + 1) / 16).cast("int")
-    open_, retried = done.filter(F.col("a").isNotNull()).select("block", "pos", "a", F.explode(lacking).alias("p")).select("block", "pos", "p.kind", "a", "p.b"), None
+    open_ = done.filter(F.col("a").isNotNull()).select("block", "pos", "a", F.explode(lacking).alias("p")).select("block", "pos", "p.kind", "a", "p.b")
+    open_ = open_.repartition(4 * parts, "block", "pos")  # small enough that a task's cells stay in hash tables
+    open_ = open_.withColumn("parts", F.ceil((F.size("a") + F.size("b") + 1) / width).cast("int"))
+    keys, found = ["block", "pos", "kind"], None
     for doubled in range(12):
-        if open_.isEmpty():
+        result = common.cut(differ(open_.withColumn("width", F.lit(width << doubled)), keys).select(*keys, "part", "ok", "only_a", "only_b"))
+        found = result.filter("ok") if found is None else found.union(result.filter("ok"))
+        failed = result.filter("not ok").groupBy(*keys).agg(F.collect_set("part").alias("again"))
+        if failed.isEmpty():
             break
-        dealt = open_.repartition(4 * parts, "block", "pos")  # small enough that a task's cells stay in hash tables
-        result = differ(dealt.withColumn("parts", size).withColumn("width", F.lit(width << doubled)), ["block", "pos", "kind"])
-        gone = F.when(F.min(F.col("ok").cast("int")) == 1, F.struct(F.sum("only_a").alias("a"), F.sum("only_b").alias("b")))
-        result = common.cut(result.groupBy("block", "pos", "kind").agg(gone.alias("gone")))
-        right = result.filter("gone is not null")
-        retried = right if retried is None else retried.union(right)
-        open_ = open_.join(result.filter("gone is null").select("block", "pos", "kind"), ["block", "pos", "kind"], "left_semi")
-    if not open_.isEmpty():
+        again = lambda digests: F.filter(digests, lambda x: F.array_contains("again", part_of(x)))
+        open_ = open_.join(failed, keys).withColumn("a", again("a")).withColumn("b", again("b")).drop("again")
+    else:
         raise RuntimeError("sketches of 2048 times the size could not be peeled")
-    if retried is not None:
-        late = retried.groupBy("block", "pos").agg(*[F.max(F.when(F.col("kind") == kind, F.col("gone"))).alias(f"late_{kind}") for kind in kinds])
-        done = done.join(late, ["block", "pos"], "left")
-        for kind in kinds:
-            done = done.withColumn(kind, F.coalesce(kind, f"late_{kind}"))
+    gone = lambda kind: F.struct(F.sum(F.when(F.col("kind") == kind, F.col("only_a"))).alias("a"), F.sum(F.when(F.col("kind") == kind, F.col("only_b"))).alias("b"))
+    late = found.groupBy("block", "pos").agg(*[gone(kind).alias(f"late_{kind}") for kind in kinds])
+    done = done.join(late, ["block", "pos"], "left")
+    for kind in kinds:
+        done = done.withColumn(kind, F.coalesce(kind, f"late_{kind}"))
 
     def likeness(x: str, size: str) -> Column:
         whole = F.col("sa") + F.col(size)
