@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,3 +114,23 @@ def by_bytes(b: pa.RecordBatch, text: str | int, most: int = 2**20) -> Iterator[
         part = b.slice(i, j - i)
         yield part, part.column(text).to_pylist()
         i = j
+
+
+def lean(run: Callable) -> Callable:
+    """run, for mapInArrow: when a task ends, what its worker has freed goes back to the system.
+
+    Workers are kept for later tasks, of other operators too; else each would
+    hold the most that any task before needed.
+    """
+
+    @functools.wraps(run)
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidy

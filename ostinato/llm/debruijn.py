@@ -166,7 +166,7 @@ def _settled(source: DataFrame, parts: int, k: int, short: int, filter_bits: int
                 ids = part.column("id").to_numpy()
                 yield pa.record_batch([_longs(least[new]), pa.array(ids[which[new]])], ["m", "id"])
 
-    counted = firsts.mapInArrow(minimizers, "m long, id long").groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
+    counted = firsts.mapInArrow(common.lean(minimizers), "m long, id long").groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
     counted = common.cut(counted.select("m"))
     bit = F.pmod(F.col("m"), F.lit(2**filter_bits))
     rows = counted.groupBy(F.expr(f"pmod(m, {2**filter_bits}L) div 32768").alias("row")).agg(F.bitmap_construct_agg(bit % 32768).alias("bits")).collect()
@@ -188,7 +188,7 @@ def _settled(source: DataFrame, parts: int, k: int, short: int, filter_bits: int
                 yield pa.record_batch([_longs(left[hit]), _longs(right[hit]), pa.array(ids[which]), pa.array((ordinal[which].astype(np.int64) - 1 << 32) + at)], ["l", "r", "id", "at"])
 
     # at: the place in the text, and above 32 bits which of the id's texts it is
-    occurs = common.cut(firsts.mapInArrow(edges, "l long, r long, id long, at long"))
+    occurs = common.cut(firsts.mapInArrow(common.lean(edges), "l long, r long, id long, at long"))
     repeated = occurs.groupBy("l", "r").agg(F.min("id").alias("source"), F.min_by("at", "id").alias("source_at"), F.max("id").alias("last")).filter(F.col("source") < F.col("last")).drop("last")
     repeated = common.cut(repeated)
     paths = compact(repeated, parts)
@@ -218,7 +218,7 @@ def _settled(source: DataFrame, parts: int, k: int, short: int, filter_bits: int
                 cols = list(zip(*found, strict=True)) or [()] * 4
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["source", "source_at", "length", "said"])
 
-    said = firsts.withColumnRenamed("id", "source").join(wanted, "source").select("source", "text", "first", "wanted").mapInArrow(recite, "source long, source_at long, length long, said binary").dropDuplicates(["source", "source_at", "length"])
+    said = firsts.withColumnRenamed("id", "source").join(wanted, "source").select("source", "text", "first", "wanted").mapInArrow(common.lean(recite), "source long, source_at long, length long, said binary").dropDuplicates(["source", "source_at", "length"])
     claims = common.look_up(spans, said, ["source", "source_at", "length"], "id")
     claims = claims.groupBy("id").agg(F.collect_list(F.struct("at", "length", "said")).alias("claims"))
 
@@ -245,7 +245,7 @@ def _settled(source: DataFrame, parts: int, k: int, short: int, filter_bits: int
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.bool_())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [id_col, "n_words", "n_removed", "kept_sha256", "removed", "collided"])
 
-    settled = source.join(claims, "id", "left").select("own", "text", "first", "claims").mapInArrow(settle, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,length:long>>, collided boolean")
+    settled = source.join(claims, "id", "left").select("own", "text", "first", "claims").mapInArrow(common.lean(settle), f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,length:long>>, collided boolean")
     made = common.cut(settled)
     common.discard(spans)
     return made

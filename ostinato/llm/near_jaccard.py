@@ -55,7 +55,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 def _prefixes(rows: DataFrame, words: int, sample: int, listed: int) -> DataFrame:
     """shingle, node, size: the first shingles of the set of each of rows(node, text)."""
     every = max(1, rows.count() // sample)
-    some = rows.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).mapInArrow(lambda batches: _sets(batches, words), "node long, set array<long>").select(F.explode("set").alias("s"))
+    some = rows.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).mapInArrow(common.lean(lambda batches: _sets(batches, words)), "node long, set array<long>").select(F.explode("set").alias("s"))
     often = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 3").orderBy(F.desc("n"), "s").limit(listed).toArrow()
     often = often.column("s").to_numpy()
     by = np.argsort(often)
@@ -76,14 +76,14 @@ def _prefixes(rows: DataFrame, words: int, sample: int, listed: int) -> DataFram
             many = [len(x) for x in out]
             yield pa.record_batch([pa.array(np.concatenate([*out, np.zeros(0, np.int64)])), pa.array(np.repeat(nodes, many)), pa.array(np.repeat(sizes, many).astype(np.int32))], ["shingle", "node", "size"])
 
-    return common.cut(rows.mapInArrow(run, "shingle long, node long, size int"))
+    return common.cut(rows.mapInArrow(common.lean(run), "shingle long, node long, size int"))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """Those of pairs(a, b) that are alike, by the sets of rows(node, text)."""
     pairs = common.cut(pairs.select("a", "b"))
     met = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    sets = common.cut(met.select("node", "text").mapInArrow(lambda batches: _sets(batches, words), "node long, set array<long>"))
+    sets = common.cut(met.select("node", "text").mapInArrow(common.lean(lambda batches: _sets(batches, words)), "node long, set array<long>"))
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     found = common.cut(both.filter(alike(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"))).select("a", "b"))
     common.discard(pairs)

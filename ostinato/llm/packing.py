@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, ranks: str | None, pa
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.lean(run), PIECES)
 
 
 def pack(docs: DataFrame, capacity: int = 2048, open_bins: int = 512, ahead: int = 1024, pieces_a_task: int = 2**15, tokenizer: str | None = None, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,4 +136,4 @@ def pack(docs: DataFrame, capacity: int = 2048, open_bins: int = 512, ahead: int
 
     order = [F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32"]
     dealt = made.repartition(tasks, "doc_id", "piece", "ids_crc32").sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, PIECES + ", sequence_id long, offset long").withColumnRenamed("doc_id", id_col)
+    return dealt.mapInArrow(common.lean(run), PIECES + ", sequence_id long, offset long").withColumnRenamed("doc_id", id_col)

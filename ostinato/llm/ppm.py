@@ -17,6 +17,7 @@ Words are counted and looked up in the same table, under their hashes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +47,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[U(1)], np.full(max(0, n - 1), _BASE)]))
+@functools.lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base to the powers from 0 to n - 1, and their inverses (modulo 2**64)."""
+    inverse = U(pow(int(_BASE), -1, 2**64))
+    return tuple(np.cumprod(np.concatenate([[U(1)], np.full(n - 1, x)])) for x in (_BASE, inverse))
 
 
 def symbols(text: bytes | None, order: int) -> bytes:
@@ -80,11 +84,11 @@ def read(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray,
     opens = told & (raw != 32)
     opens[1:] &= (raw[:-1] == 32) | ~told[:-1]
     starts = np.nonzero(opens)[0]
-    place = np.arange(len(raw))
-    place -= np.maximum.accumulate(np.where(opens, place, 0))
-    value = _OF_BYTE[raw] * told
-    value *= _powers(int(place.max()) + 1)[place]
-    word = _mix(np.add.reduceat(value, starts)) | WORD
+    up, down = _powers(1 << (len(raw) - 1).bit_length())
+    value = _OF_BYTE[raw]
+    value *= told
+    value *= up[: len(raw)]
+    word = _mix(np.add.reduceat(value, starts) * down[starts]) | WORD
     return gram[told], text[told], word, text[starts]
 
 
@@ -243,7 +247,7 @@ def score(docs: DataFrame, train: str, order: int = 6, frequent: int = 2**21, ch
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.expr(train), F.lit(False)).alias("train"), F.col(text_col).cast("binary").alias("text"))
-    table = common.cut(rows.select("train", "text").mapInArrow(lambda batches: count(batches, order, chunk), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    table = common.cut(rows.select("train", "text").mapInArrow(common.lean(lambda batches: count(batches, order, chunk)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     is_word, learnt = F.col("key") < 0, F.col("n") > 0
     told = table.filter(is_word).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(learnt)).first()
     tokens, kinds = told
@@ -278,7 +282,7 @@ def score(docs: DataFrame, train: str, order: int = 6, frequent: int = 2**21, ch
     next_to = F.shiftright("key", 8).bitwiseAND(F.lit(mask))
     dealt = table.filter(~is_word).repartition(common.partitions(spark), next_to).sortWithinPartitions(next_to)
     base = F.log10((F.col("n") + 0.1) / (tokens + 0.1 * (kinds + 1)))
-    scores = common.cut(dealt.mapInArrow(rated, "key long, n long, p double").union(table.filter(is_word).select("key", "n", base.alias("p"))).withColumn("p", F.col("p").cast("float")))
+    scores = common.cut(dealt.mapInArrow(common.lean(rated), "key long, n long, p double").union(table.filter(is_word).select("key", "n", base.alias("p"))).withColumn("p", F.col("p").cast("float")))
     common.discard(table)
     bins = scores.filter(learnt).groupBy(F.floor(8 * F.log2("n")).alias("bin")).agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("bin")).collect()
     room, least = frequent, None
@@ -313,7 +317,7 @@ def score(docs: DataFrame, train: str, order: int = 6, frequent: int = 2**21, ch
                 )
                 rid += m
 
-    part = common.cut(rows.mapInArrow(look, "rid long, id long, train boolean, tokens long, known long, base double, score double, rest array<long>"))
+    part = common.cut(rows.mapInArrow(common.lean(look), "rid long, id long, train boolean, tokens long, known long, base double, score double, rest array<long>"))
     met = part.select("rid", F.explode("rest").alias("key")).join(scores, "key")
     more = met.groupBy("rid").agg(F.count_if(is_word & learnt).alias("more_known"), F.sum(F.when(is_word, F.col("p"))).alias("more_base"), F.sum(F.when(~is_word, F.col("p"))).alias("more_score"))
     total = {x: F.col(x) + F.coalesce(F.col(f"more_{x}"), F.lit(0)) for x in ("known", "base", "score")}

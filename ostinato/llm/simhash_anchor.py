@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.record_batch([part.column(0), pa.array([simhash(t, words, seed) for t in texts], pa.int64())], ["id", "fp"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return picked.mapInArrow(run, "id long, fp long")
+    return picked.mapInArrow(common.lean(run), "id long, fp long")
 
 
 def within_reach(fps: np.ndarray, code: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,10 +225,10 @@ def links(known: DataFrame, bits: int, per_anchor: int, salts: int, crowded: int
     n = known.count()
     code = covering_code(min(28, max(4, (max(1, n) // per_anchor).bit_length())))
     parts = max(common.partitions(known.sparkSession), 1)
-    full = known.select("fp").mapInArrow(lambda batches: _homes(batches, code), "anchor int").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= crowded).collect()
+    full = known.select("fp").mapInArrow(common.lean(lambda batches: _homes(batches, code)), "anchor int").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= crowded).collect()
     dealt = {r["anchor"]: salts * (1 + r["n"] // crowded) for r in full}
-    met = known.repartition(parts).mapInArrow(lambda batches: _meet(batches, code, bits, salts, dealt), "anchor int, salt int, home boolean, fp long, node long")
-    return met.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(lambda batches: _compare(batches, bits), "a long, b long")
+    met = known.repartition(parts).mapInArrow(common.lean(lambda batches: _meet(batches, code, bits, salts, dealt)), "anchor int, salt int, home boolean, fp long, node long")
+    return met.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(common.lean(lambda batches: _compare(batches, bits)), "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, seed: int = 42, per_anchor: int = 16, salts: int = 4, crowded: int = 2**13) -> DataFrame:

@@ -296,8 +296,8 @@ def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
 
     if keep:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __score double"
-        return docs.mapInArrow(run, schema)
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, spans {SPANS}")
+        return docs.mapInArrow(common.lean(run), schema)
+    return docs.select(id_col, text_col).mapInArrow(common.lean(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, spans {SPANS}")
 
 
 def held_out(id_col: str = "doc_id"):
