@@ -224,10 +224,10 @@ def playlist_counts(spark, sf):
     return D.playlists(spark, sf).join(n, "id", "left").select("id", "name", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-@query("d7_playlist_in_order", D.with_("tracks entries", "select e.playlist_id, e.at, t.id, t.filename from entries e join tracks t on t.id = e.track_id where e.playlist_id < 50"))
+@query("d7_playlist_in_order", D.with_("tracks entries", "select e.playlist_id, e.at, t.id, t.filename from entries e join tracks t on t.id = e.track_id"))
 def playlist_in_order(spark, sf):
     t = D.tracks(spark, sf).select(F.col("id").alias("track_id"), F.col("id"), "filename")
-    return D.entries(spark, sf).filter("playlist_id < 50").join(t, "track_id").select("playlist_id", "at", "id", "filename").orderBy("playlist_id", "at")
+    return D.entries(spark, sf).join(t, "track_id").select("playlist_id", "at", "id", "filename").orderBy("playlist_id", "at")
 
 
 @query("d9_shared_ids", "select doc_id from labels intersect select vec_id from embeddings")
@@ -243,7 +243,7 @@ def dangling(spark, sf):
 
 @query(
     "d13_list_positions",
-    """with recursive l as (select conv_id as list_id, turn + 1 as id, coalesce(lead(turn + 1) over (partition by conv_id order by turn), 0) as next_id from conversations where conv_id < 40),
+    """with recursive l as (select conv_id as list_id, turn + 1 as id, coalesce(lead(turn + 1) over (partition by conv_id order by turn), 0) as next_id from conversations),
   walk as (select list_id, id, next_id, 1 as position from l where id not in (select next_id from l l2 where l2.list_id = l.list_id)
   union all select l.list_id, l.id, l.next_id, w.position + 1 from walk w join l on l.list_id = w.list_id and l.id = w.next_id) select list_id, id, position from walk""",
 )
@@ -251,7 +251,7 @@ def list_positions(spark, sf):
     from ..operators import hierarchy
 
     w = Window.partitionBy("list_id").orderBy("id")
-    c = D.table(spark, sf, "conversations").filter("conv_id < 40").select(F.col("conv_id").alias("list_id"), (F.col("turn") + 1).alias("id"))
+    c = D.table(spark, sf, "conversations").select(F.col("conv_id").alias("list_id"), (F.col("turn") + 1).alias("id"))
     return hierarchy.list_positions(c.withColumn("next_id", F.coalesce(F.lead("id").over(w), F.lit(0).cast("long"))))
 
 

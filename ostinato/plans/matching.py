@@ -121,9 +121,9 @@ def peaks(spark, sf):
     return match.find_peaks(_peaks(spark, sf), most=100)
 
 
-@query("i11_segments", "select o_orderkey, unnest(list_filter(range(0, ms + 1, 15000), lambda s: ms - s >= 5000)) as start from (select o_orderkey, cast(floor(o_totalprice) as bigint) as ms from orders where o_orderkey < 3000)")
+@query("i11_segments", "select o_orderkey, unnest(list_filter(range(0, ms + 1, 15000), lambda s: ms - s >= 5000)) as start from (select o_orderkey, cast(floor(o_totalprice) as bigint) as ms from orders)")
 def segments(spark, sf):
-    o = D.table(spark, sf, "orders").filter("o_orderkey < 3000").select("o_orderkey", F.floor("o_totalprice").alias("ms"))
+    o = D.table(spark, sf, "orders").select("o_orderkey", F.floor("o_totalprice").alias("ms"))
     return o.select("o_orderkey", F.explode(match.segment_rounds(F.col("ms"))).alias("start"))
 
 
@@ -257,21 +257,21 @@ def insert_places(spark, sf):
     return intervals.insert_places(_cues(spark, sf), "sheet", "event_id").select("sheet", "event_id", "place")
 
 
-@query("a10_cue_text", chained("cues", f""", c as ({_CUES}), n as (select *, row_number() over (partition by sheet order by start, title, event_id) as i from c where sheet < 20)
+@query("a10_cue_text", chained("cues", f""", c as ({_CUES}), n as (select *, row_number() over (partition by sheet order by start, title, event_id) as i from c)
 select sheet, 'FILE "mix.wav" WAVE' || chr(10) || string_agg('  TRACK ' || lpad(cast(i as varchar), 2, '0') || ' AUDIO' || chr(10) || '    TITLE "' || title || '"' || chr(10) || '    PERFORMER ""' || chr(10) || '    INDEX 01 ' || lpad(cast(start // 60000 as varchar), greatest(2, length(cast(start // 60000 as varchar)))::int, '0') || ':' || lpad(cast(start // 1000 % 60 as varchar), 2, '0') || ':00' || chr(10), '' order by i) as text from n group by sheet"""))
 def cue_text(spark, sf):
-    c = _cues(spark, sf).filter("sheet < 20").select("sheet", F.col("start").alias("start_ms"), F.lit("").alias("performer"), "title")
+    c = _cues(spark, sf).select("sheet", F.col("start").alias("start_ms"), F.lit("").alias("performer"), "title")
     return cue.render(c, file="mix.wav")
 
 
-@query("a9_cue_round_trip", chained("cues", f", c as ({_CUES}) select sheet, start as start_ms, title, coalesce(lead(start) over (partition by sheet order by start, title) - start, 0) as duration_ms from c where sheet < 20"))
+@query("a9_cue_round_trip", chained("cues", f", c as ({_CUES}) select sheet, start as start_ms, title, coalesce(lead(start) over (partition by sheet order by start, title) - start, 0) as duration_ms from c"))
 def cue_round_trip(spark, sf):
-    c = _cues(spark, sf).filter("sheet < 20").select("sheet", F.col("start").alias("start_ms"), F.lit("").alias("performer"), "title")
+    c = _cues(spark, sf).select("sheet", F.col("start").alias("start_ms"), F.lit("").alias("performer"), "title")
     lines = cue.render(c).select("sheet", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     return cue.parse(lines).select("sheet", "start_ms", "title", "duration_ms")
 
 
-@query("a11_readable_cues", chained("cues", f", c as ({_CUES}) select sheet, start as start_ms, lpad(cast(row_number() over (partition by sheet order by start, title) as varchar), greatest(2, length(cast(row_number() over (partition by sheet order by start, title) as varchar)))::int, ' ') || '. [' || case when start >= 3600000 then lpad(cast(start // 3600000 as varchar), greatest(2, length(cast(start // 3600000 as varchar)))::int, '0') || ':' else '' end || lpad(cast(start // 60000 % 60 as varchar), 2, '0') || ':' || lpad(cast(start // 1000 % 60 as varchar), 2, '0') || '] DJ - ' || title || ' (' || (event_id % 101) || '%)' as line from c where sheet < 20"))
+@query("a11_readable_cues", chained("cues", f", c as ({_CUES}) select sheet, start as start_ms, lpad(cast(row_number() over (partition by sheet order by start, title) as varchar), greatest(2, length(cast(row_number() over (partition by sheet order by start, title) as varchar)))::int, ' ') || '. [' || case when start >= 3600000 then lpad(cast(start // 3600000 as varchar), greatest(2, length(cast(start // 3600000 as varchar)))::int, '0') || ':' else '' end || lpad(cast(start // 60000 % 60 as varchar), 2, '0') || ':' || lpad(cast(start // 1000 % 60 as varchar), 2, '0') || '] DJ - ' || title || ' (' || (event_id % 101) || '%)' as line from c"))
 def readable_cues(spark, sf):
-    c = _cues(spark, sf).filter("sheet < 20").select("sheet", F.col("start").alias("start_ms"), F.lit("DJ").alias("performer"), "title", ((F.col("event_id") % 101 + 0.5) / 100).alias("confidence"))
+    c = _cues(spark, sf).select("sheet", F.col("start").alias("start_ms"), F.lit("DJ").alias("performer"), "title", ((F.col("event_id") % 101 + 0.5) / 100).alias("confidence"))
     return cue.readable(c)

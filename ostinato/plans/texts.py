@@ -105,9 +105,9 @@ def folder_roll_up(spark, sf):
     return hierarchy.roll_up(hierarchy.folder_counts(D.tracks(spark, sf), "filepath"))
 
 
-@query("h1_normalised_text", r"select doc_id, trim(regexp_replace(regexp_replace(trim(lower(text)), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) as norm from documents where doc_id < 200")
+@query("h1_normalised_text", r"select doc_id, trim(regexp_replace(regexp_replace(trim(lower(text)), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) as norm from documents")
 def normalised_text(spark, sf):
-    return D.table(spark, sf, "documents").filter("doc_id < 200").select("doc_id", T.normalize(F.col("text")).alias("norm"))
+    return D.table(spark, sf, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
 
 
 @query("h2_normalised_filename", D.with_("tracks", "select id, trim(regexp_replace(lower(replace(filename, '.mp3', '')), '[^a-z0-9]', ' ', 'g')) as norm from tracks"))
@@ -140,11 +140,11 @@ def rating(spark, sf):
     D.with_(
         "tracks",
         f"""select id, array_to_string(case when list_contains({_CODES}, 'R') then list_filter({_CODES}, lambda x: x <> 'R') else list_sort(list_append({_CODES}, 'R')) end, '-') || regexp_extract(genre, '(-\\*\\d)', 1) as toggled,
-    array_to_string({_CODES}, '-') || case regexp_extract(genre, '\\*(\\d)', 1) when '5' then '' else '-*' || (cast(regexp_extract(genre, '\\*(\\d)', 1) as int) + 1) end as cycled from tracks where id < 500 and genre not like 'R-R%'""",
+    array_to_string({_CODES}, '-') || case regexp_extract(genre, '\\*(\\d)', 1) when '5' then '' else '-*' || (cast(regexp_extract(genre, '\\*(\\d)', 1) as int) + 1) end as cycled from tracks where genre not like 'R-R%'""",
     ),
 )
 def edited_codes(spark, sf):
-    return D.tracks(spark, sf).filter("id < 500 and genre not like 'R-R%'").select("id", T.toggle_code(F.col("genre"), "R").alias("toggled"), T.cycle_rating(F.col("genre")).alias("cycled"))
+    return D.tracks(spark, sf).filter("genre not like 'R-R%'").select("id", T.toggle_code(F.col("genre"), "R").alias("toggled"), T.cycle_rating(F.col("genre")).alias("cycled"))
 
 
 @query("h12_first_code", D.with_("tracks", f"select id, list_min(list_filter({_CODES}, lambda x: x not in ('A', 'C', 'F', 'L', 'R', 'U'))) as first from tracks"))
@@ -157,13 +157,13 @@ _MS = "cast(floor(l_extendedprice) as bigint)"
 
 @query(
     "h13_times",
-    f"""with m as (select l_orderkey, l_linenumber, l_partkey, {_MS} as ms from lineitem where l_orderkey < 2000)
+    f"""with m as (select l_orderkey, l_linenumber, l_partkey, {_MS} as ms from lineitem)
 select l_orderkey, l_linenumber, l_partkey, ms, lpad(cast(ms // 60000 as varchar), 2, '0') || ':' || lpad(cast(ms // 1000 % 60 as varchar), 2, '0') as shown,
   lpad(cast(ms // 60000 as varchar), 2, '0') || ':' || lpad(cast(ms // 1000 % 60 as varchar), 2, '0') || ':' || lpad(cast(cast(floor((ms / 1000.0 - floor(ms / 1000.0)) * 75) as int) as varchar), 2, '0') as cue,
   cast(round_even(ms / 1000.0, 0) * 1000 as bigint) as whole, (ms // 1000) * 1000 as back from m""",
 )
 def times_of(spark, sf):
-    m = D.table(spark, sf, "lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey", F.floor("l_extendedprice").alias("ms"))
+    m = D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.floor("l_extendedprice").alias("ms"))
     ms = F.col("ms")
     return m.select("l_orderkey", "l_linenumber", "l_partkey", "ms", times.minutes(ms).alias("shown"), times.cue_time(ms).alias("cue"), times.whole(ms).alias("whole"), times.from_minutes(times.minutes(ms)).alias("back"))
 
@@ -187,12 +187,12 @@ def quotes(spark, sf):
     return p.select("page_id", cue.escape(F.col("html")).alias("escaped"), cue.unescape(cue.escape(F.col("html"))).alias("back"))
 
 
-@query("h21_packed_hash", "select l_orderkey, l_linenumber, l_partkey, ((l_partkey % 84) << 25) | ((l_suppkey % 84) << 18) | ((((l_linenumber - 4) + 32) & 63)::bigint << 12) | (least(cast(l_quantity as bigint), 63) << 6) | (l_orderkey % 64) as hash from lineitem where l_orderkey < 3000")
+@query("h21_packed_hash", "select l_orderkey, l_linenumber, l_partkey, ((l_partkey % 84) << 25) | ((l_suppkey % 84) << 18) | ((((l_linenumber - 4) + 32) & 63)::bigint << 12) | (least(cast(l_quantity as bigint), 63) << 6) | (l_orderkey % 64) as hash from lineitem")
 def packed_hash(spark, sf):
     from ..operators import match
 
     c = F.col
-    return D.table(spark, sf, "lineitem").filter("l_orderkey < 3000").select("l_orderkey", "l_linenumber", "l_partkey", match.pack_hash(c("l_partkey") % 84, c("l_suppkey") % 84, c("l_quantity").cast("long"), c("l_linenumber") - 4, c("l_orderkey") % 64).alias("hash"))
+    return D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", match.pack_hash(c("l_partkey") % 84, c("l_suppkey") % 84, c("l_quantity").cast("long"), c("l_linenumber") - 4, c("l_orderkey") % 64).alias("hash"))
 
 
 @query("h23_cosine", D.with_("vectors", "select a.track, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 9) as cosine from vectors a, vectors b where b.track = 0"))
@@ -234,9 +234,9 @@ def seek_and_loop(spark, sf):
     return e.select("event_id", F.round(times.seek(F.col("value"), 10.0, F.col("event_id") % 8, F.col("duration")), 4).alias("seek"), F.round(times.loop_window(F.col("value"), F.lit(30.0), F.lit(-20.0), F.col("duration"))["start"], 4).alias("loop_start"))
 
 
-@query("h31_composed", "select doc_id, nfc_normalize(text) as text from documents where doc_id < 100")
+@query("h31_composed", "select doc_id, nfc_normalize(text) as text from documents")
 def composed(spark, sf):
-    return D.table(spark, sf, "documents").filter("doc_id < 100").select("doc_id", T.nfc(F.col("text")).alias("text"))
+    return D.table(spark, sf, "documents").select("doc_id", T.nfc(F.col("text")).alias("text"))
 
 
 @query("h32_cache_key", D.with_("tracks", "select id, sha256(filepath || '|' || file_size || '|' || epoch_us(date_added)) as key from tracks"))
@@ -260,9 +260,9 @@ def dup_check(spark, sf):
     return dedup.check(t.filter("mode = 'curating'"), t).select("id", "status", "match_info")
 
 
-@query("d14_shared_tokens", "with w as (select p_partkey as id, unnest(list_distinct(string_split(p_name || ' ' || p_type, ' '))) as w from part where p_partkey < 300) select a.id as a, b.id as b, count(*) as shared from w a join w b on a.w = b.w and a.id < b.id group by 1, 2 having count(*) >= 3")
+@query("d14_shared_tokens", "with w as (select p_partkey as id, unnest(list_distinct(string_split(p_name || ' ' || p_type, ' '))) as w from part) select a.id as a, b.id as b, count(*) as shared from w a join w b on a.w = b.w and a.id < b.id group by 1, 2 having count(*) >= 3")
 def shared_tokens(spark, sf):
-    t = D.table(spark, sf, "part").filter("p_partkey < 300").select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("tokens"))
+    t = D.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("tokens"))
     return dedup.shared_tokens(t, t, 3).filter("a < b")
 
 
