@@ -52,10 +52,9 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "set"])
 
 
-def _prefixes(rows: DataFrame, words: int, sample: int, listed: int) -> DataFrame:
+def _prefixes(rows: DataFrame, words: int, one_in: int, listed: int) -> DataFrame:
     """shingle, node, size: the first shingles of the set of each of rows(node, text)."""
-    every = max(1, rows.count() // sample)
-    some = rows.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).mapInArrow(common.lean(lambda batches: _sets(batches, words)), "node long, set array<long>").select(F.explode("set").alias("s"))
+    some = rows.filter(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0).mapInArrow(common.lean(lambda batches: _sets(batches, words)), "node long, set array<long>").select(F.explode("set").alias("s"))
     often = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 3").orderBy(F.desc("n"), "s").limit(listed).toArrow()
     often = often.column("s").to_numpy()
     by = np.argsort(often)
@@ -98,16 +97,17 @@ def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
     return common.cut(parted.join(apart, "shingle"))
 
 
-def rest(rows: DataFrame, given: DataFrame, words: int, sample: int, listed: int) -> DataFrame:
+def rest(rows: DataFrame, given: DataFrame, words: int, one_in: int, listed: int) -> DataFrame:
     """Pairs (a, b) of nodes that join, with the given links, what all alike pairs of rows(node, text) join.
 
     First each member of a shingle meets the shingle's least one, so that a
     large group of copies is joined without its pairs; then members meet that
     aren't joined yet. A shingle whose members the links join already has no
-    pair to look at. sample: texts, about, from which common shingles are told,
-    of which the `listed` most common are known to every task.
+    pair to look at. Common shingles are told from one in `one_in` texts, and the
+    `listed` most common are known to every task: this decides what the search
+    costs, not what it finds.
     """
-    prefix = _prefixes(rows, words, sample, listed)
+    prefix = _prefixes(rows, words, one_in, listed)
     shared = _mixed(prefix, given)
     common.discard(prefix)
     stars = shared.filter((F.col("part") != F.col("least.part")) & _sized(F.col("size"), F.col("least.size")))

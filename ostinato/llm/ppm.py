@@ -232,7 +232,7 @@ def count(batches: Iterator[pa.RecordBatch], order: int, chunk: int, most: int =
         yield out(*merged())
 
 
-def score(docs: DataFrame, train: str, order: int = 6, frequent: int = 2**21, chunk: int = 2**20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: str, order: int = 6, frequent: int = 2**21, chunk: int = 2**19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability).
 
     train: SQL condition on docs that says which rows are learnt from; the

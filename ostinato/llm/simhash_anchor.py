@@ -250,14 +250,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return told.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 3, seed: int = 42, per_anchor: int = 16, salts: int = 4, crowded: int = 2**13, sample: int = 20_000, listed: int = 2**17) -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 3, seed: int = 42, per_anchor: int = 16, salts: int = 4, crowded: int = 2**13, one_in: int = 4, listed: int = 2**20) -> DataFrame:
     """docs without all but one row of each group that alike texts link: that of the smallest id stays (null last), in the columns they had.
 
     Texts are alike if the Jaccard similarity of their shingles of `words`
     words, ASCII letters in lower case, is 0.8 or more; null, empty and wordless
     texts are alike, a text of fewer words is one shingle. Anchors link texts
     whose fingerprints, of the same shingles, are at most `bits` apart; each
-    link is checked. Alike texts that are farther apart, up to 17 of 64 bits,
+    text is then checked against the least one that it is so joined to. Alike texts that are farther apart, up to 17 of 64 bits,
     are beyond any code's reach: near_jaccard.rest finds those links exactly.
     Of rows that agree in id and text one stays. Other columns don't count; an
     empty table gives an empty one.
@@ -266,9 +266,11 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     texts = rows.select(F.col("__node").alias("node"), F.col(text_col).cast("binary").alias("text"))
     fps = common.cut(fingerprints(texts, "node", "text", words, seed))
     known = common.cut(fps.groupBy("fp").agg(F.min("id").alias("node")))
-    same = common.look_up(fps, known, ["fp"], "id").filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    close = near_jaccard.verified(same.union(links(known, bits, per_anchor, salts, crowded)), texts, words)
-    found = components(near_jaccard.rest(texts, close, words, sample, listed))
+    joined = known.join(components(links(known, bits, per_anchor, salts, crowded)), "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    # a pair for each text at most: each with the least one of those that fingerprints join it to
+    close = common.look_up(fps, joined, ["fp"], "id").filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+    close = near_jaccard.verified(close, texts, words)
+    found = components(near_jaccard.rest(texts, close, words, one_in, listed))
     found = found.union(found.select("component", "component").distinct().toDF("node", "component"))
     met = found.join(rows.select(F.col("__node").alias("node"), F.col(id_col).alias("id")), "node")
     first = met.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")).select(F.col("first.node").alias("node"))
