@@ -76,14 +76,20 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def swept(spark: SparkSession) -> Iterator[None]:
-    """What is written meanwhile leaves no shuffle files: Spark deletes those of each write when it is over."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    """What is written meanwhile leaves no shuffle files: Spark deletes those of each write when it is over.
+
+    Python functions get their rows in small batches meanwhile, as those of long
+    texts fill memory outside the heap, on either side, that isn't given back.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = {key: spark.conf.get(key, default) for key, default in (("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false"), (rows, "10000"))}
+    for key, value in zip(before, ("true", str(min(1000, int(before[rows])) if int(before[rows]) > 0 else 1000)), strict=True):
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def salt(key: Column, salts: int) -> Column:
