@@ -73,18 +73,21 @@ def match_global(query: DataFrame, library: DataFrame, keys: tuple[str, ...] = (
     """Library tracks that occur in each query recording, over all its segments at once, by confidence.
 
     Each segment keeps its first occurrence of a hash. A peak must be three
-    times what chance would give over all bins and ratios, and 15 at least.
+    times what chance would give over all bins and ratios, and 15 at least;
+    tracks with fewer pairs than that can't have one and aren't aligned.
     """
     by = list(keys)
     pairs = hash_pairs(query, library, [*by, "segment"], 1).drop("segment", "n")
     enough = pairs.groupBy(*by, "track").agg(F.count(F.lit(1)).alias("n"), (F.max("qt") - F.min("qt") + F.max("dt") - F.min("dt")).alias("range")).filter(F.col("n") >= least)
-    pairs = pairs.join(enough, [*by, "track"])
-    best = tempo_histogram(pairs.drop("n", "range"), by)
     bins = F.greatest(F.col("range") / BIN, F.lit(1.0))
     rate = F.col("n") / bins
     noise = rate + 3 * F.sqrt(F.greatest(rate * F.log(bins * RATIOS["mix"][2]), F.lit(0.0)))
-    sure = best.join(enough.withColumn("noise", noise), [*by, "track"]).filter(F.col("peak") >= F.greatest(3 * F.col("noise"), F.lit(15.0))).select(*by, "track", "i", "peak", "center", "noise")
-    found = cluster(pairs.drop("range"), sure.drop("noise"), by).join(sure.select(*by, "track", "noise"), [*by, "track"])
+    needed = F.greatest(3 * F.col("noise"), F.lit(15.0))
+    enough = enough.withColumn("noise", noise).filter(F.col("n") >= needed)
+    pairs = pairs.join(enough, [*by, "track"])
+    best = tempo_histogram(pairs.select(*by, "track", "qt", "dt"), by)
+    sure = best.join(enough, [*by, "track"]).filter(F.col("peak") >= needed).select(*by, "track", "i", "peak", "center", "noise")
+    found = cluster(pairs.drop("range", "noise"), sure.drop("noise"), by).join(sure.select(*by, "track", "noise"), [*by, "track"])
     confidence = F.least(F.lit(1.0), (F.col("peak") / F.col("noise") - 1) / 4)
     return found.filter(F.col("span") >= least_span).select(*by, "track", "start", "span", "track_start", "match_count", "ratio", confidence.alias("confidence"))
 

@@ -25,8 +25,13 @@ def ranks(library: DataFrame, asked: DataFrame, wanted: list[int]) -> DataFrame:
 
 
 def windowed(library: DataFrame, windows: DataFrame) -> DataFrame:
-    """Per track the largest cosine over the query's windows, of which there are few."""
-    met = library.crossJoin(F.broadcast(windows))
+    """Per track the largest cosine over the query's windows.
+
+    Every window meets every row: Spark broadcasts the windows up to its own
+    threshold and pairs partition with partition beyond it; only a row a track
+    leaves a task.
+    """
+    met = library.crossJoin(windows)
     return met.groupBy("track").agg(F.max(V.cosine(F.col("v"), F.col("q"))).alias("score"))
 
 

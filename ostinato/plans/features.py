@@ -243,5 +243,4 @@ def vector_match(spark, sf):
     w = Window.partitionBy("label").orderBy("vec_id")
     f = D.table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("recording"), (F.row_number().over(w) - 1).alias("frame"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
     asked = f.filter("recording = 0").select(F.col("frame").alias("i"), F.col("v").alias("qv"))
-    few = halves.filter("track < 10")
-    return index.match_by_vectors(few, few.filter("track = 0").select("m", "c"), {"all": f}, {"all": asked}, {"all": 0.2}, step=1, overlap=1).withColumn("confidence", F.round("confidence", 6))
+    return index.match_by_vectors(halves, halves.filter("track = 0").select("m", "c"), {"all": f}, {"all": asked}, {"all": 0.2}, step=1, overlap=1).withColumn("confidence", F.round("confidence", 6))

@@ -71,7 +71,7 @@ def match_chunked(spark, sf):
 
 @query("match_stretched")
 def match_stretched(spark, sf):
-    return match.stretched(D.query(spark, sf).filter("segment <= 2"), D.library(spark, sf)).withColumn("ratio", F.round("ratio", 6)).withColumn("confidence", F.round("confidence", 6))
+    return match.stretched(D.query(spark, sf), D.library(spark, sf)).withColumn("ratio", F.round("ratio", 6)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("match_merged", """with m as (select user_id as track, epoch_us(ts) // 1000 as start, epoch_us(ts) // 1000 + 20000000 as end_, value from events),
@@ -150,10 +150,10 @@ def target_ranks(spark, sf):
     return similar.ranks(v, v.filter("track = 0").select(F.col("v").alias("q")), [3, 5, 8])
 
 
-@query("v_windowed_screening", D.with_("vectors", "select a.track, round(max(" + _cos("a.v", "q.v") + "), 9) as score from vectors a, vectors q where q.track < 6 group by 1"))
+@query("v_windowed_screening", D.with_("vectors", "select a.track, round(max(" + _cos("a.v", "q.v") + "), 9) as score from vectors a, vectors q where q.track % 20 = 0 group by 1"))
 def windowed_screening(spark, sf):
     v = D.vectors(spark, sf)
-    return similar.windowed(v, v.filter("track < 6").select(F.col("v").alias("q"))).withColumn("score", F.round("score", 9))
+    return similar.windowed(v, v.filter("track % 20 = 0").select(F.col("v").alias("q"))).withColumn("score", F.round("score", 9))
 
 
 _FRAMES = "select label as recording, row_number() over (partition by label order by vec_id) - 1 as frame, list_transform(embedding[1:8], lambda x: cast(x as double)) as v from embeddings"
