@@ -1,11 +1,11 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
-Documents carry the labels, tokens get theirs from them: in a toxic document a
-token is labelled toxic if one of its features is far more frequent among toxic
-than among clean documents, or stands often there and never elsewhere. The field
-has two states; its weights are fitted to these labels by likelihood. Forward
-and backward messages give each token's marginal; they sum up to the document's
-score and mark the offending offsets.
+The labels say of documents what they say of tokens: all tokens of a clean
+document are labelled clean, of a toxic one some token is toxic, it isn't known
+which. The field has two states and sees all features of a token; its weights
+are fitted by the likelihood of these labels, with the forward and backward
+messages of whole texts. A token's marginal marks the offending offsets; the
+marginals' sum and the surest of them make the document's score.
 """
 
 from __future__ import annotations
@@ -27,10 +27,17 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 STRIPPED = re.compile(r"^\W+|\W+$")
 
 
+WIDTH = 9
+
+
 def word_features(token: str) -> list[int]:
-    """Hashes of the token without outer punctuation in lower case, and of its beginnings of 4 to 6 letters."""
+    """Hashes of the token without outer punctuation in lower case, its beginnings of 3 to 7 letters, its last 3, its shape: WIDTH at most."""
     w = STRIPPED.sub("", token.lower())
-    return [zlib.crc32(x.encode()) for x in (f"w:{w}", *(f"{n}:{w[:n]}" for n in (4, 5, 6) if len(w) > n))] if w else []
+    if not w:
+        return []
+    shape = ("A" if token.isupper() else "a") + ("0" if any(c.isdigit() for c in w) else "") + ("+" if len(w) > 12 else "")
+    named = [f"w:{w}", f"s:{shape}", *(f"{n}:{w[:n]}" for n in (3, 4, 5, 6, 7) if len(w) > n), *([f"e:{w[-3:]}"] if len(w) > 3 else [])]
+    return [zlib.crc32(x.encode()) for x in named]
 
 
 @dataclass
@@ -46,63 +53,62 @@ class Field:
         return self.bias + sum(self.weights.get(f, 0.0) for f in word_features(token))
 
 
-def messages(e: np.ndarray, link: np.ndarray, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of the toxic state from the left, own emission included, and from the right; e: sequences x steps.
-
-    joined: whether a step belongs to the same text as the one before it; else
-    nothing passes between them.
-    """
-
-    def through(odds: np.ndarray, m: np.ndarray) -> np.ndarray:
-        return np.logaddexp(m[0, 1], odds + m[1, 1]) - np.logaddexp(m[0, 0], odds + m[1, 0])
-
-    held = np.ones_like(e) if joined is None else joined.astype(float)
-    left, right = np.empty_like(e), np.zeros_like(e)
-    left[:, 0] = e[:, 0]
-    for t in range(1, e.shape[1]):
-        left[:, t] = e[:, t] + through(left[:, t - 1], link) * held[:, t]
-    for t in range(e.shape[1] - 2, -1, -1):
-        right[:, t] = through(e[:, t + 1] + right[:, t + 1], link.T) * held[:, t + 1]
-    return left, right
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def marginals(e: np.ndarray, link: np.ndarray, first: np.ndarray | None = None, span: int = 256, halo: int = 48) -> np.ndarray:
-    """Each token's probability of the toxic state, for the emissions of texts one behind the other; first marks where one begins.
+def arriving(a: np.ndarray, link: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Odds of the toxic state that reach each step from those before it, for the odds a of the steps' own emissions.
 
-    All of e is cut into spans that are run side by side, with `halo` tokens
-    before and after each: what lies farther off doesn't reach a token, as each
-    step shrinks its influence (the strongest link that is fitted leaves less
-    than 0.61**48 of it).
+    1 where a text begins. A span of steps maps the odds that reach it as a 2x2
+    matrix does: the matrices of all spans are made side by side, the odds go
+    through them one span after the other, and then through the steps of all
+    spans side by side. Nothing is cut off, whatever a text's length.
     """
-    n = len(e)
-    if not n:
-        return np.zeros(0)
-    spans = -(-n // span)
-    at = np.arange(-halo, span + halo)[None, :] + span * np.arange(spans)[:, None]
-    inside = (at > 0) & (at < n)
-    place = np.clip(at, 0, n - 1)
-    joined = inside if first is None else inside & ~first[place]
-    left, right = messages(np.where((at >= 0) & (at < n), e[place], 0.0), link, joined)
-    return _sigmoid(left + right)[:, halo : halo + span].reshape(-1)[:n]
-
+    n = len(a)
+    span = min(512, max(16, int(n**0.5)))
+    rows = -(-n // span)
+    own, begins = np.ones(rows * span), np.ones(rows * span, bool)
+    own[1:n], begins[:n] = a[: n - 1], first  # own: of the step before
+    own, begins = np.ascontiguousarray(own.reshape(rows, span).T), np.ascontiguousarray(begins.reshape(rows, span).T)
+    (p, q), (r, s) = np.exp(link - link.max())
+    up, down = s * own, r * own
+    m = np.zeros((2, 2, rows))
+    m[0, 0] = m[1, 1] = 1.0
+    for t in range(span):
+        top, low = up[t] * m[0] + q * m[1], down[t] * m[0] + p * m[1]
+        low += np.where(low > 0, 0.0, 1e-300)
+        top = np.where(begins[t], low, top)
+        m[0], m[1] = top, low
+        m /= m.max(axis=(0, 1))
+    odds, x = np.empty(rows), 1.0
+    for k, (b, c, d, e) in enumerate(zip(*m.reshape(4, rows).tolist(), strict=True)):
+        odds[k] = x
+        x = (b * x + c) / (d * x + e)
+    out = np.empty((span, rows))
+    for t in range(span):
+        odds = np.where(begins[t], 1.0, (up[t] * odds + q) / (down[t] * odds + p))
+        out[t] = odds
+    return out.T.reshape(-1)[:n]
+
+
+def both_ways(e: np.ndarray, link: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own odds of each step, and those that reach it from the left and from the right, for texts one behind the other.
+
+    An emission counts e**60 at most.
+    """
+    a = np.exp(np.clip(e, -60, 60))
+    last = np.append(first[1:], True)
+    return a, arriving(a, link, first), arriving(a[::-1], link.T, last[::-1])[::-1]
 
-def marking_features(seen: np.ndarray, toxic: int, clean: int) -> np.ndarray:
-    """Which features stand in toxic documents so much more often that chance is no explanation for any of them.
 
-    seen: features x (clean, toxic) documents that have it. The likelihood ratio
-    must be beyond what the largest of as many features would reach by chance,
-    the odds over e**2.
-    """
-    c0, c1 = seen[:, 0].astype(float), seen[:, 1].astype(float)
-    expected = (c1 + c0) * toxic / (toxic + clean)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (c1 * np.log(c1 / expected) + np.where(c0 > 0, c0 * np.log(c0 / (c1 + c0 - expected)), 0.0))
-    least = 2 * np.log(max(2, int((c1 > 0).sum()))) + 6
-    return (c1 > 2) & (c1 > expected) & (ratio > least) & ((c1 + 0.1) / (toxic + 0.2) > np.e**2 * (c0 + 0.1) / (clean + 0.2))
+def marginals(e: np.ndarray, link: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each token's probability of the toxic state, for the emissions of texts one behind the other; first marks where one begins."""
+    if not len(e):
+        return np.zeros(0)
+    a, left, right = both_ways(e, link, first)
+    x = a * left * right
+    return x / (1 + x)
 
 
 def one_of_copies(texts: list[str], shingle: int = 5, sketch: int = 8, shared: int = 4) -> list[int]:
@@ -124,77 +130,72 @@ def one_of_copies(texts: list[str], shingle: int = 5, sketch: int = 8, shared: i
     return kept
 
 
-def fit(texts: list[str], toxic: list[int], span: int = 64, steps: int = 80, clean_spans: int = 4000, seed: int = 1) -> Field:
-    """The field of labelled texts: tokens and their weights from marking features only, so that rare words teach nothing by chance.
+def fit(texts: list[str], toxic: list[int], steps: int = 80, least_docs: int = 3, ridge: float = 0.3) -> Field:
+    """The field of labelled texts, whole ones; features of fewer than least_docs texts teach nothing.
 
-    Without texts of both labels, or without a feature that marks toxicity,
-    every text gets the same low score.
+    What is fitted is the likelihood of the labels: of a clean text, that all
+    its tokens are clean; of a toxic one, that not all are. Without texts of
+    both labels every text gets the same low score.
     """
     kept = one_of_copies(texts)
     texts, toxic = [texts[i] for i in kept], [toxic[i] for i in kept]
-    n1, n0 = sum(toxic), len(toxic) - sum(toxic)
-    empty = Field({}, -8.0, np.zeros((2, 2)), np.array([-4.0, 0, 0, 0]))
-    if not n1 or not n0:
-        return empty
-    width = 4
     words: dict[str, int] = {}
     docs = [np.array([words.setdefault(t, len(words)) for t in TOKEN.findall(x)], np.int32) for x in texts]
     del texts
-    of_word = np.zeros((max(1, len(words)), width), np.uint32)
+    labels = np.array([bool(y) for y, doc in zip(toxic, docs, strict=True) if len(doc)])
+    docs = [doc for doc in docs if len(doc)]
+    if labels.all() or not labels.any():
+        return Field({}, -8.0, np.zeros((2, 2)), np.array([-4.0, 0, 0, 0]))
+    of_word = np.zeros((len(words), WIDTH), np.uint32)
     for t, i in words.items():
         own = word_features(t)
         of_word[i, : len(own)] = own
     del words
     names, of_word = np.unique(np.append(of_word, np.uint32(0)), return_inverse=True)
-    of_word = of_word[:-1].reshape(-1, width)
-    seen = np.zeros((len(names), 2), np.int64)
-    for doc, y in zip(docs, toxic, strict=True):
-        seen[np.unique(of_word[np.unique(doc)]), int(bool(y))] += 1
-    seen[0] = 0  # no feature
-    marks = np.nonzero(marking_features(seen, n1, n0))[0]
-    if not len(marks):
-        return empty
+    of_word = of_word[:-1].reshape(-1, WIDTH)
+    seen = np.zeros(len(names), np.int64)
+    for doc in docs:
+        seen[np.unique(of_word[np.unique(doc)])] += 1
+    taught = np.nonzero((seen >= least_docs) & (names > 0))[0]
     place = np.zeros(len(names), np.int32)
-    place[marks] = np.arange(1, len(marks) + 1)
-    index = {int(names[f]): i + 1 for i, f in enumerate(marks)}
+    place[taught] = np.arange(1, len(taught) + 1)
     of_word = place[of_word]
-    labels = [int(bool(y)) for y, doc in zip(toxic, docs, strict=True) if len(doc)]
-    ids = [of_word[doc] for doc in docs if len(doc)]
-    ys = [(i.any(axis=1) & bool(y)).astype(float) for i, y in zip(ids, labels, strict=True)]
-    rng = np.random.default_rng(seed)
-    parts = [(i[s : s + span], y[s : s + span]) for i, y in zip(ids, ys, strict=True) for s in range(0, len(y), span)]
-    held = [p for p in parts if p[1].any()]
-    rest = [p for p in parts if not p[1].any()]
-    parts = held + [rest[i] for i in rng.permutation(len(rest))[:clean_spans]]
-    feats = np.zeros((len(parts), span, width), np.int32)
-    y, real = np.zeros((len(parts), span)), np.zeros((len(parts), span), bool)
-    for k, (i, v) in enumerate(parts):
-        feats[k, : len(v)], y[k, : len(v)], real[k, : len(v)] = i, v, True
-    w, bias, link = np.zeros(len(index) + 1), -4.0, np.zeros((2, 2))
-    both = real[:, 1:] & real[:, :-1]
-    seen_pairs = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)], float)
+    tokens = np.concatenate(docs)
+    lengths = np.array([len(doc) for doc in docs])
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    first = np.zeros(len(tokens), bool)
+    first[starts] = True
+    inner = ~first[1:]  # steps that have one before them in their text
+    of_doc = np.repeat(np.arange(len(docs)), lengths)
+    w, bias, link = np.zeros(len(taught) + 1), -4.0, np.zeros((2, 2))
     moment, size = np.zeros(len(w) + 5), np.zeros(len(w) + 5)
-    scale = 1.0 / max(1.0, y.sum())
     for k in range(1, steps + 1):
-        e = np.where(real, w[feats].sum(axis=2) + bias, 0.0)
-        left, right = messages(e, link)
-        p = np.where(real, _sigmoid(left + right), 0.0)
-        # pairs: what comes from the left, the link, what comes from the right
-        inside = np.stack([np.zeros_like(left[:, :-1]) + link[0, 0], (e + right)[:, 1:] + link[0, 1], left[:, :-1] + link[1, 0], left[:, :-1] + (e + right)[:, 1:] + link[1, 1]])
-        inside = np.exp(inside - inside.max(axis=0))
-        expected = (inside / inside.sum(axis=0) * both).sum(axis=(1, 2)).reshape(2, 2)
-        gap = np.where(real, y - p, 0.0)
-        gradient = np.concatenate([np.bincount(feats.ravel(), np.repeat(gap.ravel(), width), len(w)), [gap.sum()], (seen_pairs - expected).ravel()])
-        gradient[: len(w)] -= 0.2 * w
-        gradient[-4:] -= 1.0 * link.ravel()
-        gradient = gradient * scale
-        moment, size = 0.9 * moment + 0.1 * gradient, 0.999 * size + 0.001 * gradient**2
-        step = 0.2 * (moment / (1 - 0.9**k)) / (np.sqrt(size / (1 - 0.999**k)) + 1e-8)
-        w, bias, link = w + step[: len(w)], bias + step[len(w)], np.clip(link + step[-4:].reshape(2, 2), -0.7, 0.7)
+        e = (w[of_word].sum(axis=1) + bias)[tokens]
+        a, left, right = both_ways(e, link, first)
+        p = a * left * right
+        p /= 1 + p
+        # a step is toxic after a clean one with these odds: how likely is it that none ever is
+        odds = a * right * np.where(first, 1.0, np.exp(link[0, 1] - link[0, 0]))
+        none = np.exp(-np.add.reduceat(np.log1p(odds), starts))
+        pull = np.where(labels, none / np.maximum(1 - none, 1e-9), -1.0)[of_doc]
+        gap = pull * p
+        x, y = (a * left)[:-1][inner], (a * right)[1:][inner]
+        pairs = np.stack([np.ones_like(x), y, x, x * y]) * np.exp(link).reshape(4, 1)
+        pairs /= pairs.sum(axis=0)
+        pairs[0] -= 1.0
+        of_words = np.bincount(tokens, gap, len(of_word))
+        gradient = np.concatenate([np.bincount(of_word.ravel(), np.repeat(of_words, WIDTH), len(w)), [gap.sum()], pairs @ pull[1:][inner]])
+        gradient[: len(w)] -= ridge * w
+        gradient[-4:] -= link.ravel()
+        moment, size = 0.9 * moment + 0.1 * gradient, 0.99 * size + 0.01 * gradient**2
+        step = 0.1 * (moment / (1 - 0.9**k)) / (np.sqrt(size / (1 - 0.99**k)) + 1e-3)
+        w, bias, link = w + step[: len(w)], bias + step[len(w)], link + step[-4:].reshape(2, 2)
         w[0] = 0.0
-    found = Field({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.05}, float(bias), link)
-    x = np.array([summary(marginals(w[i].sum(axis=1) + bias, link)) for i in ids])
-    found.document = _logistic(x, np.array(labels, float))
+    found = Field({int(names[f]): float(x) for f, x in zip(taught, w[1:], strict=True) if abs(x) > 1e-3}, float(bias), link)
+    e = (w[of_word].sum(axis=1) + bias)[tokens]
+    p = marginals(e, link, first)
+    x = np.array([summary(p[i : i + n]) for i, n in zip(starts, lengths, strict=True)])
+    found.document = _logistic(x, labels.astype(float))
     return found
 
 
@@ -206,14 +207,15 @@ def summary(p: np.ndarray) -> tuple[float, float, float]:
     return float(np.log1p(p[p > 0.02].sum())), float(top[1]), float(top[0])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
-    """Constant and weights by Newton's method, with a ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Constant and weights by Newton's method, with a ridge; the rarer label counts more, by the root of what it is rarer."""
     x = np.column_stack([np.ones(len(x)), x])
+    each = np.where(y > 0, np.sqrt((1 - y).sum() / y.sum()), 1.0)
+    held = np.diag([1e-3, *[ridge] * (x.shape[1] - 1)])
     b = np.zeros(x.shape[1])
-    for _ in range(30):
+    for _ in range(40):
         p = _sigmoid(x @ b)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b)), x.T @ (y - p) - ridge * b)
-        b += step
+        b += np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + held, x.T @ (each * (y - p)) - held @ b)
     return b
 
 
@@ -243,9 +245,9 @@ class Scorer:
         for tokens in split:
             starts.append(len(flat))
             flat += self.emissions(tokens)
-        first = np.zeros(len(flat) + 1, bool)
-        first[starts] = True
-        p = marginals(np.array(flat), self.model.link, first[:-1])
+        begins = np.zeros(len(flat) + 1, bool)
+        begins[starts] = True
+        p = marginals(np.array(flat), self.model.link, begins[:-1])
         for text, tokens, s in zip(texts, split, starts, strict=True):
             own = p[s : s + len(tokens)]
             score = float(_sigmoid(self.model.document @ np.array([1.0, *summary(own)])))
@@ -260,19 +262,23 @@ SPANS = "array<struct<start:int,end:int,marginal:double>>"
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, most_chars: int = 2**16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """The field of labelled documents: of each label at most most_rows, those of least hashed id, less texts of over most_chars.
+    """The field of labelled documents: of each label at most most_rows, those of least hashed id among the texts of up to most_chars code points.
 
-    The bounds hold what the driver takes in; they make the only sample. Null labels and null
-    texts are left out.
+    The bounds hold what the driver takes in; they make the only sample, but for
+    near copies, which count once (one_of_copies). Null labels, null ids and
+    texts without a word are left out before the rows are picked; of several
+    texts of one id the least is taken.
     """
     own = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).distinct()
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter((F.length("__text") <= most_chars) & F.col("__text").rlike(common.WORD))
+    usable = own.join(texts.select("__id").distinct(), "__id", "left_semi")
     picked = None
     for y in (0, 1):
-        some = own.filter(F.col("__y") == y).orderBy(F.xxhash64(F.lit("learn"), "__id"), "__id").limit(most_rows)
+        some = usable.filter(F.col("__y") == y).orderBy(F.xxhash64(F.lit("learn"), "__id"), "__id").limit(most_rows)
         picked = some if picked is None else picked.union(some)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id").filter(F.length("__text") <= most_chars).select("__id", "__text", "__y").collect()
-    rows.sort(key=lambda r: (r[0], r[2], r[1]))
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    rows = texts.join(F.broadcast(picked), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).collect()
+    rows.sort(key=lambda r: (r["__id"], r["__y"]))
+    return fit([r["__text"] for r in rows], [r["__y"] for r in rows])
 
 
 def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

@@ -622,20 +622,58 @@ def test_toxicity_scores_rows(spark, docs, rows, empty):
     assert toxicity_crf.score(empty, model).count() == 0
 
 
-def test_messages_against_all_paths():
+def all_paths(e, link):
+    """Each token's probability of the toxic state, by the weights of all paths."""
+    n, weight = len(e), {}
+    for path in range(2**n):
+        s = [path >> i & 1 for i in range(n)]
+        weight[path] = math.exp(sum(e[i] * s[i] for i in range(n)) + sum(link[s[i], s[i + 1]] for i in range(n - 1)))
+    return [sum(w for p, w in weight.items() if p >> i & 1) / sum(weight.values()) for i in range(n)]
+
+
+def test_marginals_against_all_paths():
     rng = np.random.default_rng(3)
-    e, link = rng.normal(size=(1, 7)) * 2, np.array([[0.6, -0.5], [-0.4, 0.7]])
-    left, right = toxicity_crf.messages(e, link)
-    weight = {}
-    for path in range(2**7):
-        s = [path >> i & 1 for i in range(7)]
-        weight[path] = math.exp(sum(e[0, i] * s[i] for i in range(7)) + sum(link[s[i], s[i + 1]] for i in range(6)))
-    total = sum(weight.values())
-    want = [sum(w for p, w in weight.items() if p >> i & 1) / total for i in range(7)]
-    assert (1 / (1 + np.exp(-(left + right))))[0].tolist() == pytest.approx(want)
-    many = rng.normal(size=3000)
-    whole = toxicity_crf.messages(many[None, :], link)
-    assert toxicity_crf.marginals(many, link).tolist() == pytest.approx((1 / (1 + np.exp(-(whole[0] + whole[1]))))[0].tolist(), abs=1e-6)
+    link = np.array([[2.6, -1.5], [-0.4, 3.7]])
+    texts = [rng.normal(size=n) * 2 for n in (1, 7, 2, 9, 5)]
+    first = np.concatenate([np.arange(len(e)) == 0 for e in texts])
+    want = [p for e in texts for p in all_paths(e, link)]
+    assert toxicity_crf.marginals(np.concatenate(texts), link, first).tolist() == pytest.approx(want)
+
+
+def test_marginals_of_long_texts_reach_from_end_to_end():
+    rng = np.random.default_rng(4)
+    link = np.array([[6.0, -1.0], [0.0, 6.0]])  # what is far off counts
+    e = np.concatenate([rng.normal(size=5000) * 0.1, rng.normal(size=3) * 80])
+    first = np.arange(len(e)) == 0
+    first[5000] = True
+    left, right = [e[0]], [0.0]
+    for t in range(1, 5000):
+        left.append(e[t] + np.logaddexp(link[0, 1], left[-1] + link[1, 1]) - np.logaddexp(link[0, 0], left[-1] + link[1, 0]))
+    for t in range(4998, -1, -1):
+        x = e[t + 1] + right[-1]
+        right.append(np.logaddexp(link[1, 0], x + link[1, 1]) - np.logaddexp(link[0, 0], x + link[0, 1]))
+    want = 1 / (1 + np.exp(-(np.array(left) + np.array(right[::-1]))))
+    got = toxicity_crf.marginals(e, link, first)
+    assert got[:5000].tolist() == pytest.approx(want.tolist(), rel=1e-6)
+    assert np.isfinite(got).all() and len(toxicity_crf.marginals(np.zeros(0), link, np.zeros(0, bool))) == 0
+
+
+def test_toxicity_score_by_hand():
+    model = toxicity_crf.fit([t for t, _ in labelled()], [y for _, y in labelled()])
+    for text in ("w1 Scumbag, w2 idiot! w3", "w5", "... w7 ?!", "moron"):
+        e = [model.bias + sum(model.weights.get(f, 0) for f in toxicity_crf.word_features(t)) for t in text.split()]
+        p = sorted(all_paths(e, model.link))
+        x = [1, math.log1p(sum(v for v in p if v > 0.02)), p[-1], p[-2] if len(p) > 1 else 0]
+        assert next(toxicity_crf.Scorer(model).many([text]))[0] == pytest.approx(1 / (1 + math.exp(-float(np.dot(model.document, x)))))
+
+
+def test_toxicity_sample_has_usable_rows_only(spark):
+    train = labelled(60)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(train)] + [(0, "zz zz"), (100, None), (101, " "), (102, "x" * 99999), (None, "y")], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(train)] + [(100, 1), (101, 1), (102, 1), (None, 1), (7, None), (999, 1)], "doc_id long, toxic int")
+    want = toxicity_crf.fit([t for t, _ in train], [y for _, y in train])
+    got = toxicity_crf.learn(docs, lab, most_rows=60)
+    assert got.weights == want.weights and got.document.tolist() == want.document.tolist()
 
 
 def test_look_up_spreads_a_hot_key(spark):
