@@ -91,17 +91,16 @@ class Packer:
 def pieces(docs: DataFrame, capacity: int, tokenizer: str, ranks: str | None, pattern: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(tokenizer, ranks, pattern)
-        end = np.array([end_id], np.uint32)
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.concatenate([np.array(enc.ids(text.as_py() or ""), np.uint32), end])
-                starts = cut_points(len(ids), capacity)
-                for k, (i, j) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
-                    rows.append((doc, k, i, j - i, zlib.crc32(ids[i:j].astype("<u4").tobytes())))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part, texts in common.by_bytes(b, 1):
+                rows = []
+                for doc, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                    ids = np.array([*enc.ids(text or ""), end_id], np.uint32)
+                    starts = cut_points(len(ids), capacity)
+                    for k, (i, j) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+                        rows.append((doc, k, i, j - i, zlib.crc32(ids[i:j].astype("<u4").tobytes())))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.lean(run), PIECES)
 
