@@ -130,6 +130,45 @@ def one_of_copies(texts: list[str], shingle: int = 5, sketch: int = 8, shared: i
     return kept
 
 
+def _emissions(w: np.ndarray, of_word: np.ndarray, bias: float) -> np.ndarray:
+    return bias + sum(w[of_word[:, f]] for f in range(WIDTH))
+
+
+def _begins(n: int, starts: np.ndarray) -> np.ndarray:
+    first = np.zeros(n, bool)
+    first[starts] = True
+    return first
+
+
+def _parts(lengths: np.ndarray, labels: np.ndarray, most: int = 2**19) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First and last place, starts and labels of whole texts one behind the other, about `most` tokens a part: memory follows a part."""
+    out, ends, d = [], np.cumsum(lengths), 0
+    while d < len(ends):
+        i = int(ends[d] - lengths[d])
+        k = max(d + 1, int(np.searchsorted(ends, i + most, "right")))
+        out.append((i, int(ends[k - 1]), ends[d:k] - lengths[d:k] - i, labels[d:k]))
+        d = k
+    return out
+
+
+def _gaps(e: np.ndarray, link: np.ndarray, starts: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How the log likelihood of texts' labels grows with each emission, and with each link."""
+    first = _begins(len(e), starts)
+    a, left, right = both_ways(e, link, first)
+    p = a * left * right
+    p /= 1 + p
+    # a step is toxic after a clean one with these odds: how likely is it that none ever is
+    odds = a * right * np.where(first, 1.0, np.exp(link[0, 1] - link[0, 0]))
+    none = np.exp(-np.add.reduceat(np.log1p(odds), starts))
+    pull = np.repeat(np.where(toxic, none / np.maximum(1 - none, 1e-9), -1.0), np.diff(np.append(starts, len(e))))
+    inner = ~first[1:]  # steps that have one before them in their text
+    x, y = (a * left)[:-1][inner], (a * right)[1:][inner]
+    pairs = np.stack([np.ones_like(x), y, x, x * y]) * np.exp(link).reshape(4, 1)
+    pairs /= pairs.sum(axis=0)
+    pairs[0] -= 1.0
+    return pull * p, pairs @ pull[1:][inner]
+
+
 def fit(texts: list[str], toxic: list[int], steps: int = 80, least_docs: int = 3, ridge: float = 0.3) -> Field:
     """The field of labelled texts, whole ones; features of fewer than least_docs texts teach nothing.
 
@@ -162,29 +201,18 @@ def fit(texts: list[str], toxic: list[int], steps: int = 80, least_docs: int = 3
     of_word = place[of_word]
     tokens = np.concatenate(docs)
     lengths = np.array([len(doc) for doc in docs])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    first = np.zeros(len(tokens), bool)
-    first[starts] = True
-    inner = ~first[1:]  # steps that have one before them in their text
-    of_doc = np.repeat(np.arange(len(docs)), lengths)
+    del docs, seen
+    parts = _parts(lengths, labels)
     w, bias, link = np.zeros(len(taught) + 1), -4.0, np.zeros((2, 2))
     moment, size = np.zeros(len(w) + 5), np.zeros(len(w) + 5)
     for k in range(1, steps + 1):
-        e = (w[of_word].sum(axis=1) + bias)[tokens]
-        a, left, right = both_ways(e, link, first)
-        p = a * left * right
-        p /= 1 + p
-        # a step is toxic after a clean one with these odds: how likely is it that none ever is
-        odds = a * right * np.where(first, 1.0, np.exp(link[0, 1] - link[0, 0]))
-        none = np.exp(-np.add.reduceat(np.log1p(odds), starts))
-        pull = np.where(labels, none / np.maximum(1 - none, 1e-9), -1.0)[of_doc]
-        gap = pull * p
-        x, y = (a * left)[:-1][inner], (a * right)[1:][inner]
-        pairs = np.stack([np.ones_like(x), y, x, x * y]) * np.exp(link).reshape(4, 1)
-        pairs /= pairs.sum(axis=0)
-        pairs[0] -= 1.0
-        of_words = np.bincount(tokens, gap, len(of_word))
-        gradient = np.concatenate([np.bincount(of_word.ravel(), np.repeat(of_words, WIDTH), len(w)), [gap.sum()], pairs @ pull[1:][inner]])
+        emission = _emissions(w, of_word, bias)
+        of_words, total, of_links = np.zeros(len(of_word)), 0.0, np.zeros(4)
+        for i, j, starts, toxic in parts:
+            gap, links = _gaps(emission[tokens[i:j]], link, starts, toxic)
+            of_words += np.bincount(tokens[i:j], gap, len(of_word))
+            total, of_links = total + gap.sum(), of_links + links
+        gradient = np.concatenate([sum(np.bincount(of_word[:, f], of_words, len(w)) for f in range(WIDTH)), [total], of_links])
         gradient[: len(w)] -= ridge * w
         gradient[-4:] -= link.ravel()
         moment, size = 0.9 * moment + 0.1 * gradient, 0.99 * size + 0.01 * gradient**2
@@ -192,10 +220,11 @@ def fit(texts: list[str], toxic: list[int], steps: int = 80, least_docs: int = 3
         w, bias, link = w + step[: len(w)], bias + step[len(w)], link + step[-4:].reshape(2, 2)
         w[0] = 0.0
     found = Field({int(names[f]): float(x) for f, x in zip(taught, w[1:], strict=True) if abs(x) > 1e-3}, float(bias), link)
-    e = (w[of_word].sum(axis=1) + bias)[tokens]
-    p = marginals(e, link, first)
-    x = np.array([summary(p[i : i + n]) for i, n in zip(starts, lengths, strict=True)])
-    found.document = _logistic(x, labels.astype(float))
+    emission, x = _emissions(w, of_word, bias), []
+    for i, j, starts, _ in parts:
+        p = marginals(emission[tokens[i:j]], link, _begins(j - i, starts))
+        x += [summary(own) for own in np.split(p, starts[1:])]
+    found.document = _logistic(np.array(x), labels.astype(float))
     return found
 
 
@@ -278,7 +307,9 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, most_chars:
         picked = some if picked is None else picked.union(some)
     rows = texts.join(F.broadcast(picked), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).collect()
     rows.sort(key=lambda r: (r["__id"], r["__y"]))
-    return fit([r["__text"] for r in rows], [r["__y"] for r in rows])
+    found, toxic = [r["__text"] for r in rows], [r["__y"] for r in rows]
+    del rows
+    return fit(found, toxic)
 
 
 def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
