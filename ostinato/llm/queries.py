@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, debruijn, exact_dedup, iblt, mixing, packing, ppm, sharding, simhash_anchor, toxicity_crf
+from . import chat, collocations, common, debruijn, exact_dedup, iblt, license_scan, mixing, packing, periodic_runs, ppm, sharding, simhash_anchor, toxicity_crf
 
 QUERIES, ORACLES = {}, {}
 
@@ -122,3 +122,47 @@ select doc_id, min(doc_id) over (partition by norm) as keep_id, cast(count(*) ov
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
+@query("op11_license_scan")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Some documents, told by a hash of the id, repeat a stretch of themselves to their end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    split = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.filter(F.split("text", common.SPACE), lambda w: w != "")).alias("words")).withColumn("n", F.size("words"))
+    a = F.pmod("g", "n").cast("int")
+    p = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    repeated = F.array_join(F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + F.pmod(i - F.col("a"), F.col("p"))))), " ")
+    return split.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", p).select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_kolpakov_kucherov_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(with_periods(documents(spark, sf_dir))).drop("n_words", "runs")
+
+
+@query(
+    "op13_suffix_array_collocations",
+    r"""with t as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) as piece from documents),
+p as (select lang, regexp_extract_all(piece, '[^ 	]+') as w from t),
+n as (select lang, cast(sum(len(w)) as bigint) as n from p group by lang having sum(len(w)) > 0),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from p, (values (1), (2), (3), (4)) as ks(k) where len(w) >= k),
+f as (select lang, k, phrase, count(*) as c from g group by lang, k, phrase having count(*) >= 30),
+c as (select *, string_split(phrase, ' ') as w from f where k > 1),
+inside as (select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(c) as longer
+  from c, (values (2), (3)) as ms(m), (values (1), (2), (3)) as starts(i) where m < k and i + m - 1 <= k group by 1, 2),
+alone as (select c.* from c left join inside using (lang, phrase) where longer is null or 100::hugeint * longer < 80::hugeint * c.c),
+cut as (select a.lang, a.phrase, a.c as a, j as k, h.c as l, t.c as r, 2000000::hugeint * a.c // (h.c + t.c) as score
+  from alone a, (values (1), (2), (3)) as js(j), f h, f t
+  where j < a.k and h.lang = a.lang and h.phrase = array_to_string(a.w[1:j], ' ') and t.lang = a.lang and t.phrase = array_to_string(a.w[j + 1:], ' ')),
+best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, cast(row_number() over (partition by lang order by score desc, a desc, phrase) as bigint) as rank, phrase, a, l, r, n, cast(score as bigint) as score
+from best join n using (lang) qualify rank <= 2000""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
