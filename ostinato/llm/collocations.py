@@ -7,11 +7,12 @@ order neighbours are compared; an LCP interval of depth k, a maximal stretch of
 places that agree in k words, is an n-gram with its count in the shard. Shards'
 counts are merged by key.
 
-An n-gram can only be frequent if the shorter ones in it are, so lengths are
-counted one after the other: words, then pairs of frequent words, then all
-longer ones whose pairs are frequent. What is frequent is told to the tasks by a
-bit field of fixed size; a false hit there costs a counted row and changes
-nothing, and counts below the least are dropped after merging, not before.
+An n-gram can only be frequent if the shorter ones in it are. Words are counted
+first, then hashes of pairs of frequent words, then all phrases whose pairs'
+hashes are frequent, by their words. What is frequent is told to the tasks by a
+bit field of fixed size; a false hit there, or two pairs of one hash, costs
+counted rows and changes nothing, and counts below the least are dropped after
+merging, not before.
 """
 
 from __future__ import annotations
@@ -112,8 +113,8 @@ class Shard:
         """(language, ids, words by id, their hashes)."""
         for lang, parts in self.parts.items():
             words = list(self.known[lang])
-            seed = xxhash.xxh3_64_intdigest(lang.encode())
-            yield lang, np.concatenate(parts), words, np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), U, len(words))
+            head = lang.encode() + b"\0"
+            yield lang, np.concatenate(parts), words, np.fromiter((xxhash.xxh64_intdigest(head + w, 42) for w in words), U, len(words))
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,8 +122,8 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
-def _counter(lengths: range, known: Callable[[], np.ndarray] | None, bits: int, shard_bytes: int):
-    """A function for mapInArrow: (lang, text) -> (lang, phrase, words, h, c), the counts in a shard of n-grams whose parts of one word less, or pairs, are in the field."""
+def _counter(lengths: range, known: Callable[[], np.ndarray] | None, bits: int, shard_bytes: int, spelt: bool = True):
+    """A function for mapInArrow: (lang, text) -> (lang, phrase, c), or (h, c) if not spelt: the counts in a shard of n-grams whose words (of pairs that aren't spelt) or pairs are in the field."""
 
     def emit(shard: Shard) -> Iterator[pa.RecordBatch]:
         field = known() if known else None
@@ -131,27 +132,23 @@ def _counter(lengths: range, known: Callable[[], np.ndarray] | None, bits: int,
             pairs = np.append(_pair(h[:-1], h[1:]), U(0))
             may = None
             if field is not None:
-                parts = h if lengths[0] == 2 else pairs
-                spot = (parts & U(2**bits - 1)).astype(np.int64)
+                spot = ((pairs if spelt else h) & U(2**bits - 1)).astype(np.int64)
                 hit = (field[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
-                width = 1 if lengths[0] == 2 else 2  # words of a part
 
-                def may(k: int, hit: np.ndarray = hit, width: int = width) -> np.ndarray:
+                def may(k: int, hit: np.ndarray = hit) -> np.ndarray:
                     ok = hit.copy()
-                    for j in range(1, k - width + 1):
+                    for j in range(1, k - (1 if spelt else 0)):
                         ok[:-j] &= hit[j:]
                     return ok
 
             for k, first, sizes in grams(ids, lengths, may):
                 for i in range(0, len(first), 50_000):
-                    at = first[i : i + 50_000]
-                    rows = ids[at[:, None] + np.arange(k)].tolist()
-                    phrases = [b" ".join([words[x] for x in row]) for row in rows]
-                    key = h[at] if k == 1 else pairs[at]
-                    yield pa.record_batch(
-                        [pa.array([lang] * len(at), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(at), k, np.int32)), pa.array(np.ascontiguousarray(key).view(np.int64)), pa.array(sizes[i : i + 50_000])],
-                        ["lang", "phrase", "words", "h", "c"],
-                    )
+                    at, c = first[i : i + 50_000], pa.array(sizes[i : i + 50_000])
+                    if spelt:
+                        said = [b" ".join([words[x] for x in row]) for row in ids[at[:, None] + np.arange(k)].tolist()]
+                        yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(said, pa.binary()).cast(pa.string()), c], ["lang", "phrase", "c"])
+                    else:
+                        yield pa.record_batch([pa.array(pairs[at].view(np.int64)), c], ["h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard()
@@ -187,21 +184,20 @@ def counts(docs: DataFrame, least: int = 30, most_words: int = 4, lang_col: str
     if not 2 <= most_words <= 8:
         raise ValueError("phrases have 2 to 8 words at most")
     given = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    schema = "lang string, phrase string, words int, h long, c long"
 
     def merged(lengths: range, known: Callable[[], np.ndarray] | None) -> DataFrame:
-        found = given.mapInArrow(_counter(lengths, known, filter_bits, shard_bytes), schema)
-        return found.groupBy("lang", "phrase", "words", "h").agg(F.sum("c").alias("c"))
+        found = given.mapInArrow(_counter(lengths, known, filter_bits, shard_bytes), "lang string, phrase string, c long")
+        return found.groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
 
     words = common.cut(merged(range(1, 2), None))
     totals = common.cut(words.groupBy("lang").agg(F.sum("c").alias("n")))
     often = words.filter(F.col("c") >= least)
-    pairs = common.cut(merged(range(2, 3), _field(often, filter_bits)).filter(F.col("c") >= least))
-    found = often.unionAll(pairs)
-    if most_words > 2:
-        longer = merged(range(3, most_words + 1), _field(pairs, filter_bits)).filter(F.col("c") >= least)
-        found = found.unionAll(common.cut(longer))
-    return totals, found.select("lang", "phrase", "words", "c")
+    known = _field(often.select(F.xxhash64(F.concat("lang", F.lit("\0"), "phrase")).alias("h")), filter_bits)
+    pairs = given.mapInArrow(_counter(range(2, 3), known, filter_bits, shard_bytes, spelt=False), "h long, c long")
+    pairs = common.cut(pairs.groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("h"))
+    phrases = common.cut(merged(range(2, most_words + 1), _field(pairs, filter_bits)).filter(F.col("c") >= least))
+    common.discard(pairs)
+    return totals, often.unionAll(phrases).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "c")
 
 
 def _part(first: Column, length: Column) -> Column:
