@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import steps
 
 
 def by_name(own: DataFrame, other: DataFrame, name: str = "filename") -> DataFrame:
@@ -24,8 +25,8 @@ def linked(entries: DataFrame, first_id: int = 1) -> DataFrame:
     """(list_id, id, track_id, next_id) of (list_id, track_id, position): ids in writing order, last entry first; 0 ends a list."""
     back = Window.partitionBy("list_id").orderBy(F.desc("position"))
     lists = entries.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
-    before = lists.select("list_id", (F.sum("n").over(Window.orderBy("list_id").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))  # one row a list
-    placed = entries.join(before, "list_id").withColumn("id", F.lit(first_id) + F.coalesce("before", F.lit(0)) + F.row_number().over(back) - 1)
+    before = steps.running_totals(lists, ["list_id"], F.col("n"), "before").select("list_id", "before")
+    placed = entries.join(before, "list_id").withColumn("id", F.lit(first_id) + F.col("before") + F.row_number().over(back) - 1)
     return placed.withColumn("next_id", F.coalesce(F.lag("id").over(back), F.lit(0).cast("long"))).select("list_id", "id", "track_id", "next_id", "position")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import steps
+
 
 def parent(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
@@ -35,14 +37,22 @@ def list_positions(links: DataFrame) -> DataFrame:
     """list_id, id, position (from 1) of links (list_id, id, next_id; 0 ends), by doubling the distance looked ahead.
 
     Rounds are the logarithm of the longest list, not its length. Each carries
-    how many entries follow; a list's length less that is the position.
+    how many entries follow; a list's length less that is the position. A round
+    is written and the one before it deleted, so that neither plan nor disk
+    grows with the rounds. Lists without an end are refused: after as many rounds
+    as the longest possible list needs, entries are still open.
     """
     far = links.select("list_id", "id", F.col("next_id").alias("to"), F.when(F.col("next_id") != 0, 1).otherwise(0).cast("long").alias("after"))
-    while True:
-        ahead = far.select("list_id", F.col("id").alias("to"), F.col("to").alias("further"), F.col("after").alias("more"))
-        far = far.join(ahead, ["list_id", "to"], "left").select("list_id", "id", F.coalesce("further", F.lit(0).cast("long")).alias("to"), (F.col("after") + F.coalesce("more", F.lit(0).cast("long"))).alias("after"))
-        far = far.persist()
+    far = steps.written(far)
+    most = max(1, far.count()).bit_length() + 1
+    for _ in range(most):
         if far.filter("to <> 0").isEmpty():
             break
+        ahead = far.select("list_id", F.col("id").alias("to"), F.col("to").alias("further"), F.col("after").alias("more"))
+        now = steps.written(far.join(ahead, ["list_id", "to"], "left").select("list_id", "id", F.coalesce("further", F.lit(0).cast("long")).alias("to"), (F.col("after") + F.coalesce("more", F.lit(0).cast("long"))).alias("after")))
+        steps.discard(far)
+        far = now
+    else:
+        raise ValueError("a list has no end")
     length = far.groupBy("list_id").agg((F.max("after") + 1).alias("length"))
     return far.join(length, "list_id").select("list_id", "id", (F.col("length") - F.col("after")).cast("int").alias("position"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import steps
+
 #: Tag columns that an update may change. Fixed values.
 EDITABLE = ("title", "artist", "album", "album_artist", "genre", "year", "track_number", "comment", "mode", "duration_seconds", "file_size", "filepath", "filename")
 
@@ -40,8 +42,7 @@ def upsert(tracks: DataFrame, new: DataFrame, now: Column, key: str = "filepath"
     latest = new.groupBy(key).agg(*[F.last(c).alias(f"__{c}") for c in data], F.lit(1).alias("__new"))
     met = tracks.join(latest, key, "full_outer")
     known = met.filter("id is not null").select(*[F.when(F.col("__new") == 1, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in data else F.col(c) for c in tracks.columns])
-    order = Window.orderBy(key)  # of the new paths alone
-    fresh = met.filter("id is null").crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.row_number().over(order))
+    fresh = steps.numbered(met.filter("id is null"), [key], "__number").crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("__number"))
     fresh = fresh.select(*[F.col(f"__{c}").alias(c) if c in data else (now.alias(c) if c == "date_added" else F.lit(0).alias(c) if c == "play_count" else F.col(c)) for c in tracks.columns])
     return known.unionByName(fresh)
 

@@ -163,7 +163,7 @@ def latest_updates(spark, sf):
 @query("k8_work_queue", "select p_partkey as item, row_number() over (order by case when p_partkey % 100 = 7 then 0 else 1 end, case when p_partkey % 100 = 7 then -p_partkey else p_partkey end) as place from part")
 def work_queue(spark, sf):
     p = D.table(spark, sf, "part").select(F.col("p_partkey").alias("item"), F.col("p_partkey").alias("at"))
-    return events.queue(p, p.filter("item % 100 = 7")).withColumn("place", F.col("place").cast("long"))
+    return events.queue(p, p.filter("item % 100 = 7"))
 
 
 @query("k9_needing_work", "select doc_id from documents where doc_id not in (select doc_id from labels)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times, vectors
-from ..operators import dedup, hierarchy, search
+from ..operators import dedup, hierarchy, search, steps
 from . import domain as D
 from .registry import query
 
@@ -268,6 +268,5 @@ def shared_tokens(spark, sf):
 
 @query("changed_statuses", "select doc_id, quality as now from (select doc_id, quality, lag(quality) over (order by doc_id) as before from labels) where before is null or before <> quality")
 def changed_statuses(spark, sf):
-    w = Window.orderBy("doc_id")
-    own = D.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("now"), F.lag("quality").over(w).alias("before"))
+    own = steps.lagged(D.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("now")), ["doc_id"], "now", "before")
     return dedup.changed(own, "before", "now").select("doc_id", "now")

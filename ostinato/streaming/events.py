@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import steps
+
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", length: str = "5 minutes") -> DataFrame:
     """Counts and sums per type and window of event time; events later than `late` are dropped by a stream."""
@@ -58,7 +60,7 @@ def queue(items: DataFrame, priority: DataFrame | None = None) -> DataFrame:
     if priority is not None:
         rows = priority.select("item", F.lit(0).alias("rank"), (-F.col("at")).alias("at")).unionByName(rows)
     once = rows.groupBy("item").agg(F.min(F.struct("rank", "at")).alias("k"))
-    return once.select("item", F.row_number().over(Window.orderBy("k.rank", "k.at", "item")).alias("place"))
+    return steps.numbered(once.select("item", "k.rank", "k.at"), ["rank", "at", "item"], "place").select("item", "place")
 
 
 def needing_work(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
