@@ -36,18 +36,34 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    forget_at_exit(spark, path)
     made = spark.read.schema(df.schema).parquet(path)
     made.step_path = path
     return made
 
 
+def _place(spark: SparkSession, path: str):
+    """The path and its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
+
+
+def file_status(spark: SparkSession, path: str) -> tuple[str, int, int]:
+    """A file's path, size and time of change."""
+    place, system = _place(spark, path)
+    s = system.getFileStatus(place)
+    return path, s.getLen(), s.getModificationTime()
+
+
 def discard(step: DataFrame) -> None:
     """Delete a written step that nothing reads again."""
-    context = step.sparkSession.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(step.step_path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    place, system = _place(step.sparkSession, step.step_path)
+    system.delete(place, True)
 
 
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:

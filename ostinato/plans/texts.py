@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times, vectors
-from ..operators import dedup, hierarchy, search, steps
+from ..operators import dedup, hierarchy, search, steps, text_index
 from . import domain as D
 from .registry import query
 
 _WORDS = r"list_filter(string_split_regex(trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' +'), lambda x: x <> '')"
 
 
+_INDEXES: dict[tuple, text_index.TextIndex] = {}
+
+
+def _text_index(spark, sf) -> text_index.TextIndex:
+    """The index of the library's words, in the shared folder: written when these files are first asked for, then read."""
+    files = D.table(spark, sf, "part").inputFiles()
+    status = [steps.file_status(spark, f) for f in files]
+    key = (spark.sparkContext.applicationId, sf, *status)
+    if key not in _INDEXES:
+        made = text_index.TextIndex(spark, f"{steps.shared_dir(spark)}/words-{uuid.uuid4().hex}")
+        made.append(D.tracks(spark, sf), "id", ["title", "artist", "album", "filename"])
+        steps.forget_at_exit(spark, made.folder)
+        _INDEXES[key] = made
+    return _INDEXES[key]
+
+
 @query(
     "c1_full_text_search",
     D.with_(
@@ -29,8 +47,7 @@ _WORDS = r"list_filter(string_split_regex(trim(regexp_replace(lower({c}), '[^\p{
     ).replace(")\n,", "),"),
 )
 def full_text_search(spark, sf):
-    index = search.index(D.tracks(spark, sf), "id", ["title", "artist", "album", "filename"])
-    return search.match(index, 'red "widget', 100).select("id", F.round("score", 6).alias("score"))
+    return _text_index(spark, sf).search('red "widget', 100).select("id", F.round("score", 6).alias("score"))
 
 
 @query("c1_phrase_search", D.with_("tracks", "select id from tracks where contains(lower(coalesce(title, '')), 'red widget')"))
