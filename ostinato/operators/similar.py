@@ -24,30 +24,50 @@ def ranks(library: DataFrame, asked: DataFrame, wanted: list[int]) -> DataFrame:
     return met.groupBy(F.col("own").alias("track")).agg((F.count("track") + 1).alias("rank"))
 
 
-def windowed(library: DataFrame, windows: DataFrame) -> DataFrame:
-    """Per track the largest cosine over the query's windows.
+def windowed(library: DataFrame, windows: DataFrame, block: int = 256) -> DataFrame:
+    """Per track the largest cosine over the query's windows, null where no vector has a length.
 
-    Every window meets every row: Spark broadcasts the windows up to its own
-    threshold and pairs partition with partition beyond it; only a row a track
-    leaves a task.
+    Windows come in blocks, so that a track meets a row for each `block` of
+    them, not for each; vectors are brought to length one once, before they
+    meet. Only a row a track and block leaves a task.
     """
-    met = library.crossJoin(windows)
-    return met.groupBy("track").agg(F.max(V.cosine(F.col("v"), F.col("q"))).alias("score"))
+    long = windows.filter(V.norm(F.col("q")) > 0).select(V.unit(F.col("q")).alias("q"))
+    blocks = -(-long.count() // block)
+    if not blocks:
+        return library.select("track", F.lit(None).cast("double").alias("score")).distinct()
+    dealt = long.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list("q").alias("qs"))
+    rows = library.withColumn("length", V.norm(F.col("v"))).select("track", F.when(F.col("length") > 0, V.unit(F.col("v"))).alias("u"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    best = F.aggregate("qs", F.lit(None).cast("double"), lambda s, q: F.greatest(s, V.dot(F.col("u"), q)))
+    return rows.join(dealt, "block").groupBy("track").agg(F.max(best).alias("score"))
 
 
-def sustained_runs(frames: DataFrame, asked: DataFrame, threshold: float, step: int = 15, overlap: int = 30) -> DataFrame:
+def sustained_runs(frames: DataFrame, asked: DataFrame, threshold: float, step: int = 15, overlap: int = 30, head: int = 4, salts: int = 8) -> DataFrame:
     """Per recording the longest run of frames alike at one offset: run, its mean cosine, off.
 
     frames: recording, frame, v; asked: i, qv, one query. Offsets are every
     step-th from overlap - n on; the shorter overlaps than `overlap` don't count.
+
+    A frame meets the query's frames of its offsets' residue only, by an
+    equi-join; either side may be large. Of two vectors the first `head`
+    components and the lengths of the rest bound the cosine: pairs that can't
+    reach the threshold are let go before the whole product is made.
     """
-    n = asked.agg(F.count(F.lit(1)).alias("nq"))
-    met = frames.crossJoin(F.broadcast(asked)).crossJoin(F.broadcast(n)).withColumn("off", F.col("frame") - F.col("i"))
-    held = met.filter(((F.col("off") + F.col("nq") - overlap) % step == 0) & (F.col("off") >= overlap - F.col("nq"))).withColumn("cos", V.cosine(F.col("v"), F.col("qv"))).filter(F.col("cos") >= threshold)
+    n = asked.count()
+    # the length of what follows the head, of a vector brought to length one
+    def parts(c: str) -> list:
+        norm, first = V.norm(F.col(c)), F.slice(c, 1, head)
+        return [norm.alias(f"{c}_norm"), F.transform(first, lambda x: x / norm).alias(f"{c}_head"), (V.norm(F.slice(c, head + 1, F.greatest(F.size(c) - head, F.lit(0)))) / norm).alias(f"{c}_tail")]
+
+    residue = lambda c: F.pmod(c, F.lit(step))
+    own = frames.select("recording", "frame", "v", *parts("v"), residue(F.col("frame")).alias("residue"), F.pmod(F.xxhash64("recording", "frame"), F.lit(salts)).alias("salt")).filter("v_norm > 0")
+    query = asked.select("i", "qv", *parts("qv"), residue(F.col("i") + (overlap - n)).alias("residue"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")).filter("qv_norm > 0")
+    met = own.join(query, ["residue", "salt"]).withColumn("off", F.col("frame") - F.col("i")).filter(F.col("off") >= overlap - n)
+    may = met.filter(V.dot(F.col("v_head"), F.col("qv_head")) + F.col("v_tail") * F.col("qv_tail") >= threshold - 1e-9)
+    held = may.withColumn("cos", V.dot(F.col("v"), F.col("qv")) / (F.col("v_norm") * F.col("qv_norm"))).filter(F.col("cos") >= threshold)
     run = held.withColumn("run_id", F.col("i") - F.row_number().over(Window.partitionBy("recording", "off").orderBy("i")))
     runs = run.groupBy("recording", "off", "run_id").agg(F.count(F.lit(1)).alias("run"), F.avg("cos").alias("mean"))
-    best = Window.partitionBy("recording").orderBy(F.desc("run"), F.desc("mean"), "off")
-    return runs.withColumn("r", F.row_number().over(best)).filter("r = 1").select("recording", "run", "mean", "off")
+    best = F.min(F.struct((-F.col("run")).alias("run"), (-F.col("mean")).alias("mean"), "off"))
+    return runs.groupBy("recording").agg(best.alias("b")).select("recording", (-F.col("b.run")).alias("run"), (-F.col("b.mean")).alias("mean"), "b.off")
 
 
 def rerank(candidates: DataFrame, runs: dict[str, DataFrame]) -> DataFrame:
