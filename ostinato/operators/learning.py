@@ -187,6 +187,20 @@ GROUPS = {
 }
 
 
+#: The 62 columns of spectral.all_columns by what they tell. Fixed values.
+COLUMNS = {
+    "level": ["rms_energy", "rms_mean", "rms_std", "rms_p10", "rms_p90", "peak_amplitude", "crest_factor", "loudness_variation"],
+    "bands": [f"{b}_{x}" for b in ("sub_bass", "bass", "low_mid", "mid", "high_mid", "high") for x in ("mean", "ratio")],
+    "spectrum": ["spectral_centroid", "spectral_centroid_std", "spectral_bandwidth", "spectral_rolloff", "spectral_flatness", "spectral_contrast", "spectral_entropy"],
+    "cepstrum": [f"mfcc_{i}" for i in range(1, 11)],
+    "percussion": ["harmonic_energy", "percussive_energy", "perc_harm_ratio", "onset_strength_mean", "percussive_onset_rate", "zero_crossing_rate"],
+    "rhythm": ["tempo", "tempo_confidence", "beat_interval_mean", "beat_interval_std", "onset_rate", "tempogram_periodicity"],
+    "harmony": ["chroma_entropy", "chroma_centroid", "chroma_energy_std", "tonnetz_mean"],
+    "structure": ["intro_energy_ratio", "core_energy_ratio", "outro_energy_ratio", "energy_slope"],
+    "waveform": ["energy", "bass_energy", "mid_energy", "treble_energy", "dynamic_range"],
+}
+
+
 def encode(sets: Column, labels: list[str]) -> Column:
     """0/1 per label, in the labels' order."""
     return F.transform(F.array(*map(F.lit, labels)), lambda c: F.array_contains(sets, c).cast("int"))

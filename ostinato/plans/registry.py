@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules whose queries are registered."""
-    from . import catalog, features, matching, texts  # noqa: F401
+    from . import audio, catalog, features, matching, texts  # noqa: F401
