@@ -8,10 +8,11 @@ import json
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import kernel
 
 
 def training_set(tracks: DataFrame, features: DataFrame, least: int = 5) -> tuple[DataFrame, list[str]]:
@@ -60,11 +61,11 @@ def boosted_trees(**how):
 
 
 def linear_svm(**how):
-    """A linear machine; the radial kernel is not in Spark (see the README)."""
+    """A linear machine; `svm` has a radial kernel."""
     return LinearSVC(**({"regParam": 0.1, "weightCol": "w"} | how))
 
 
-MODELS = {"random_forest": random_forest, "boosted_trees": boosted_trees, "svm": linear_svm, "logistic": lambda **how: LogisticRegression(**({"weightCol": "w"} | how)), "factorization": lambda **how: FMClassifier(**how)}
+MODELS = {"random_forest": random_forest, "boosted_trees": boosted_trees, "svm": kernel.RadialMachine, "linear_svm": linear_svm, "logistic": lambda **how: LogisticRegression(**({"weightCol": "w"} | how)), "factorization": lambda **how: FMClassifier(**how)}
 
 
 class LabelModels:
@@ -92,8 +93,9 @@ class LabelModels:
         out = self._vector(df)
         for c, m in self.models.items():
             kept = out.columns
-            m = m.copy()
-            m.setRawPredictionCol("raw_")
+            if hasattr(m, "setRawPredictionCol"):
+                m = m.copy()
+                m.setRawPredictionCol("raw_")
             scored = m.transform(out)
             p = vector_to_array("probability")[1] if "probability" in scored.columns else 1 / (1 + F.exp(-vector_to_array("raw_")[1]))
             out = scored.withColumn(f"p_{c}", p).select(*kept, f"p_{c}")
@@ -104,6 +106,8 @@ class LabelModels:
         """Features by mean importance over the labels' models."""
         total = [0.0] * len(self.columns)
         for m in self.models.values():
+            if not hasattr(m, "featureImportances") and not hasattr(m, "coefficients"):
+                raise ValueError("a machine with a kernel has no importances by feature")
             for i, x in enumerate(m.featureImportances.toArray() if hasattr(m, "featureImportances") else abs(m.coefficients.toArray())):
                 total[i] += float(x) / len(self.models)
         return sorted(zip(self.columns, total, strict=True), key=lambda x: (-x[1], x[0]))
@@ -152,7 +156,7 @@ def compare(names: list[str], columns: list[str], labels: list[str], train: Data
 
 def save(models: LabelModels, folder: str) -> str:
     """Write the models with a manifest and its digest, which is returned."""
-    spark = next(iter(models.models.values()))._java_obj and __import__("pyspark").sql.SparkSession.getActiveSession()
+    spark = SparkSession.active()
     for c, m in models.models.items():
         m.write().overwrite().save(f"{folder}/{c}")
     body = json.dumps({"name": models.name, "columns": models.columns, "labels": models.labels}, sort_keys=True)

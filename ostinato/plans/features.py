@@ -126,7 +126,13 @@ def boosted_trees_metrics(spark, sf):
 
 @query("j6_linear_svm_metrics")
 def linear_svm_metrics(spark, sf):
-    model, test = _model(spark, sf, "svm", maxIter=20)
+    model, test = _model(spark, sf, "linear_svm", maxIter=20)
+    return learning.evaluate(model, test)
+
+
+@query("j6_radial_svm_metrics")
+def radial_svm_metrics(spark, sf):
+    model, test = _model(spark, sf, "svm", maxIter=10, size=64)
     return learning.evaluate(model, test)
 
 

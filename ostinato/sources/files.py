@@ -109,18 +109,3 @@ def read_audio(spark: SparkSession, folder: str, rate: int = 22_050, offset: flo
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(folder)
     return files.select("path", "content").mapInPandas(run, "path string, rate int, samples array<double>, tags map<string,string>")
-
-
-def write_tags(spark: SparkSession, folder: str, tags: DataFrame) -> int:
-    """Change the tags of files (path, tags), each by the task that has it; the number of files. For folders that every task can write to."""
-
-    def run(rows) -> None:
-        for r in rows:
-            with open(r["path"].removeprefix("file:"), "rb") as f:
-                data = f.read()
-            with open(r["path"].removeprefix("file:"), "wb") as f:
-                f.write(write_info(data, r["tags"] or {}))
-
-    own = tags.select("path", "tags")
-    own.foreachPartition(run)
-    return own.count()
