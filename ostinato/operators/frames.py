@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ def local_maxima(df: DataFrame, group: str, order: str, value: str, reach: int =
     return df.withColumn("__top", top).filter((F.col(value) == F.col("__top")) & (F.col(value) > above)).drop("__top")
 
 
+def falling_maximum(df: DataFrame, group: str, order: str, value: str, rise: float = 1.2, fall: float = 0.998) -> DataFrame:
+    """top: the larger of rise * value and fall * the top before, along the order; values are positive.
+
+    As the top is the greatest of rise * value * fall ** (rows since), it is a
+    running maximum of logarithms, without state.
+    """
+    w = Window.partitionBy(group).orderBy(order)
+    at = F.row_number().over(w) * math.log(fall)
+    level = F.max(F.col("__log") - F.col("__at")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("__at", at).withColumn("__log", F.log(F.col(value) * rise)).withColumn("top", F.coalesce(F.exp(level + F.col("__at")), F.lit(0.0))).drop("__at", "__log")
+
+
 def spaced(df: DataFrame, group: str, frame: str, least: int) -> DataFrame:
     """Frames taken in order, each at least so many after the one taken before."""
     far = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= least), F.array_append(acc, x)).otherwise(acc)

@@ -46,28 +46,71 @@ def sustained_runs(frames: DataFrame, asked: DataFrame, threshold: float, step:
 
     frames: recording, frame, v; asked: i, qv, one query. Offsets are every
     step-th from overlap - n on; the shorter overlaps than `overlap` don't count.
+    """
+    return variant_runs(frames, asked.withColumn("variant", F.lit(0)), threshold, step, overlap, head, salts).drop("variant")
+
+
+def variant_runs(frames: DataFrame, asked: DataFrame, threshold: float, step: int = 15, overlap: int = 30, head: int = 4, salts: int = 8) -> DataFrame:
+    """sustained_runs for each variant of a query (variant, i, qv), all at once: variant, recording, run, mean, off.
 
     A frame meets the query's frames of its offsets' residue only, by an
     equi-join; either side may be large. Of two vectors the first `head`
     components and the lengths of the rest bound the cosine: pairs that can't
     reach the threshold are let go before the whole product is made.
     """
-    n = asked.count()
+
     # the length of what follows the head, of a vector brought to length one
     def parts(c: str) -> list:
         norm, first = V.norm(F.col(c)), F.slice(c, 1, head)
         return [norm.alias(f"{c}_norm"), F.transform(first, lambda x: x / norm).alias(f"{c}_head"), (V.norm(F.slice(c, head + 1, F.greatest(F.size(c) - head, F.lit(0)))) / norm).alias(f"{c}_tail")]
 
     residue = lambda c: F.pmod(c, F.lit(step))
+    size = asked.groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
     own = frames.select("recording", "frame", "v", *parts("v"), residue(F.col("frame")).alias("residue"), F.pmod(F.xxhash64("recording", "frame"), F.lit(salts)).alias("salt")).filter("v_norm > 0")
-    query = asked.select("i", "qv", *parts("qv"), residue(F.col("i") + (overlap - n)).alias("residue"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")).filter("qv_norm > 0")
-    met = own.join(query, ["residue", "salt"]).withColumn("off", F.col("frame") - F.col("i")).filter(F.col("off") >= overlap - n)
+    query = asked.join(size, "variant").select("variant", "n", "i", "qv", *parts("qv"), residue(F.col("i") + overlap - F.col("n")).alias("residue"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")).filter("qv_norm > 0")
+    met = own.join(query, ["residue", "salt"]).withColumn("off", F.col("frame") - F.col("i")).filter(F.col("off") >= overlap - F.col("n"))
     may = met.filter(V.dot(F.col("v_head"), F.col("qv_head")) + F.col("v_tail") * F.col("qv_tail") >= threshold - 1e-9)
     held = may.withColumn("cos", V.dot(F.col("v"), F.col("qv")) / (F.col("v_norm") * F.col("qv_norm"))).filter(F.col("cos") >= threshold)
-    run = held.withColumn("run_id", F.col("i") - F.row_number().over(Window.partitionBy("recording", "off").orderBy("i")))
-    runs = run.groupBy("recording", "off", "run_id").agg(F.count(F.lit(1)).alias("run"), F.avg("cos").alias("mean"))
+    run = held.withColumn("run_id", F.col("i") - F.row_number().over(Window.partitionBy("variant", "recording", "off").orderBy("i")))
+    runs = run.groupBy("variant", "recording", "off", "run_id").agg(F.count(F.lit(1)).alias("run"), F.avg("cos").alias("mean"))
     best = F.min(F.struct((-F.col("run")).alias("run"), (-F.col("mean")).alias("mean"), "off"))
-    return runs.groupBy("recording").agg(best.alias("b")).select("recording", (-F.col("b.run")).alias("run"), (-F.col("b.mean")).alias("mean"), "b.off")
+    return runs.groupBy("variant", "recording").agg(best.alias("b")).select("variant", "recording", (-F.col("b.run")).alias("run"), (-F.col("b.mean")).alias("mean"), "b.off")
+
+
+def sub_windows(asked: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
+    """(variant, i, qv): the query's frames from each start up to its end, as a query of their own; spans beyond the query are left out."""
+    n = asked.count()
+    rows = [(k, a, z) for k, (a, z) in enumerate(spans) if z <= n]
+    told = F.broadcast(asked.sparkSession.createDataFrame(rows, "variant int, a int, z int"))
+    within = asked.select(F.col("i").alias("at"), "qv", F.explode(F.sequence(F.lit(0), F.lit(max(len(spans) - 1, 0)))).alias("variant"))
+    return within.join(told, "variant").filter((F.col("at") >= F.col("a")) & (F.col("at") < F.col("z"))).select("variant", (F.col("at") - F.col("a")).alias("i"), "qv")
+
+
+def drifts(asked: DataFrame, low: float = 0.92, step: float = 0.01, n: int = 17) -> DataFrame:
+    """(variant, ratio, i, qv): the query read at n tempos by nearest frames, from `low` on; frames i count from 0 without gaps."""
+    frames = asked.count()
+    ratios = asked.sparkSession.createDataFrame([(k, round(low + k * step, 6)) for k in range(n)], "variant int, ratio double")
+    # (frames / ratio) frames a tempo, each from the frame it falls in
+    many = ratios.withColumn("m", (F.lit(float(frames)) / F.col("ratio")).cast("int")).filter("m > 0")
+    read = many.select("variant", "ratio", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i")).withColumn("at", F.least((F.col("i") * F.col("ratio")).cast("int"), F.lit(frames - 1)))
+    return read.join(asked.select(F.col("i").alias("at"), "qv"), "at").select("variant", "ratio", "i", "qv")
+
+
+def drift_sweep(frames: DataFrame, asked: DataFrame, threshold: float, step: int = 15, overlap: int = 30, low: float = 0.92, by: float = 0.01, n: int = 17) -> DataFrame:
+    """(recording, ratio, run, mean, off, best): the longest run at each tempo of the query; best marks a recording's longest, ties to the greater mean, then the least ratio."""
+    told = drifts(asked, low, by, n)
+    runs = variant_runs(frames, told, threshold, step, overlap).join(F.broadcast(told.select("variant", "ratio").distinct()), "variant")
+    order = Window.partitionBy("recording").orderBy(F.desc("run"), F.desc("mean"), "ratio")
+    return runs.withColumn("best", F.row_number().over(order) == 1).select("recording", "ratio", "run", "mean", "off", "best")
+
+
+def combined(library: DataFrame, windows: DataFrame, frames: DataFrame, asked: DataFrame, spans: list[tuple[int, int]], threshold: float, top: int = 200, step: int = 15, overlap: int = 30) -> DataFrame:
+    """(track, score, run, mean): the tracks that windowed screening puts first, by their longest run within any span of the query."""
+    near = windowed(library, windows).filter("score is not null").orderBy(F.desc("score"), "track").limit(top)
+    kept = frames.join(near.select(F.col("track").alias("recording")), "recording", "left_semi")
+    runs = variant_runs(kept, sub_windows(asked, spans), threshold, step, overlap)
+    best = runs.groupBy(F.col("recording").alias("track")).agg(F.max(F.struct("run", "mean")).alias("b"))
+    return near.join(best, "track", "left").select("track", "score", F.coalesce("b.run", F.lit(0)).alias("run"), F.coalesce("b.mean", F.lit(0.0)).alias("mean")).orderBy(F.desc("run"), F.desc("mean"), "track")
 
 
 def rerank(candidates: DataFrame, runs: dict[str, DataFrame]) -> DataFrame:

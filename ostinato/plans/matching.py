@@ -175,6 +175,50 @@ def sustained_runs(spark, sf):
     return similar.sustained_runs(f, f.filter("recording = 0").select(F.col("frame").alias("i"), F.col("v").alias("qv")), 0.2, step=1, overlap=1).select("recording", "run", F.round("mean", 6).alias("mean"), "off")
 
 
+_ALIKE = "list_dot_product(v, qv) / sqrt(list_dot_product(v, v) * list_dot_product(qv, qv))"
+_BEST = """, pairs as (select k, recording, frame - i as off, i, COS as cos from f, x), good as (select *, i - row_number() over (partition by k, recording, off order by i) as run from pairs where cos >= 0.2),
+runs as (select k, recording, off, count(*) as n, avg(cos) as mean from good group by k, recording, off, run), best as (select * from runs qualify row_number() over (partition by k, recording order by n desc, mean desc, off) = 1)
+""".replace("COS", _ALIKE)
+_SPANS = [(0, 10), (5, 20), (0, 25), (10, 30)]
+
+
+def _asked(spark, sf):
+    return _frames(spark, sf).filter("recording = 0").select(F.col("frame").cast("int").alias("i"), F.col("v").alias("qv"))
+
+
+@query(
+    "v_sub_windows",
+    f"with f as ({_FRAMES}), w(k, a, z) as (values (0, 0, 10), (1, 5, 20), (2, 0, 25), (3, 10, 30)), x as (select k, frame - a as i, v as qv from f, w where recording = 0 and frame >= a and frame < z and z <= (select count(*) from f where recording = 0)){_BEST} select k as variant, recording, n as run, round(mean, 6) as mean, off from best",
+)
+def sub_windows(spark, sf):
+    found = similar.variant_runs(_frames(spark, sf), similar.sub_windows(_asked(spark, sf), _SPANS), 0.2, 1, -1000)
+    return found.select("variant", "recording", "run", F.round("mean", 6).alias("mean"), "off")
+
+
+_DRIFTED = f"with f as ({_FRAMES}), q as (select frame, v, count(*) over () as n from f where recording = 0), r as (select k, round(0.92 + k * 0.01, 2)::double as ratio from range(17) t(k)), s as (select k, ratio, unnest(range(cast(trunc(n / ratio) as bigint))) as i, n from r, (select any_value(n) as n from q)), x as (select k, ratio, i, v as qv from s join q on frame = least(cast(trunc(i * ratio) as bigint), s.n - 1)){_BEST}"
+
+
+@query(
+    "v_drift_sweep",
+    _DRIFTED + "select recording, ratio, n as run, round(mean, 6) as mean, off, row_number() over (partition by recording order by n desc, mean desc, ratio) = 1 as best from best join r using (k)",
+)
+def drift_sweep(spark, sf):
+    found = similar.drift_sweep(_frames(spark, sf), _asked(spark, sf), 0.2, 1, -1000)
+    return found.select("recording", "ratio", "run", F.round("mean", 6).alias("mean"), "off", "best")
+
+
+@query(
+    "v_combined",
+    f"with f as ({_FRAMES}), w(k, a, z) as (values (0, 0, 10), (1, 5, 20), (2, 0, 25), (3, 10, 30)), l as (select recording as track, list_transform(range(1, 9), lambda d: avg(v[d])) as v from f group by 1)".replace("list_transform(range(1, 9), lambda d: avg(v[d]))", "[" + ", ".join(f"avg(v[{d}])" for d in range(1, 9)) + "]")
+    + f", s as (select l.track, max(list_dot_product(l.v, q.v) / sqrt(list_dot_product(l.v, l.v) * list_dot_product(q.v, q.v))) as score from l, f q where q.recording = 0 group by 1), near as (select * from s order by score desc, track limit 6), x as (select k, frame - a as i, v as qv from f, w where recording = 0 and frame >= a and frame < z and z <= (select count(*) from f where recording = 0)){_BEST}, top as (select recording, max_by((n, mean), n * 1000 + mean) as b, max(n) as n from best group by 1), m as (select recording, max(mean) as mean from best join top using (recording) where best.n = top.n group by 1) select near.track, round(score, 6) as score, coalesce(top.n, 0) as run, round(coalesce(m.mean, 0), 6) as mean from near left join top on top.recording = near.track left join m on m.recording = near.track",
+)
+def combined(spark, sf):
+    f = _frames(spark, sf)
+    library = f.groupBy(F.col("recording").alias("track")).agg(F.array(*[F.avg(F.element_at("v", d)) for d in range(1, 9)]).alias("v"))
+    found = similar.combined(library, f.filter("recording = 0").select(F.col("v").alias("q")), f, _asked(spark, sf), _SPANS, 0.2, 6, 1, -1000)
+    return found.select("track", F.round("score", 6).alias("score"), "run", F.round("mean", 6).alias("mean"))
+
+
 @query("e12_summary_vectors", f"with f as ({_FRAMES}), x as (select recording, frame, unnest(v) as x, generate_subscripts(v, 1) as d from f) select recording, d, round(avg(x), 9) as mean, round(stddev_pop(x), 9) as sd, round((arg_max(x, frame) - arg_min(x, frame)) / (count(*) - 1), 9) as slope from x group by 1, 2")
 def summary_vectors(spark, sf):
     return similar.summaries(_frames(spark, sf)).select("recording", "d", *[F.round(c, 9).alias(c) for c in ("mean", "sd", "slope")])
@@ -225,6 +269,11 @@ def rolling_mean(spark, sf):
     return D.table(spark, sf, "events").select("event_id", F.round(F.avg("value").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-29, 0)), 6).alias("mean"))
 
 
+@query("f8_falling_maximum", "select event_id, round(list_reduce(list_transform(list(value) over w, lambda x: 1.2 * x), lambda top, x: greatest(x, 0.998 * top)), 6) as top from events window w as (partition by user_id order by event_id rows between unbounded preceding and current row)")
+def falling_maximum(spark, sf):
+    return frames.falling_maximum(D.table(spark, sf, "events"), "user_id", "event_id", "value").select("event_id", F.round("top", 6).alias("top"))
+
+
 @query("f9_normalised", "select event_id, round(case when max(value) over (partition by user_id) = 0 then 0 else value / max(value) over (partition by user_id) end, 9) as level from events")
 def normalised(spark, sf):
     return frames.normalised(D.table(spark, sf, "events"), "user_id", "value").select("event_id", F.round("level", 9).alias("level"))
@@ -240,7 +289,11 @@ def local_maxima(spark, sf):
     return frames.local_maxima(D.table(spark, sf, "events"), "user_id", "event_id", "value", 3, 50.0).select("event_id")
 
 
-@query("f5_spaced_peaks")
+@query(
+    "f5_spaced_peaks",
+    """with recursive e as (select user_id, row_number() over (partition by user_id order by event_id) as frame, value from events), p as (select user_id, frame from e where value > 50),
+r as (select user_id, min(frame) as frame from p group by 1 union all select r.user_id, min(p.frame) from r join p on p.user_id = r.user_id and p.frame >= r.frame + 4 group by r.user_id, r.frame) select user_id, cast(frame as int) as frame from r""",
+)
 def spaced_peaks(spark, sf):
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = D.table(spark, sf, "events").select("user_id", F.row_number().over(w).alias("frame"), "value")
