@@ -56,6 +56,14 @@ class Index:
         cues = found.select("recording", "track", times.whole(F.col("start")).alias("start_ms"), times.whole(F.col("span")).alias("duration_ms"), "confidence", F.coalesce("artist", F.lit("Unknown Artist")).alias("performer"), F.coalesce("title", F.lit("Unknown Title")).alias("title"), F.col("ratio").alias("time_stretch_ratio"))
         return cues.orderBy("recording", "start_ms") if by_time else cues.orderBy(F.desc("confidence"), "track")
 
+    def put_vectors(self, rows: DataFrame) -> None:
+        """Vectors (track, kind, v), each instead of the one of the same track and kind."""
+        self.store.write("vectors", library.replace_by_key(self.store.read("vectors"), rows.select("track", "kind", "v"), ["track", "kind"]))
+
+    def vectors(self, kind: str | None = None) -> DataFrame:
+        found = self.store.read("vectors")
+        return found.filter(F.col("kind") == kind) if kind else found
+
     def cleanup(self) -> int:
         """Remove fingerprints and vectors of tracks that are gone; how many rows."""
         tracks, gone = self.store.read("tracks").select(F.col("id").alias("track")), 0

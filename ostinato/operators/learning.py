@@ -25,6 +25,20 @@ def training_set(tracks: DataFrame, features: DataFrame, least: int = 5) -> tupl
     return held.withColumns({f"y_{c}": F.array_contains("codes", c).cast("int") for c in labels}).drop("codes"), labels
 
 
+def dataset_stats(tracks: DataFrame, features: DataFrame, told: str) -> DataFrame:
+    """One row: all tracks, those with a genre, those with features (id, ...), those whose feature `told` is known, and those fit for training, which have a genre and that feature."""
+    known = features.select("id", F.lit(True).alias("__there"), F.col(told).isNotNull().alias("__told"))
+    met = tracks.select("id", (F.coalesce("genre", F.lit("")) != "").alias("__genre")).join(known, "id", "full_outer")
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return met.agg(
+        count(F.col("__genre").isNotNull()).alias("total_tracks"),
+        count(F.col("__genre")).alias("tracks_with_genre"),
+        count(F.col("__there")).alias("tracks_with_analysis"),
+        count(F.col("__told")).alias("tracks_with_features"),
+        count(F.col("__genre") & F.col("__told")).alias("usable_for_training"),
+    )
+
+
 def split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Training and test rows by a seeded hash of the key."""
     test = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1000)) < int(share * 1000)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import steps
@@ -97,21 +97,36 @@ def append_to_playlist(entries: DataFrame, playlist: int, track: int) -> DataFra
 
 
 def sort_key(column: str) -> list[Column]:
-    """What a list sorts by for each column heading: text without case, numbers, rating, or folder."""
+    """What a list sorts by for each column heading: text without case, length, rating, or folder without case."""
     from ..functions import text
 
-    if column in ("title", "artist", "album", "filename"):
+    if column in ("title", "artist", "album", "filename", "genre"):
         return [F.lower(F.coalesce(column, F.lit("")))]
     if column == "rating":
         return [text.rating(F.col("genre"))]
     if column == "folder":
         return [F.regexp_extract("filepath", "^(.*)/[^/]*$", 1)]
+    if column == "path":
+        return [F.lower(F.regexp_extract("filepath", "^(.*)/[^/]*$", 1))]
+    if column == "duration":
+        return [F.coalesce("duration_seconds", F.lit(0.0))]
     return [F.col(column)]
 
 
+#: Headings that a list can be sorted by. Fixed values.
+SORTABLE = ("artist", "title", "filename", "genre", "duration", "rating", "path")
+
+
+def sorted_by(tracks: DataFrame, column: str | None, limit: int, descending: bool = False) -> DataFrame:
+    """The first rows of a list by a heading, the newest first where it can't be sorted by that; ties by id. place counts them."""
+    keys = [k.desc() if descending else k.asc() for k in sort_key(column)] if column in SORTABLE else [F.desc("date_added")]
+    first = tracks.orderBy(*keys, "id").limit(limit)
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys, "id")))  # of the limited rows alone
+
+
 def random_rows(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
-    """n rows in an order that depends on seed and key alone."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """n rows in an order that depends on seed and key alone: by the digest of both."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def unplayed(tracks: DataFrame, plays: DataFrame, now: Column, days: int = 7) -> DataFrame:

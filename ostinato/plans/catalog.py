@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import index, learning, steps
 from ..operators import library as L
+from ..sources import snapshots
 from . import domain as D
 from .registry import query
 
 
+def _index(spark, **tables) -> index.Index:
+    """An index of its own in the shared folder, holding these tables; the others are empty."""
+    store = snapshots.Store(spark, f"{steps.shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    steps.forget_at_exit(spark, store.folder)
+    empty = {"tracks": "id long, filepath string", "fingerprints": "track long, hash long, t long", "vectors": "track long, kind string, v array<float>"}
+    with store.transaction():
+        for name, schema in empty.items():
+            store.write(name, tables[name] if name in tables else spark.createDataFrame([], schema))
+    return index.Index(store)
+
+
 def now():
     return F.lit(D.NOW).cast("timestamp")
 
@@ -53,7 +69,11 @@ def waveforms_and_stats_flag(spark, sf):
 
 @query("a14_vectors_by_type", "select label as feature_type, count(*) as n, sum(len(embedding)) as numbers from embeddings group by 1")
 def vectors_by_type(spark, sf):
-    return D.table(spark, sf, "embeddings").groupBy(F.col("label").alias("feature_type")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("embedding")).alias("numbers"))
+    """Half of the vectors are put twice: the second time each takes its own place."""
+    rows = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("track"), F.col("label").cast("string").alias("kind"), F.col("embedding").alias("v"))
+    held = _index(spark, vectors=rows.filter("track % 2 = 0"))
+    held.put_vectors(rows)
+    return held.vectors().groupBy(F.col("kind").cast("int").alias("feature_type")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("v")).alias("numbers"))
 
 
 @query(
@@ -137,7 +157,9 @@ def replace_whole_rows(spark, sf):
 @query("b8_bulk_append_counts", D.with_("library", "select track, count(*) as fingerprint_count from (select * from library union all select * from library where track < 3) group by 1"))
 def bulk_append_counts(spark, sf):
     f = D.library(spark, sf)
-    return f.unionByName(f.filter("track < 3")).groupBy("track").agg(F.count(F.lit(1)).alias("fingerprint_count"))
+    held = _index(spark, fingerprints=f)
+    held.add(f.filter("track < 3"))
+    return held.status()
 
 
 @query("b9_orphans", D.with_("tracks entries", "select count(*) as removed from entries where track_id not in (select id from tracks where id % 2 = 0)"))
@@ -147,7 +169,9 @@ def orphans(spark, sf):
 
 @query("b10_clear_all", D.with_("tracks", "select id from tracks where false"))
 def clear_all(spark, sf):
-    return D.tracks(spark, sf).select("id").filter(F.lit(False))
+    held = _index(spark, fingerprints=D.library(spark, sf), vectors=D.vectors(spark, sf).withColumn("kind", F.lit("all")))
+    held.clear()
+    return held.store.read("fingerprints").select(F.col("track").alias("id")).unionAll(held.vectors().select("track"))
 
 
 @query(
@@ -302,7 +326,33 @@ def sorted_list(spark, sf):
     return t.select("id", F.row_number().over(Window.orderBy(*L.sort_key("title"), F.desc("date_added"), "id")).cast("long").alias("place"))
 
 
-@query("g2_random_tracks")
+_FIRST = {"artist": "lower(coalesce(artist, ''))", "title": "lower(coalesce(title, ''))", "filename": "lower(coalesce(filename, ''))", "genre": "lower(coalesce(genre, ''))", "duration": "coalesce(duration_seconds, 0)", "rating": "coalesce(try_cast(regexp_extract(genre, '-\\*(\\d+)', 1) as int), 0)", "path": "lower(regexp_extract(filepath, '^(.*)/[^/]*$', 1))", "added": "-epoch(date_added)"}
+
+
+@query("g1_all_headings", D.with_("tracks", " union all ".join(f"(select '{c}' as heading, id, row_number() over (order by {k}, id) as place from tracks order by place limit 50)" for c, k in _FIRST.items())))
+def all_headings(spark, sf):
+    lists = [L.sorted_by(D.tracks(spark, sf), c, 50).select(F.lit(c).alias("heading"), "id", F.col("place").cast("long").alias("place")) for c in _FIRST]
+    return functools.reduce(DataFrame.unionAll, lists)
+
+
+@query("e3_dataset_stats", D.with_("tracks", "select count(*) as total_tracks, count(*) filter (genre <> '') as tracks_with_genre, (select count(*) from embeddings) as tracks_with_analysis, (select count(*) from embeddings where label <> 3) as tracks_with_features, count(*) filter (genre <> '' and id in (select vec_id from embeddings where label <> 3)) as usable_for_training from tracks"))
+def dataset_stats(spark, sf):
+    told = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") != 3, F.col("label")).alias("rms_mean"))
+    return learning.dataset_stats(D.tracks(spark, sf), told, "rms_mean")
+
+
+@query("g3_random_track", D.with_("tracks", "select id, title from tracks order by md5('7:' || id), id limit 1"))
+def random_track(spark, sf):
+    return L.random_rows(D.tracks(spark, sf), 1, 7).select("id", "title")
+
+
+@query("h11_coded", D.with_("tracks", "select t.id, regexp_matches(g, '^([A-Z]+)(-[A-Z]+)*(-\\*[1-5])?$') as coded from (select id, case when id % 3 = 0 then lower(genre) when id % 5 = 0 then genre || '6' else genre end as g from tracks) t"))
+def coded(spark, sf):
+    g = F.when(F.col("id") % 3 == 0, F.lower("genre")).when(F.col("id") % 5 == 0, F.concat("genre", F.lit("6"))).otherwise(F.col("genre"))
+    return D.tracks(spark, sf).select("id", T.is_coded(g).alias("coded"))
+
+
+@query("g2_random_tracks", D.with_("tracks", "select id, title from tracks order by md5('42:' || id), id limit 10"))
 def random_tracks(spark, sf):
     return L.random_rows(D.tracks(spark, sf), 10, 42).select("id", "title")
 

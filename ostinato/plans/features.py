@@ -240,6 +240,18 @@ def scoring_formulas(spark, sf):
     return index.scoring_formulas(v.crossJoin(F.broadcast(one))).select("track", F.round("euclidean", 6).alias("euclidean"), F.round("dot", 6).alias("dot"))
 
 
+@query(
+    "scoring_formulas_all",
+    D.with_("vectors", "select a.track, round(list_dot_product(a.v, q.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(q.v, q.v)), 6) as cosine, round(1 / (1 + list_distance(a.v, q.v)), 6) as inverse_distance, round(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: abs(a.v[i] - q.v[i]))), 6) as manhattan, round(least(sqrt(list_dot_product(a.v, a.v)), sqrt(list_dot_product(q.v, q.v))), 6) as least_norm from vectors a, vectors q where q.track = 0"),
+)
+def all_scoring_formulas(spark, sf):
+    from ..operators import index
+
+    v = D.vectors(spark, sf)
+    one = v.filter("track = 0").select(F.col("v").alias("q"))
+    return index.scoring_formulas(v.crossJoin(F.broadcast(one))).select("track", *[F.round(c, 6).alias(c) for c in ("cosine", "inverse_distance", "manhattan", "least_norm")])
+
+
 @query("v5_vector_match")
 def vector_match(spark, sf):
     from ..operators import index
