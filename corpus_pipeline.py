@@ -25,7 +25,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity_crf.learn(docs, labels.filter(~toxicity_crf.held_out()))
-    return toxicity_crf.score(docs, model, keep=True).filter(F.col("__score") < REJECT).select(*docs.columns)
+    return common.carrying(docs, ["doc_id", "text"], lambda own: toxicity_crf.score(own, model, keep=True).filter(F.col("__score") < REJECT))
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="ostinato-")
     atexit.register(shutil.rmtree, made, True)
@@ -92,6 +92,26 @@ def swept(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+def carrying(docs: DataFrame, used: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run(docs), which keeps, repeats or drops rows, with docs' columns as they were but for those it changes among `used`.
+
+    It sees the used columns and one more that holds all others, so that none of
+    these can clash with a name that it makes.
+    """
+    used = [c for c in dict.fromkeys(used) if c in docs.columns]
+    others = [c for c in docs.columns if c not in used]
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    own = [F.col(quoted(c)) for c in used]
+    if not others:
+        return run(docs).select(*[F.col(quoted(c)) for c in docs.columns])
+    rest = "carried"
+    while rest in used:
+        rest += "_"
+    # fields go by number, as names may hold anything
+    out = run(docs.select(*own, F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others)]).alias(rest)))
+    return out.select(*[F.col(quoted(c)) if c in used else F.col(rest).getField(f"c{others.index(c)}").alias(c) for c in docs.columns])
+
+
 def salt(key: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("salt")), F.lit(salts)).cast("int")
 

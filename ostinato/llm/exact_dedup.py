@@ -76,7 +76,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups doesn't keep, with the columns they had."""
+    """docs without the rows that exact_groups doesn't keep, with the columns they had, whatever their names."""
+    return common.carrying(docs, [id_col, text_col], lambda own: _drop_copies(own, id_col, text_col))
+
+
+def _drop_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
     own = docs.withColumn("__sha", F.sha2(normal_text(F.col(text_col)), 256))
     same = Window.partitionBy("__id", "__sha").orderBy("__id")

@@ -108,13 +108,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     return taken.select(id_col, *[F.col(c).cast("double" if n == "target" else "long").alias(n) for n, c in names.items()])
 
 
-def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The mix itself, in the columns of docs: a row as often as it is taken whole, and one with its first words for the rest.
+def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself, in the columns of docs, whatever their names: a row as often as it is taken whole, and one with its first words for the rest.
 
     A document of which nothing is taken, as one without words, has no row. In
     a row of first words they are joined by one space, and n_chars, if there is
     such a column, is counted anew.
     """
+    return common.carrying(docs, [id_col, text_col, source_col, "n_chars"], lambda own: _mixed_texts(own, id_col=id_col, text_col=text_col, source_col=source_col, **how))
+
+
+def _mixed_texts(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     rows = mix(docs, id_col=id_col, text_col=text_col, keep=True, **how).filter("__taken > 0")
     rest = F.col("__taken") % F.col("__size")
     copies = F.flatten(F.array(F.array_repeat(F.lit(-1).cast("long"), (F.col("__taken") / F.col("__size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>"))))

@@ -262,6 +262,10 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Of rows that agree in id and text one stays. Other columns don't count; an
     empty table gives an empty one.
     """
+    return common.carrying(docs, [id_col, text_col], lambda own: _drop_near(own, id_col, text_col, words, bits, seed, per_anchor, salts, crowded, one_in, listed))
+
+
+def _drop_near(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, seed: int, per_anchor: int, salts: int, crowded: int, one_in: int, listed: int) -> DataFrame:
     rows = common.cut(docs.withColumn("__node", F.monotonically_increasing_id()))
     texts = rows.select(F.col("__node").alias("node"), F.col(text_col).cast("binary").alias("text"))
     fps = common.cut(fingerprints(texts, "node", "text", words, seed))

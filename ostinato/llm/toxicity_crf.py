@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common
 
@@ -332,8 +333,7 @@ def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
                     yield pa.record_batch([part.column(id_col), scores, spans], [id_col, "score", "spans"])
 
     if keep:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __score double"
-        return docs.mapInArrow(common.lean(run), schema)
+        return docs.mapInArrow(common.lean(run), StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
     return docs.select(id_col, text_col).mapInArrow(common.lean(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, spans {SPANS}")
 
 
