@@ -51,7 +51,7 @@ def sustained_runs(frames: DataFrame, asked: DataFrame, threshold: float, step:
 
 
 def variant_runs(frames: DataFrame, asked: DataFrame, threshold: float, step: int = 15, overlap: int = 30, head: int = 4, salts: int = 8) -> DataFrame:
-    """sustained_runs for each variant of a query (variant, i, qv), all at once: variant, recording, run, mean, off.
+    """sustained_runs for each variant of a query (variant, i, qv), numbered from 0, all at once: variant, recording, run, mean, off.
 
     A frame meets the query's frames of its offsets' residue only, by an
     equi-join; either side may be large. Of two vectors the first `head`
@@ -65,9 +65,10 @@ def variant_runs(frames: DataFrame, asked: DataFrame, threshold: float, step: in
         return [norm.alias(f"{c}_norm"), F.transform(first, lambda x: x / norm).alias(f"{c}_head"), (V.norm(F.slice(c, head + 1, F.greatest(F.size(c) - head, F.lit(0)))) / norm).alias(f"{c}_tail")]
 
     residue = lambda c: F.pmod(c, F.lit(step))
-    size = asked.groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {-1: 0} | dict(asked.groupBy("variant").count().collect())  # one number a variant
+    n = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("variant")]
     own = frames.select("recording", "frame", "v", *parts("v"), residue(F.col("frame")).alias("residue"), F.pmod(F.xxhash64("recording", "frame"), F.lit(salts)).alias("salt")).filter("v_norm > 0")
-    query = asked.join(size, "variant").select("variant", "n", "i", "qv", *parts("qv"), residue(F.col("i") + overlap - F.col("n")).alias("residue"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")).filter("qv_norm > 0")
+    query = asked.withColumn("n", n).select("variant", "n", "i", "qv", *parts("qv"), residue(F.col("i") + overlap - F.col("n")).alias("residue"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")).filter("qv_norm > 0")
     met = own.join(query, ["residue", "salt"]).withColumn("off", F.col("frame") - F.col("i")).filter(F.col("off") >= overlap - F.col("n"))
     may = met.filter(V.dot(F.col("v_head"), F.col("qv_head")) + F.col("v_tail") * F.col("qv_tail") >= threshold - 1e-9)
     held = may.withColumn("cos", V.dot(F.col("v"), F.col("qv")) / (F.col("v_norm") * F.col("qv_norm"))).filter(F.col("cos") >= threshold)
