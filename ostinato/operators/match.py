@@ -196,6 +196,5 @@ def find_peaks(spectrum: DataFrame, key: str = "recording", reach: int = 5, abov
     level = spectrum.groupBy(key).agg(F.median("magnitude").alias("__median"))
     local = spectrum.withColumn("__row", F.max("magnitude").over(across)).withColumn("__top", F.max("__row").over(along)).join(level, key)
     found = local.filter((F.col("magnitude") == F.col("__top")) & (F.col("magnitude") > F.col("__median") + above)).select(key, "frame", "bin", "magnitude")
-    counts = found.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.collect_list("magnitude").alias("__m")).filter(F.col("__n") > most)
-    cut = counts.select(key, F.element_at(F.sort_array("__m", asc=False), most).alias("__least"))
-    return found.join(cut, key, "left").filter(F.col("__least").isNull() | (F.col("magnitude") >= F.col("__least"))).drop("__least")
+    # those of a rank that ties reach stay; tasks keep their own top ones before a recording's meet
+    return found.withColumn("__rank", F.rank().over(Window.partitionBy(key).orderBy(F.desc("magnitude")))).filter(F.col("__rank") <= most).drop("__rank")

@@ -225,3 +225,12 @@ def test_all_62_columns(spark):
     from ostinato.operators import learning
 
     assert {c for group in learning.COLUMNS.values() for c in group} == set(found.columns) - {"recording"}
+
+
+def test_top_peaks_keep_ties(spark):
+    level = [9.0, 7.0, 7.0, 7.0, 5.0, 4.0]
+    rows = [(r, 20 * i, 40, v + 40) for r in (1, 2) for i, v in enumerate(level)] + [(r, f, b, 0.0) for r in (1, 2) for f in range(0, 120, 3) for b in (0, 80)]
+    spectrum = spark.createDataFrame(rows, "recording int, frame int, bin int, magnitude double")
+    for most, want in ((1, 1), (2, 4), (4, 4), (5, 5), (100, 6)):
+        found = match.find_peaks(spectrum, most=most).groupBy("recording").count().collect()
+        assert {r.recording: r["count"] for r in found} == {1: want, 2: want}
