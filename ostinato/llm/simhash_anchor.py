@@ -106,36 +106,55 @@ def covering_code(dimension: int) -> list[np.ndarray]:
     return [anchors(half, 7, 32), anchors(half, 8, 32)]
 
 
-def _meet(batches: Iterator[pa.RecordBatch], code: list[np.ndarray], bits: int, salts: int, dealt: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, salt, home, fp, node): a home row in every salt of its anchor, a copy in its own salt of each anchor in reach.
+def dealt_over(anchor: np.ndarray, crowded: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """In how many groups each anchor's rows go: one, but for the `crowded` ones (sorted)."""
+    if not len(crowded):
+        return np.ones(len(anchor), np.int64)
+    at = np.searchsorted(crowded, anchor).clip(0, len(crowded) - 1)
+    return np.where(crowded[at] == anchor, groups[at], 1)
+
+
+def _group(node: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The group of each node among `of`, by a hash, as ids may follow a pattern."""
+    mixed = node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(32)).astype(np.int64) % of
 
-    dealt: the number of salts of each anchor that has another than `salts`.
-    """
-    crowded, many = np.array(sorted(dealt), np.int64), np.array([dealt[x] for x in sorted(dealt)], np.int64)
 
-    def salts_of(anchor: np.ndarray) -> np.ndarray:
-        if not len(crowded):
-            return np.full(len(anchor), salts)
-        at = np.searchsorted(crowded, anchor).clip(0, len(crowded) - 1)
-        return np.where(crowded[at] == anchor, many[at], salts)
+def _cells(keep: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row as often as `times` says: its place among keep, and the number of the copy."""
+    return np.repeat(keep, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
 
+
+def _meet(batches: Iterator[pa.RecordBatch], code: list[np.ndarray], bits: int, sent) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, cell, home, fp, node) of the anchors that are home to any fingerprint.
+
+    An anchor's homes and members go in groups, and each pair of groups meets in
+    one cell: a home goes to all cells of its group, and so does a member.
+    """
+    homes_at, crowded, home_groups, member_groups = sent.value
     for b in batches:
         fps, nodes = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
         for i in range(0, len(fps), 128):
             f, n = fps[i : i + 128], nodes[i : i + 128]
             row, anchor, home = within_reach(f.view(np.uint64), code, bits)
-            times = salts_of(home)
-            every = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            home = np.repeat(home, times)
+            lived = homes_at[anchor >> 3] >> (anchor & 7).astype(np.uint8) & 1 == 1
+            row, anchor = row[lived], anchor[lived]
+            own, every = _cells(np.arange(len(home)), dealt_over(home, crowded, member_groups))
+            at = home[own]
+            own_cell = _group(n[own], dealt_over(at, crowded, home_groups)) * dealt_over(at, crowded, member_groups) + every
+            copy, each = _cells(np.arange(len(row)), dealt_over(anchor, crowded, home_groups))
+            row, anchor = row[copy], anchor[copy]
+            many = dealt_over(anchor, crowded, member_groups)
+            cell = each * many + _group(n[row], many)
             yield pa.record_batch(
                 [
-                    pa.array(np.concatenate([anchor, home]).astype(np.int32)),
-                    pa.array(np.concatenate([n[row] % salts_of(anchor), every]).astype(np.int32)),
-                    pa.array(np.concatenate([np.zeros(len(row), bool), np.ones(len(home), bool)])),
-                    pa.array(np.concatenate([f[row], np.repeat(f, times)])),
-                    pa.array(np.concatenate([n[row], np.repeat(n, times)])),
+                    pa.array(np.concatenate([anchor, at]).astype(np.int32)),
+                    pa.array(np.concatenate([cell, own_cell]).astype(np.int64)),
+                    pa.array(np.concatenate([np.zeros(len(row), bool), np.ones(len(at), bool)])),
+                    pa.array(np.concatenate([f[row], f[own]])),
+                    pa.array(np.concatenate([n[row], n[own]])),
                 ],
-                ["anchor", "salt", "home", "fp", "node"],
+                ["anchor", "cell", "home", "fp", "node"],
             )
 
 
@@ -171,29 +190,33 @@ def forest(h_fp: np.ndarray, h_node: np.ndarray, m_fp: np.ndarray, m_node: np.nd
 
 
 def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Links within each (anchor, salt); the rows come sorted by these."""
+    """Links within each (anchor, cell); the rows come sorted by these."""
+
+    def starts(b: pa.Table | pa.RecordBatch) -> np.ndarray:
+        anchor, cell = b.column(0).to_numpy(), b.column(1).to_numpy()
+        return np.nonzero((np.diff(anchor) != 0) | (np.diff(cell) != 0))[0] + 1
 
     def links(t: pa.Table) -> pa.RecordBatch:
-        key = t.column("anchor").to_numpy().astype(np.int64) << 20 | t.column("salt").to_numpy()
         home, fp, node = (t.column(c).to_numpy() for c in ("home", "fp", "node"))
         fp, found = fp.view(np.uint64), []
-        ends = [0, *(np.nonzero(np.diff(key))[0] + 1), len(key)]
+        ends = [0, *starts(t), t.num_rows]
         for i, j in zip(ends, ends[1:], strict=False):
             is_home = home[i:j]
             if is_home.any() and not is_home.all():
                 found += forest(fp[i:j][is_home], node[i:j][is_home], fp[i:j][~is_home], node[i:j][~is_home], bits)
         return pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
+    def key(b: pa.RecordBatch, i: int) -> tuple[int, int]:
+        return b.column(0)[i].as_py(), b.column(1)[i].as_py()
+
     held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        key = b.column(0).to_numpy().astype(np.int64) << 20 | b.column(1).to_numpy()
-        last = int(np.searchsorted(key, key[-1]))
-        first = held and (held[0].column(0)[0].as_py() << 20 | held[0].column(1)[0].as_py())
-        if held and first == key[-1]:
+        if held and key(held[0], 0) == key(b, b.num_rows - 1):
             held.append(b)
             continue
+        last = int([0, *starts(b)][-1])
         held.append(b.slice(0, last))
         yield links(pa.Table.from_batches(held))
         held = [b.slice(last)]
@@ -201,37 +224,52 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         yield links(pa.Table.from_batches(held))
 
 
-def _homes(batches: Iterator[pa.RecordBatch], code: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The home anchor of each fingerprint."""
+def _reached(batches: Iterator[pa.RecordBatch], code: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """anchor, members, homes: how many fingerprints of a batch reach it, and how many are at home there."""
     for b in batches:
-        fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for i in range(0, len(fps), 1024):
-            f = fps[i : i + 1024]
-            if len(code) == 1:
-                home = np.bitwise_count(f[:, None] ^ code[0][None, :]).argmin(axis=1)
-            else:
-                home = np.bitwise_count((f >> np.uint64(32))[:, None] ^ code[0][None, :]).argmin(axis=1) * len(code[1]) + np.bitwise_count((f & np.uint64(2**32 - 1))[:, None] ^ code[1][None, :]).argmin(axis=1)
-            yield pa.record_batch([pa.array(home.astype(np.int32))], ["anchor"])
+        fps, met = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), [[], []]
+        for i in range(0, len(fps), 128):
+            _, anchor, home = within_reach(fps[i : i + 128], code, bits)
+            met[0].append(anchor)
+            met[1].append(home)
+        (reached, members), (at, homes) = (np.unique(np.concatenate(x) if x else np.zeros(0, np.int64), return_counts=True) for x in met)
+        # every home is reached by its own fingerprints
+        own = np.zeros(len(reached), np.int64)
+        own[np.searchsorted(reached, at)] = homes
+        yield pa.record_batch([pa.array(reached.astype(np.int32)), pa.array(members.astype(np.int64)), pa.array(own)], ["anchor", "members", "homes"])
 
 
-def links(known: DataFrame, bits: int, per_anchor: int, salts: int, crowded: int) -> DataFrame:
+def links(known: DataFrame, bits: int, per_anchor: int, crowded: int) -> DataFrame:
     """Pairs (a, b) of nodes that join what all pairs of known(fp, node) at most `bits` apart join.
 
-    An anchor's members are dealt over `salts` tasks, and over as many more as
-    it is home to `crowded` fingerprints: a cluster of like texts crowds few
-    anchors. At most one anchor in `crowded` fingerprints is listed on the
-    driver.
+    What each anchor holds is counted first. Fingerprints aren't copied to an
+    anchor that is home to none, where they could meet nobody. An anchor with
+    more than `crowded` homes or members deals both in groups of about that
+    many; each group of homes meets each group of members in a cell of its own,
+    so that no task holds more than two groups at once, however large a cluster
+    of like texts is. Told to every task: the homes as a bit field of at most 32
+    MB (2**28 anchors), and the crowded anchors, of which there is at most one
+    in `crowded` copies.
     """
     n = known.count()
     code = covering_code(min(28, max(4, (max(1, n) // per_anchor).bit_length())))
-    parts = max(common.partitions(known.sparkSession), 1)
-    full = known.select("fp").mapInArrow(common.lean(lambda batches: _homes(batches, code)), "anchor int").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= crowded).collect()
-    dealt = {r["anchor"]: salts * (1 + r["n"] // crowded) for r in full}
-    met = known.repartition(parts).mapInArrow(common.lean(lambda batches: _meet(batches, code, bits, salts, dealt)), "anchor int, salt int, home boolean, fp long, node long")
-    return met.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(common.lean(lambda batches: _compare(batches, bits)), "a long, b long")
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, seed: int = 42, per_anchor: int = 16, salts: int = 4, crowded: int = 2**13) -> DataFrame:
+    spark = known.sparkSession
+    parts = max(common.partitions(spark), 1)
+    known = known.repartition(parts)
+    counted = known.mapInArrow(common.lean(lambda batches: _reached(batches, code, bits)), "anchor int, members long, homes long")
+    held = common.cut(counted.groupBy("anchor").agg(F.sum("members").alias("members"), F.sum("homes").alias("homes")).filter("homes > 0"))
+    homes_at = np.zeros(max(4096, -(-int(np.prod([len(x) for x in code])) // 8)), np.uint8)
+    for r in held.groupBy(F.bitmap_bucket_number(F.col("anchor") + 1).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("anchor") + 1)).alias("bits")).toLocalIterator():
+        homes_at[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    full = held.filter((F.col("members") > crowded) | (F.col("homes") > crowded)).orderBy("anchor").toArrow()
+    anchor, members, homes = (full.column(c).to_numpy().astype(np.int64) for c in ("anchor", "members", "homes"))
+    sent = spark.sparkContext.broadcast((homes_at, anchor, -(-homes // crowded), -(-members // crowded)))
+    common.discard(held)
+    met = known.mapInArrow(common.lean(lambda batches: _meet(batches, code, bits, sent)), "anchor int, cell long, home boolean, fp long, node long")
+    return met.repartition(parts, "anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(common.lean(lambda batches: _compare(batches, bits)), "a long, b long")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, seed: int = 42, per_anchor: int = 16, crowded: int = 7 * 2**10) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id for every row of docs.
 
     Fingerprints at most `bits` apart are linked; component_id is the smallest
@@ -240,17 +278,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document for each fingerprint they have; rows whose id is null take the
     component of their fingerprint, null if it has no other row. Other columns
     are ignored. per_anchor: about as many distinct fingerprints as anchors are
-    made for, up to 2**28 anchors; salts, crowded: see links.
+    made for, up to 2**28 anchors; crowded: see links.
     """
     rows = common.cut(fingerprints(docs, id_col, text_col, words, seed))
     known = common.cut(rows.groupBy("fp").agg(F.min("id").alias("node")))
-    found = links(known.filter("node is not null"), bits, per_anchor, salts, crowded)
+    found = links(known.filter("node is not null"), bits, per_anchor, crowded)
     found = known.join(components(found), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     told = common.look_up(rows, found, ["fp"], "id")
     return told.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 3, seed: int = 42, per_anchor: int = 16, salts: int = 4, crowded: int = 2**13, one_in: int = 4, listed: int = 2**20) -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 3, seed: int = 42, per_anchor: int = 16, crowded: int = 7 * 2**10, one_in: int = 4, listed: int = 2**20) -> DataFrame:
     """docs without all but one row of each group that alike texts link: that of the smallest id stays (null last), in the columns they had.
 
     Texts are alike if the Jaccard similarity of their shingles of `words`
@@ -262,15 +300,15 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Of rows that agree in id and text one stays. Other columns don't count; an
     empty table gives an empty one.
     """
-    return common.carrying(docs, [id_col, text_col], lambda own: _drop_near(own, id_col, text_col, words, bits, seed, per_anchor, salts, crowded, one_in, listed))
+    return common.carrying(docs, [id_col, text_col], lambda own: _drop_near(own, id_col, text_col, words, bits, seed, per_anchor, crowded, one_in, listed))
 
 
-def _drop_near(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, seed: int, per_anchor: int, salts: int, crowded: int, one_in: int, listed: int) -> DataFrame:
+def _drop_near(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, seed: int, per_anchor: int, crowded: int, one_in: int, listed: int) -> DataFrame:
     rows = common.cut(docs.withColumn("__node", F.monotonically_increasing_id()))
     texts = rows.select(F.col("__node").alias("node"), F.col(text_col).cast("binary").alias("text"))
     fps = common.cut(fingerprints(texts, "node", "text", words, seed))
     known = common.cut(fps.groupBy("fp").agg(F.min("id").alias("node")))
-    joined = known.join(components(links(known, bits, per_anchor, salts, crowded)), "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    joined = known.join(components(links(known, bits, per_anchor, crowded)), "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     # a pair for each text at most: each with the least one of those that fingerprints join it to
     close = common.look_up(fps, joined, ["fp"], "id").filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
     close = near_jaccard.verified(close, texts, words)

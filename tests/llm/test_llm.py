@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -123,6 +124,37 @@ def test_simhash(docs, rows, empty):
     assert simhash_anchor.near_groups(empty).count() == 0
 
 
+def told(fps, code, dealt):
+    """What _meet is told: which anchors are homes, and the groups of homes and members of some."""
+    homes = np.zeros(2**12 * 8, bool)
+    homes[simhash_anchor.within_reach(fps, code, 3)[2]] = True
+    at = sorted(dealt)
+    return SimpleNamespace(value=(np.packbits(homes, bitorder="little"), np.array(at, np.int64), np.array([dealt[a][0] for a in at]), np.array([dealt[a][1] for a in at])))
+
+
+def test_no_cell_of_a_cluster_grows():
+    """A cluster's homes and members are both dealt, copies go to homes only, and every home still meets every member once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 7)), replace=False)) for _ in range(6000)], np.uint64)
+    fps = np.unique(np.uint64(0x0123456789ABCDEF) ^ flips)
+    code, crowded = [simhash_anchor.anchors(8)], 200
+    batch = pa.record_batch([pa.array(fps.view(np.int64)), pa.array(np.arange(len(fps)) * 20)], ["fp", "node"])
+    held = pa.Table.from_batches(list(simhash_anchor._reached(iter([batch]), code, 3))).to_pylist()
+    assert sum(r["homes"] for r in held) == len(fps) and max(r["homes"] for r in held) > 2 * crowded
+    dealt = {r["anchor"]: (-(-r["homes"] // crowded), -(-r["members"] // crowded)) for r in held if r["homes"]}
+    met = pa.Table.from_batches(list(simhash_anchor._meet(iter([batch]), code, 3, told(fps, code, dealt)))).to_pandas()
+    assert set(met.anchor) == set(dealt)
+    assert met.groupby(["anchor", "cell"]).size().max() < 2.6 * crowded
+    for anchor, rows in met.groupby("anchor"):
+        pairs = [(h, m) for _, cell in rows.groupby("cell") for h in cell.node[cell.home] for m in cell.node[~cell.home]][:200_000]
+        assert len(pairs) == len(set(pairs))
+        home, member = rows.node[rows.home].nunique(), rows.node[~rows.home].nunique()
+        both = rows.groupby(["cell", "home"]).size().unstack(fill_value=0)
+        assert (both[True] * both[False]).sum() == home * member
+
+
 @pytest.mark.parametrize("code", [[simhash_anchor.anchors(7)], [simhash_anchor.anchors(4, 7, 32), simhash_anchor.anchors(4, 8, 32)]])
 def test_anchors_lose_no_link(code):
     rng = np.random.default_rng(1)
@@ -138,7 +170,7 @@ def test_anchors_lose_no_link(code):
     import pyarrow as pa
 
     batch = pa.record_batch([pa.array(fps.view(np.int64)), pa.array(np.arange(len(fps)))], ["fp", "node"])
-    met = pa.Table.from_batches(list(simhash_anchor._meet(iter([batch]), code, 3, 2, {0: 5, 3: 7}))).sort_by([("anchor", "ascending"), ("salt", "ascending")])
+    met = pa.Table.from_batches(list(simhash_anchor._meet(iter([batch]), code, 3, told(fps, code, {0: (2, 5), 3: (3, 7)})))).sort_by([("anchor", "ascending"), ("cell", "ascending")])
     links = pa.Table.from_batches(list(simhash_anchor._compare(iter(met.to_batches(max_chunksize=50)), 3)))
     parent = list(range(len(fps)))
 
