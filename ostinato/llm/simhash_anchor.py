@@ -224,19 +224,36 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         yield links(pa.Table.from_batches(held))
 
 
-def _reached(batches: Iterator[pa.RecordBatch], code: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """anchor, members, homes: how many fingerprints of a batch reach it, and how many are at home there."""
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (anchor, members, homes) with one row an anchor."""
+    rows = np.concatenate(parts, axis=1)
+    anchor, at = np.unique(rows[0], return_inverse=True)
+    members, homes = np.zeros_like(anchor), np.zeros_like(anchor)
+    np.add.at(members, at, rows[1])
+    np.add.at(homes, at, rows[2])
+    return np.stack([anchor, members, homes])
+
+
+def _reached(batches: Iterator[pa.RecordBatch], code: list[np.ndarray], bits: int, most: int = 2**18) -> Iterator[pa.RecordBatch]:
+    """anchor, members, homes: how many of a task's fingerprints reach it, and how many are at home there.
+
+    Counts are summed within the task, and sent on when those of `most` anchors are held.
+    """
+    held, rows = [np.zeros((3, 0), np.int64)], 0
+    out = lambda x: pa.record_batch([pa.array(x[0].astype(np.int32)), pa.array(x[1]), pa.array(x[2])], ["anchor", "members", "homes"])
     for b in batches:
-        fps, met = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), [[], []]
+        fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         for i in range(0, len(fps), 128):
-            _, anchor, home = within_reach(fps[i : i + 128], code, bits)
-            met[0].append(anchor)
-            met[1].append(home)
-        (reached, members), (at, homes) = (np.unique(np.concatenate(x) if x else np.zeros(0, np.int64), return_counts=True) for x in met)
-        # every home is reached by its own fingerprints
-        own = np.zeros(len(reached), np.int64)
-        own[np.searchsorted(reached, at)] = homes
-        yield pa.record_batch([pa.array(reached.astype(np.int32)), pa.array(members.astype(np.int64)), pa.array(own)], ["anchor", "members", "homes"])
+            row, anchor, home = within_reach(fps[i : i + 128], code, bits)
+            held.append(np.stack([anchor, np.ones_like(anchor), home[row] == anchor]).astype(np.int64))
+            rows += len(anchor)
+            if rows > most:
+                held = [_summed(held)]
+                rows = held[0].shape[1]
+                if rows > most // 2:
+                    yield out(held[0])
+                    held, rows = [np.zeros((3, 0), np.int64)], 0
+    yield out(_summed(held))
 
 
 def links(known: DataFrame, bits: int, per_anchor: int, crowded: int) -> DataFrame:
