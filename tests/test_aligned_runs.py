@@ -47,6 +47,29 @@ def test_runs_against_all_offsets(spark, step, overlap, threshold, head):
     assert {r.recording: (r.run, round(r.mean, 9), r.off) for r in found.collect()} == _brute(frames, asked, threshold, step, overlap)
 
 
+@pytest.mark.parametrize(("step", "band", "block"), [(1, 4, 8), (1, 64, 16), (2, 3, 7)])
+def test_runs_go_on_from_block_to_block(spark, step, band, block):
+    rng = random.Random(block)
+    song = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(40)]
+    frames = [(r, f, song[(f + 3 * r) % 40] if f % 23 else [rng.gauss(0, 1) for _ in range(4)]) for r in range(3) for f in range(60) if f != 31]
+    asked = [(0, i, song[i]) for i in range(40)] + [(1, i, song[i + 5]) for i in range(20)]
+    f = spark.createDataFrame(frames, "recording int, frame int, v array<double>")
+    q = spark.createDataFrame(asked, "variant int, i int, qv array<double>")
+    found = {(r.variant, r.recording): (r.run, round(r.mean, 9), r.off) for r in similar.variant_runs(f, q, 0.4, step, 1, band, block).collect()}
+    for k in (0, 1):
+        wanted = _brute(frames, [(i, v) for x, i, v in asked if x == k], 0.4, step, 1)
+        assert {r: x for (v, r), x in found.items() if v == k} == wanted
+
+
+def test_pairs_of_frames_make_no_rows(spark):
+    """A row a pair of frames, which was made before, is the square of their number."""
+    frames = [(r, f, [1.0, float(f % 3), float(f % 5)]) for r in range(2) for f in range(60)]
+    f = spark.createDataFrame(frames, "recording int, frame int, v array<double>")
+    q = f.filter("recording = 0").select(F.col("frame").alias("i"), F.col("v").alias("qv"))
+    plan = similar.sustained_runs(f, q, 0.2, 1, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 @pytest.mark.parametrize("block", [1, 3, 256])
 def test_windows_in_blocks(spark, block):
     rng = random.Random(block)
