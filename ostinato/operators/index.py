@@ -103,12 +103,10 @@ def match_by_vectors(library_halves: DataFrame, query_halves: DataFrame, library
     runs = {}
     for name, rows in library_frames.items():
         kept = rows.join(F.broadcast(near.select(F.col("track").alias("recording"))), "recording", "left_semi")
-        best = None
-        for i in range(match.RATIOS["drift"][2]):
-            tempo = match.RATIOS["drift"][0] + i * match.RATIOS["drift"][1]
-            asked = query_frames[name].select((F.col("i") * tempo).cast("int").alias("i"), "qv").dropDuplicates(["i"])
-            one = similar.sustained_runs(kept, asked, thresholds[name], step, overlap)
-            best = one if best is None else best.unionByName(one)
+        # of frames that fall on one place at a tempo the first counts
+        tempos = query_frames[name].withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(match.RATIOS["drift"][2] - 1))))
+        asked = tempos.groupBy("variant", (F.col("i") * match.ratio("drift", F.col("variant"))).cast("int").alias("at")).agg(F.min_by("qv", "i").alias("qv"))
+        best = similar.variant_runs(kept, asked.withColumnRenamed("at", "i"), thresholds[name], step, overlap)
         runs[name] = best.groupBy("recording").agg(F.max_by(F.struct("run", "mean"), F.struct("run", "mean")).alias("b")).select("recording", "b.run", "b.mean")
     found = similar.rerank(near, runs).filter("score > 0").limit(1)
     return found.select("track", F.col("sim").alias("confidence"), F.col("score").alias("run"), F.lit(0).alias("match_count"), F.lit(0).alias("track_start"))
