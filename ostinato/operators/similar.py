@@ -34,21 +34,39 @@ def _dense(vectors) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def windowed(library: DataFrame, windows: DataFrame, block: int = 256) -> DataFrame:
+def _greatest(key: tuple, both: pa.Table) -> pa.Table:
+    """Each track's largest product with a block of windows, which have no id."""
+    tracks, windows = both.filter(pc.is_valid(both["at"])), both.filter(pc.is_null(both["at"]))
+    if not tracks.num_rows or not windows.num_rows:
+        return pa.table({"at": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    u, q = _dense(tracks["u"]), _dense(windows["u"]).T
+    best = [(u[k : k + 256] @ q).max(axis=1) for k in range(0, len(u), 256)]
+    return pa.table({"at": tracks["at"].combine_chunks(), "score": pa.array(np.concatenate(best))})
+
+
+def windowed(library: DataFrame, windows: DataFrame, block: int = 4096) -> DataFrame:
     """Per track the largest cosine over the query's windows, null where no vector has a length.
 
-    Windows come in blocks, so that a track meets a row for each `block` of
-    them, not for each; vectors are brought to length one once, before they
-    meet. Only a row a track and block leaves a task.
+    Tracks and windows are dealt to blocks, and each pair of blocks meets once
+    as a product of matrices: all is looked at, a row a track and block leaves
+    it. Vectors are brought to length one before they meet, those of different
+    sizes don't meet.
     """
-    long = windows.filter(V.norm(F.col("q")) > 0).select(V.unit(F.col("q")).alias("q"))
-    blocks = -(-long.count() // block)
-    if not blocks:
+    rows = library.select("track", F.col("v").alias("u"), F.xxhash64("track", "v").alias("at"))
+    own = rows.filter(V.norm(F.col("u")) > 0).select("at", V.unit(F.col("u")).alias("u")).withColumn("dim", F.size("u"))
+    long = windows.filter(V.norm(F.col("q")) > 0).select(V.unit(F.col("q")).alias("u")).withColumn("dim", F.size("u"))
+    of_windows, of_tracks = -(-long.count() // block), -(-own.count() // block)
+    if not of_windows or not of_tracks:
         return library.select("track", F.lit(None).cast("double").alias("score")).distinct()
-    dealt = long.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list("q").alias("qs"))
-    rows = library.withColumn("length", V.norm(F.col("v"))).select("track", F.when(F.col("length") > 0, V.unit(F.col("v"))).alias("u"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    best = F.aggregate("qs", F.lit(None).cast("double"), lambda s, q: F.greatest(s, V.dot(F.col("u"), q)))
-    return rows.join(dealt, "block").groupBy("track").agg(F.max(best).alias("score"))
+
+    def dealt(df: DataFrame, c: str, side: str, blocks: int, other: str, others: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+        return df.select("*", F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias(side), every)
+
+    left = dealt(own.dropDuplicates(["at"]), "at", "g", of_tracks, "h", of_windows).select("at", "dim", "g", "h", "u")
+    right = dealt(long, "u", "h", of_windows, "g", of_tracks).select(F.lit(None).cast("long").alias("at"), "dim", "g", "h", "u")
+    best = left.unionAll(right).groupBy("dim", "g", "h").applyInArrow(_greatest, "at long, score double").groupBy("at").agg(F.max("score").alias("score"))
+    return rows.join(best, "at", "left").groupBy("track").agg(F.max("score").alias("score"))
 
 
 def sustained_runs(frames: DataFrame, asked: DataFrame, threshold: float, step: int = 15, overlap: int = 30, band: int = 256, block: int = 8192) -> DataFrame:

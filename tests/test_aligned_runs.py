@@ -68,6 +68,9 @@ def test_pairs_of_frames_make_no_rows(spark):
     q = f.filter("recording = 0").select(F.col("frame").alias("i"), F.col("v").alias("qv"))
     plan = similar.sustained_runs(f, q, 0.2, 1, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+    library, windows = f.select(F.col("frame").alias("track"), "v"), q.select(F.col("qv").alias("q"))
+    plan = similar.windowed(library, windows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapGroupsInArrow" in plan
 
 
 @pytest.mark.parametrize("block", [1, 3, 256])
