@@ -9,17 +9,31 @@ from pyspark.sql import functions as F
 def overlaps(df: DataFrame, group: str, key: str, slot: int = 60_000) -> DataFrame:
     """(group, a, b) of different entries that overlap, both ways.
 
-    Entries meet by the time slots that they touch, so that a group's entries
-    far from each other are never compared; a pair counts in the later start's
-    slot only. An entry without duration touches no other's inside unless it
-    lies within it.
+    Entries have a level by their duration, whose slots are at least as long as
+    they are: each touches two slots at most, however long it is. An entry meets
+    those of its own level or a longer one where it starts or ends, so that a
+    group's entries far from each other are never compared; a pair counts in
+    the later start's slot only, at the longer one's level. An entry without
+    duration touches no other's inside unless it lies within it.
     """
-    spread = df.select(group, F.col(key).alias("a"), F.col("start").alias("s"), (F.col("start") + F.col("duration")).alias("e"))
-    touched = F.explode(F.sequence(F.floor(F.col("s") / slot), F.floor(F.greatest(F.col("e"), F.col("s")) / slot)))
-    left = spread.withColumn("slot", touched)
-    right = left.select(group, "slot", F.col("a").alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    met = left.join(right, [group, "slot"]).filter((F.col("a") != F.col("b")) & (F.col("s") < F.col("e2")) & (F.col("e") > F.col("s2")))
-    return met.filter(F.col("slot") == F.floor(F.greatest("s", "s2") / slot)).select(group, "a", "b")
+    end = F.greatest(F.col("start") + F.col("duration"), F.col("start"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((end - F.col("start")) / slot, F.lit(1.0))))).cast("int")
+    spread = df.filter(F.col("start").isNotNull() & F.col("duration").isNotNull()).select(group, F.col(key).alias("a"), F.col("start").alias("s"), (F.col("start") + F.col("duration")).alias("e"), level.alias("level"))
+
+    def touching(rows: DataFrame, at: str) -> DataFrame:
+        length = F.lit(float(slot)) * F.pow(F.lit(2.0), F.col(at))
+        return rows.withColumn("slot", F.explode(F.sequence(F.floor(F.col("s") / length), F.floor(F.greatest("e", "s") / length))))
+
+    own = touching(spread, "level")
+    # the levels that a group has, of which there are as many as doublings of its longest entry
+    levels = spread.select(F.col(group).alias("of"), F.col("level").alias("at")).distinct()
+    left = touching(spread.join(levels, (F.col(group) == F.col("of")) & (F.col("level") <= F.col("at"))).drop("of"), "at")
+    right = own.select(F.col(group).alias("of"), F.col("level").alias("at"), "slot", F.col("a").alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    met = left.join(right.withColumnRenamed("of", group), [group, "at", "slot"]).filter((F.col("a") != F.col("b")) & (F.col("s") < F.col("e2")) & (F.col("e") > F.col("s2")))
+    met = met.filter(F.col("slot") == F.floor(F.greatest("s", "s2") / (F.lit(float(slot)) * F.pow(F.lit(2.0), F.col("at")))))
+    # a pair of one level meets both ways, one of two levels as the shorter and the longer
+    ways = F.explode(F.when(F.col("level") == F.col("at"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    return met.select(group, ways.alias("p")).select(group, "p.a", "p.b")
 
 
 def _order(group: str, key: str):

@@ -249,3 +249,16 @@ def test_index_from_files_to_cue_sheet(spark, tmp_path):
     assert own.stats().first().fingerprints > 0
     own.clear()
     assert own.stats().first().fingerprints == 0
+
+
+def test_long_entries_touch_few_slots(spark):
+    """Entries as long as thousands of slots: before, each stood in every slot that it touched."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(k % 3, k, rng.randrange(10**9), rng.choice([0, 1, 59_999, 10**5, 10**7, 5 * 10**8])) for k in range(150)]
+    df = spark.createDataFrame(rows, "g int, k int, start long, duration long")
+    wanted = sorted((g, a, b) for g, a, s, d in rows for h, b, t, e in rows if g == h and a != b and s < t + e and s + d > t)
+    assert sorted(map(tuple, intervals.overlaps(df, "g", "k").collect())) == wanted
+    longest = [r[0] for r in intervals.overlaps(df.filter("duration > 1e8").withColumn("start", df.start + 10**12), "g", "k", 1).limit(1).collect()]
+    assert longest
