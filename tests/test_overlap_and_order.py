@@ -30,6 +30,21 @@ def test_overlap_join_against_all_pairs(spark, left, right, least):
     assert sorted(map(tuple, overlap.first_sharing_one(a, b, 2).collect())) == first
 
 
+def test_equal_sets_meet_once(spark):
+    """A thousand copies of two sets: before, each pair of rows with a word in their prefixes met."""
+    from pyspark.sql.observation import Observation
+
+    rows = spark.range(1000).select("id", F.array(F.lit("x"), F.lit("y"), F.when(F.col("id") % 2 == 0, "p").otherwise("q"), F.concat(F.lit("only"), "id")).alias("tokens"))
+    a, b = rows.filter("id < 500"), rows.filter("id >= 500")
+    found = overlap.join(a, b, 3)
+    told = Observation()
+    assert found.observe(told, F.count(F.lit(1)).alias("n"), F.max("shared").alias("top")).filter("a % 2 <> b % 2").count() == 0
+    assert told.get == {"n": 2 * 250 * 250, "top": 3}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    last = plan.split("Join")[0]
+    assert "Repartition" in last and last.count("explode") == 2
+
+
 def test_a_word_of_all_rows_pairs_none_of_them(spark):
     """Every set holds one common word: it stands in no prefix, so that as many rows meet as share another."""
     rows = spark.range(600).select("id", F.array(F.lit("common"), F.concat(F.lit("w"), F.col("id") % 300), F.concat(F.lit("only"), "id")).alias("tokens"))
