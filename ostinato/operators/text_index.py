@@ -13,7 +13,7 @@ from __future__ import annotations
 import uuid
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import snapshots
@@ -44,9 +44,10 @@ class TextIndex:
     def _write(self, rows: DataFrame) -> tuple:
         """A segment of (id, field, position, term)."""
         name = f"segment-{uuid.uuid4().hex}"
-        size = rows.groupBy("id").agg(F.count(F.lit(1)).alias("len"))
+        # a row's length is told beside its words: a join with all lengths would be broadcast through the driver
+        sized = rows.withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("id")))
         block = F.floor(F.col("id") / self.span).cast("long")
-        tf = rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.collect_list(F.struct("field", "position")).alias("at")).join(size, "id").withColumn("block", block)
+        tf = sized.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.collect_list(F.struct("field", "position")).alias("at"), F.first("len").alias("len")).withColumn("block", block)
         # a block holds at most `span` rows of a word, however common that is
         made = tf.groupBy("term", "block").agg(
             F.count(F.lit(1)).alias("n"),

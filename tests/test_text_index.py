@@ -105,3 +105,16 @@ def test_second_writer_of_one_state_is_refused(spark, tmp_path):
     assert two.read("t").count() == 3
     two.write("t", spark.range(4))
     assert one.read("t").count() == 4
+
+
+def test_writing_joins_nothing(spark, tmp_path, monkeypatch):
+    """Lengths of all rows, joined to their words, were broadcast through the driver."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()), write(self, *a, **k))[1])
+    rows = spark.createDataFrame([(1, "red widget"), (2, "red red"), (3, "blue")], "id long, title string")
+    index = text_index.TextIndex(spark, str(tmp_path / "words"))
+    index.append(rows, "id", ["title"])
+    assert any("max_tf" in p for p in plans) and not any("Join" in p for p in plans if "max_tf" in p)
+    assert [r.id for r in index.search("red widget").collect()] == [1]
