@@ -98,6 +98,24 @@ def test_most_similar_names_against_all_pairs(spark, first):
     assert found == {i: b for i, n in asked.items() if (b := _brute_check(n, known)) is not None}
 
 
+def test_crowded_sets_meet_as_blocks(spark):
+    """Names of few words: pairs are no rows before their letters are held against what a neighbour reaches; same result as all pairs."""
+    from pyspark.sql.observation import Observation
+
+    rng = random.Random(6)
+    names = [f"brand {rng.randrange(9)}   {rng.choice(['large', 'small'])} {rng.choice(['ring', 'bolt'])} {i}" + "\u00e9" * (i % 50 == 0) * 20 for i in range(1000, 1400)]
+    known, asked = {i: n for i, n in enumerate(names) if i % 4}, {i: n for i, n in enumerate(names) if i % 4 == 0}
+    frame = lambda x: spark.createDataFrame(list(x.items()), "id int, name string").withColumn("tokens", T.tokens(F.col("name")))
+    a, b = frame(asked), frame(known)
+    for few in (0, 10**9):
+        found = {r.a: r.b for r in dedup.most_similar(a, b, 0.8, 50, 3, few).collect()}
+        assert found == {i: x for i, n in asked.items() if (x := _brute_check(n, known)) is not None}
+    told = dedup._told_least(a, b, 0.8)
+    seen = Observation()
+    dedup._near_pairs(a, b, told, 0).observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] < overlap.join(a, b, 2).count() / 4
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1000])
 def test_total_orders(spark, n):
     rng = random.Random(n)
