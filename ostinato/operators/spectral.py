@@ -4,8 +4,8 @@ A spectrum has a row a bin: (key, frame, bin, magnitude). Linear maps of a
 spectrum (mel bands, cosine transform, pitch classes, constant-Q) are small
 tables (bin, out, weight) that its rows are joined with and summed by; their
 size follows the transform's size, not the data. Only the Fourier transform of a
-frame, the beat path of one recording and the recursive filter of one chunk are
-small functions of arrays.
+frame, the correlations of the frames around one, the beat path of one recording
+and the recursive filter of one chunk are small functions of arrays.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -232,23 +234,38 @@ def tempo(strength: DataFrame, key: str, rate: int, hop: int = 512, near: float
     return best.filter("b.__w > 0").select(key, (-F.col("b.less")).alias("lag"), (F.lit(per_minute) / -F.col("b.less")).alias("tempo"))
 
 
+def _window_correlations(key: str, width: int):
+    """A function of batches (key, frame, __at, __x), each row with the frames around it and their strengths: (key, frame, values) by lag."""
+    half = width // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                b = whole.slice(first, 1024)
+                n, frame, at = b.num_rows, b.column("frame").to_numpy(zero_copy_only=False), b.column("__at")
+                row = np.repeat(np.arange(n), pc.list_value_length(at).to_numpy(zero_copy_only=False))
+                x = np.zeros((n, width))
+                x[row, at.flatten().to_numpy(zero_copy_only=False) - frame[row] + half] = b.column("__x").flatten().to_numpy(zero_copy_only=False)
+                sums = np.stack([np.einsum("ij,ij->i", x[:, : width - lag], x[:, lag:]) for lag in range(width)], axis=1)
+                values = np.divide(sums, sums[:, :1], out=np.zeros_like(sums), where=sums[:, :1] > 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(values.ravel()))
+                yield pa.record_batch([b.column(key), b.column("frame"), lists], [key, "frame", "values"])
+
+    return run
+
+
 def tempogram(strength: DataFrame, key: str, width: int = 384) -> DataFrame:
-    """(key, frame, lag, value): autocorrelation within the `width` frames around each, by that of lag 0; 0 where that is 0."""
+    """(key, frame, lag, value): autocorrelation within the `width` frames around each, by that of lag 0; 0 where that is 0.
+
+    Frames meet those around them once, by a window of the recording; lags
+    become rows at last and aren't shuffled. A null strength counts as 0.
+    """
     half = width // 2
-    pairs = lag_products(strength, key, width)
-    frames = strength.select(key, "frame")
-    # a frame's window holds the pairs that begin at -half or later and end before +half
-    over = Window.partitionBy(key, "lag").orderBy("frame")
-    spread = frames.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).join(pairs, [key, "frame", "lag"], "left")
-    running = spread.withColumn("__run", F.sum(F.coalesce("product", F.lit(0.0))).over(over.rowsBetween(Window.unboundedPreceding, 0))).select(key, "lag", "frame", "__run")
-    last = strength.groupBy(key).agg(F.max("frame").alias("__last"))
-    asked = running.select(key, "lag", "frame").join(last, key).withColumn("__to", F.least(F.col("frame") + half - 1 - F.col("lag"), F.col("__last"))).withColumn("__from", F.col("frame") - half - 1)
-    at = lambda c, name: running.select(key, "lag", F.col("frame").alias(c), F.col("__run").alias(name))
-    held = asked.join(at("__to", "__upper"), [key, "lag", "__to"], "left").join(at("__from", "__lower"), [key, "lag", "__from"], "left")
-    inside = F.when(F.col("__to") >= F.greatest(F.col("__from") + 1, F.lit(0)), F.coalesce("__upper", F.lit(0.0)) - F.coalesce("__lower", F.lit(0.0))).otherwise(0.0)
-    own = held.select(key, "frame", "lag", inside.alias("__sum"))
-    zero = own.filter("lag = 0").select(key, "frame", F.col("__sum").alias("__zero"))
-    return own.join(zero, [key, "frame"]).select(key, "frame", "lag", F.when(F.col("__zero") > 0, F.col("__sum") / F.col("__zero")).otherwise(0.0).alias("value"))
+    around = Window.partitionBy(key).orderBy("frame").rangeBetween(-half, half - 1)
+    held = strength.select(key, "frame", F.collect_list("frame").over(around).alias("__at"), F.collect_list(F.coalesce("strength", F.lit(0.0))).over(around).alias("__x"))
+    kinds = {c: strength.schema[c].dataType.simpleString() for c in (key, "frame")}
+    told = held.mapInArrow(_window_correlations(key, width), f"`{key}` {kinds[key]}, frame {kinds['frame']}, values array<double>")
+    return told.select(key, "frame", F.posexplode("values").alias("lag", "value"))
 
 
 def beat_path(strength: np.ndarray, period: int, tightness: float = 100.0) -> list[int]:

@@ -120,6 +120,16 @@ def test_tempogram_by_hand(spark):
     assert all(found[2, f, lag] == 0.0 for f in range(3) for lag in range(4))
 
 
+def test_tempogram_shuffles_frames_once(spark):
+    """Lags become rows after the one shuffle by recording; before, rows of all lags were joined four times. Frames that lack count as 0."""
+    rows = spark.createDataFrame([(1, i, float(i)) for i in (0, 1, 2, 5, 6)], "recording int, frame long, strength double")
+    found = spectral.tempogram(rows, "recording", 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    told = {(r.frame, r.lag): r.value for r in found.collect()}
+    assert told[2, 1] == 2 / 5 and told[5, 1] == 30 / 61 and told[5, 3] == 0.0 and len(told) == 20
+
+
 def test_each_note_peaks_in_its_own_bin(spark):
     notes = [0, 7, 19, 31, 48, 60, 83]
     t = np.arange(RATE) / RATE
