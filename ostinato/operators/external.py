@@ -25,12 +25,15 @@ def linked(entries: DataFrame, first_id: int = 1) -> DataFrame:
     """(list_id, id, track_id, next_id) of (list_id, track_id, position): ids in writing order, last entry first; 0 ends a list."""
     back = Window.partitionBy("list_id").orderBy(F.desc("position"))
     lists = entries.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
-    before = steps.running_totals(lists, ["list_id"], F.col("n"), "before").select("list_id", "before")
+    before = steps.running_totals(lists, ["list_id"], F.col("n"), "before", entries.count()).select("list_id", "before")
     placed = entries.join(before, "list_id").withColumn("id", F.lit(first_id) + F.col("before") + F.row_number().over(back) - 1)
     return placed.withColumn("next_id", F.coalesce(F.lag("id").over(back), F.lit(0).cast("long"))).select("list_id", "id", "track_id", "next_id", "position")
 
 
 def verify(links: DataFrame) -> DataFrame:
-    """Per list: entries, tails (must be one) and dangling links (must be none)."""
-    ids = links.select("list_id", F.col("id").alias("next_id"), F.lit(True).alias("there"))
-    return links.join(ids, ["list_id", "next_id"], "left").groupBy("list_id").agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("next_id") == 0).alias("tails"), F.count_if((F.col("next_id") != 0) & F.col("there").isNull()).alias("dangling"))
+    """Per list: entries, tails (must be one) and dangling links (must be none). Ids are unique; they meet within their list, without a join."""
+    side = lambda c, own: F.struct(F.col(c).cast("long").alias("x"), F.lit(own).alias("own"), F.lit(1 - own).alias("asked"))
+    both = F.explode(F.array(side("id", 1), side("next_id", 0)))
+    met = links.select("list_id", both.alias("e")).groupBy("list_id", "e.x").agg(F.sum("e.own").alias("own"), F.sum("e.asked").alias("asked"))
+    count = lambda of, which: F.sum(F.when(which, F.col(of)).otherwise(0))
+    return met.groupBy("list_id").agg(F.sum("own").alias("entries"), count("asked", F.col("x") == 0).alias("tails"), count("asked", (F.col("x") != 0) & (F.col("own") == 0)).alias("dangling"))

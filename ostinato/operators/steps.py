@@ -66,10 +66,24 @@ def discard(step: DataFrame) -> None:
     system.delete(place, True)
 
 
-def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with __range, the number of a row's range of the order, written. Equal keys share a range."""
+def pieces(rows: int, least: int, most: int = 2**18) -> int:
+    """Into how many parts so many rows go, `least` or more, so that no part's size follows the input's."""
+    return max(least, -(-rows // most))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys to more parts than shuffles have, if it has too many rows for these."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = pieces(df.count(), parts)
+    return df.repartition(wanted, *keys) if wanted > parts else df
+
+
+def _ranged(df: DataFrame, order: list[str], rows: int = 0) -> DataFrame:
+    """df with __range, the number of a row's range of the order, written. Equal keys share a range. Of many rows (told by the caller) there are more ranges, each dealt to a task."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+    wanted = pieces(rows, parts)
+    made = written(df.repartitionByRange(wanted, *order).withColumn("__range", F.spark_partition_id()))
+    return made.repartition(wanted, "__range") if wanted > parts else made
 
 
 def _beside(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -78,13 +92,13 @@ def _beside(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return df.join(F.broadcast(told), "__range", "left")
 
 
-def running_totals(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+def running_totals(df: DataFrame, order: list[str], value: Column, name: str, rows: int = 0) -> DataFrame:
     """df with the sum of a whole-numbered value over all rows before each one (0 for the first).
 
     Rows are in the order of the given columns, nulls first; rows that agree in
     all of them come in any order.
     """
-    own = _ranged(df.withColumn("__value", value.cast("long")), order)
+    own = _ranged(df.withColumn("__value", value.cast("long")), order, rows)
     sums = dict(own.groupBy("__range").agg(F.sum("__value")).collect())
     ranges = sorted(sums)
     befores = list(zip(ranges, itertools.accumulate([0, *(sums[r] or 0 for r in ranges)]), strict=False))

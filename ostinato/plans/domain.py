@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import steps
+
 NOW = "2024-01-31 00:00:00"
 
 
@@ -55,7 +57,7 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_ENTRIES.replace("from lineitem", "from {l}"), l=table(spark, sf_dir, "lineitem"))
+    return spark.sql(_ENTRIES.replace("from lineitem", "from {l}"), l=steps.dealt(table(spark, sf_dir, "lineitem"), "l_orderkey"))
 
 
 def playlists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,3 +163,22 @@ def test_list_positions(spark):
     assert {(r.list_id, r.id): r.position for r in found} == {(k, x): x - 100 * k for k, x, _ in links}
     with pytest.raises(ValueError, match="no end"):
         hierarchy.list_positions(spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "list_id long, id long, next_id long")).count()
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    """Ranges, entries and a fit's rows go to more parts if there are more rows; before, a part grew with the input."""
+    from ostinato.operators import learning
+
+    assert [steps.pieces(n, 4, 10) for n in (0, 40, 41)] == [4, 4, 5]
+    monkeypatch.setattr(steps, "pieces", lambda rows, least, most=0: max(least, -(-rows // 10)))
+    rows = spark.range(200).select((F.col("id") % 50).alias("list_id"), F.col("id").alias("track_id"), F.col("id").alias("position"))
+    assert steps.dealt(rows, "list_id").rdd.getNumPartitions() == 20
+    found = external.verify(external.linked(rows)).collect()
+    assert len(found) == 50 and {(r.entries, r.tails, r.dangling) for r in found} == {(4, 1, 0)}
+    assert steps._ranged(rows, ["position"], 200).select("__range").distinct().count() == 20
+    broken = spark.createDataFrame([(1, 5, 0), (1, 6, 5), (1, 7, 99), (2, 8, 0), (2, 9, 0)], "list_id int, id long, next_id long")
+    assert sorted(map(tuple, external.verify(broken).collect())) == [(1, 3, 1, 1), (2, 2, 2, 0)]
+    seen = []
+    monkeypatch.setitem(learning.MODELS, "counted", lambda **how: type("M", (), {"fit": lambda self, df: seen.append(df.rdd.getNumPartitions())})())
+    learning.LabelModels("counted", ["x"], ["A"]).fit(spark.range(200).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("y_A")).coalesce(1))
+    assert seen == [20]
