@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import kernel
+from . import kernel, steps
 
 
 def training_set(tracks: DataFrame, features: DataFrame, least: int = 5) -> tuple[DataFrame, list[str]]:
@@ -92,7 +92,9 @@ class LabelModels:
         return VectorAssembler(inputCols=self.columns, outputCol="v", handleInvalid="keep").transform(df)
 
     def fit(self, df: DataFrame) -> LabelModels:
-        rows = self._vector(df).persist()
+        # a fit reads its rows many times: they are dealt to all cores, in parts whose size doesn't follow the input's
+        parts = steps.pieces(df.count(), df.sparkSession.sparkContext.defaultParallelism, 2**15)
+        rows = self._vector(df).repartition(parts).persist()
         counts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y_{c}").alias(c) for c in self.labels]).first()
         for c in self.labels:
             n, pos = counts["n"], counts[c]
