@@ -121,3 +121,69 @@ def test_near_dedup_by_jaccard(spark):
     found = dict(pipeline.STAGES)["near dedup"](spark, df, SF)
     assert found.columns == df.columns and {r.doc_id for r in found.collect()} == want
     assert 20 < len(want) < len(rows) - 20
+
+
+def rows_of_joins(spark, since):
+    """The most rows that a join made in any execution from that one on."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    for at in range(since, store.executionsCount()):
+        told = store.executionsList(at, 1).apply(0).executionId()
+        values, nodes = store.executionMetrics(told), store.planGraph(told).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_near_dedup_of_a_large_group(spark):
+    """Copies with few changes are joined, and copies with too many are told apart, without the pairs of the group."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    given = []
+    for i in range(500):
+        w = list(base)
+        for at in rng.sample(range(150), i % 8):
+            w[at] = f"x{rng.randrange(10**9)}"
+        given.append(" ".join(w[: 150 - i % 3]))
+    rng.shuffle(given)
+    rows = list(enumerate(given))
+    want = firsts_of_alike(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert {r.doc_id for r in dict(pipeline.STAGES)["near dedup"](spark, df, SF).collect()} == want
+    assert 100 < len(want) < 400 and 0 < rows_of_joins(spark, since) < 40 * len(rows)  # its prefixes have 30 shingles a text
+
+
+def test_shingles_meet_where_enough_is_left(spark):
+    """All links of alike sets are found, whatever their sizes are and whoever is the least of a shingle."""
+    import random
+
+    from ostinato.llm import near_jaccard
+
+    rng = random.Random(5)
+    given = []
+    for n in (1, 4, 9, 14, 30, 64):
+        for _ in range(3):
+            base = [f"w{rng.randrange(40)}" for _ in range(n)]
+            for _ in range(12):
+                w = base[rng.randrange(1 + n // 6) : n - rng.randrange(1 + n // 6)]
+                for _ in range(rng.randrange(3)):
+                    w[rng.randrange(len(w))] = f"w{rng.randrange(40)}"
+                given.append(" ".join(w))
+    rng.shuffle(given)
+    rows = list(enumerate(given))
+    for one_in, listed in ((1, 2**20), (2, 5), (10**9, 1)):
+        texts = spark.createDataFrame(rows, "node long, text string").selectExpr("node", "cast(text as binary) as text").repartition(3)
+        links = near_jaccard.rest(texts, spark.createDataFrame([], "a long, b long"), 2, one_in, listed).collect()
+        group = {d: d for d, _ in rows}
+        for a, b in links:
+            x, y = sorted((group[a], group[b]))
+            group = {d: x if g == y else g for d, g in group.items()}
+        sets = {d: {tuple(t.split()[i : i + 2]) for i in range(max(1, len(t.split()) - 1))} for d, t in rows}
+        alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+        assert {(min(a, b), max(a, b)) for a, b in links} <= alike and all(group[a] == group[b] for a, b in alike)
+        assert 20 < len(set(group.values())) < len(rows) - 20
