@@ -45,6 +45,18 @@ def test_equal_sets_meet_once(spark):
     assert "Repartition" in last and last.count("explode") == 2
 
 
+def test_blocks_of_equal_sets_are_large_and_sides_alike_are_made_once(spark, monkeypatch):
+    """What is shuffled of the pairs found is two ids for every 1024 (before 256): 2048 equal sets meet in about 4 pairs of blocks, not 64."""
+    rows = spark.range(2048).select("id", F.array(F.lit("x"), F.lit("y")).alias("tokens"))
+    made = []
+    monkeypatch.setattr(steps, "written", lambda df, f=steps.written: made.append(1) or f(df))
+    found = overlap.join(rows, rows, 2)
+    assert len(made) == 1
+    _, _, blocks = overlap.blocks_met(rows, rows, 2, 1024)
+    assert blocks.count() == 4 and overlap.join.__defaults__ == (1024,)
+    assert found.filter("a < b").count() == 2048 * 2047 // 2
+
+
 def test_a_word_of_all_rows_pairs_none_of_them(spark):
     """Every set holds one common word: it stands in no prefix, so that as many rows meet as share another."""
     rows = spark.range(600).select("id", F.array(F.lit("common"), F.concat(F.lit("w"), F.col("id") % 300), F.concat(F.lit("only"), "id")).alias("tokens"))
