@@ -128,6 +128,24 @@ def test_crowded_sets_meet_as_blocks(spark):
     assert seen.get["n"] < overlap.join(a, b, 2).count() / 4
 
 
+def test_a_name_has_one_row_a_pair_of_blocks():
+    """Before, all pairs whose letters in common were enough became rows: a share of all pairs."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    name = lambda i: f"brand {rng.randrange(25)}   {rng.choice(['old', 'cold'])} ring {rng.randrange(10**6, 2 * 10**6)}" + "\u00e9x" * (i % 40 == 0) * 25
+    names = [name(i) for i in range(600)]
+    known, asked = [*names[200:], names[205], ""], [*names[:200], names[205], names[240][:64], names[241] + "q" * 40]
+    for least in (0.8, 0.93):
+        rows = [(1, i, None, x, least) for i, x in enumerate(asked)] + [(1, None, 1000 - i, x, None) for i, x in enumerate(known)]
+        both = pa.table(dict(zip(("pair", "a", "b", "name", "least"), (list(c) for c in zip(*rows, strict=True)), strict=True)))
+        found = [(r["a"], r["b"]) for r in dedup._best_in_blocks(both).to_pylist()]
+        rated = lambda x: min((-difflib.SequenceMatcher(None, x, y).ratio(), 1000 - i) for i, y in enumerate(known))
+        best = {i: rated(x) for i, x in enumerate(asked)}
+        assert {a: b for a, b in found if -best[a][0] >= least} == {i: b for i, (r, b) in best.items() if -r >= least}
+        assert len(found) == len({a for a, _ in found})
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1000])
 def test_total_orders(spark, n):
     rng = random.Random(n)
